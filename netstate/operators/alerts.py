@@ -24,6 +24,7 @@ from netstate.config import BENIGN, Options
 from netstate.functions.levels import level_of, level_rank
 from netstate.operators.chunks import chunk_of, neighbours, next_match, running
 from netstate.operators.sequences import KEYS
+from netstate.session import materialize
 
 RESOLVED = "source string, segment int, stretch long, open_k long, last_k long"
 
@@ -111,8 +112,11 @@ def _settle(options: Options):
 
 
 def alert_windows(rows: DataFrame, threshold: float, options: Options) -> DataFrame:
-    """The above-windows that belong to an alert, with its opening ordinal ``open_k``."""
-    above = _above_windows(rows, threshold, options)
+    """The above-windows that belong to an alert, with its opening ordinal ``open_k``.
+
+    The above-windows are few and read three times, so they are written once.
+    """
+    above = materialize(_above_windows(rows, threshold, options), "above-windows")
     stretches = _stretches(above)
     size = options.chunk_windows
     # without an early candidate a stretch does not depend on the one before it, and starts a chain
@@ -136,6 +140,8 @@ def alerts(timeline: DataFrame, threshold: float, options: Options, dense: bool
            ordinal: Column | None = None) -> DataFrame:
     """Alerts of a scored time line (source, segment, pos, row, timestamp, risk, headline_stage, attack_prob).
 
+    Runs the two jobs that settle the alerts; what is returned is a small written table with a light plan on top.
+
     ``dense``: the positions of a segment follow each other without holes. Otherwise streaks count the rows that are
     there, while the cooldown counts positions.
     """
@@ -172,6 +178,7 @@ def alerts(timeline: DataFrame, threshold: float, options: Options, dense: bool
         F.transform("stages", lambda s: s["headline_stage"]).alias("stages"),
         F.col("end.pos").alias("closed_pos"), F.col("end.timestamp").alias("closed_time"),
         F.when(F.col("open.level") == "WARNING", F.col("critical")).alias("escalated"))
+    named = materialize(named, "alerts")
     # ordinal number per source, in time order
     numbered = running(named, ["source"], ["opened_row"], chunk_of("opened_row", options.chunk_windows),
                        sums={"id": F.lit(1).cast("long")})
