@@ -42,8 +42,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: str, size: int, before
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column,
             sums: dict[str, Column] | None = None, last: dict[str, Column] | None = None,
-            upcoming: dict[str, Column] | None = None, totals: dict[str, Column] | None = None) -> DataFrame:
-    """Inclusive running values per key over ``order``; ``chunk`` must be monotone in it.
+            upcoming: dict[str, Column] | None = None, totals: dict[str, Column] | None = None,
+            before: bool = False) -> DataFrame:
+    """Running values per key over ``order``; ``chunk`` must be monotone in it.
+
+    They include the row itself; with ``before`` sums and last see only the rows before it.
 
     sums:     running sum of a non-null number
     last:     running maximum; for values that grow with ``order`` the last one so far (nulls are passed over)
@@ -65,7 +68,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
         *[F.min(n).over(later).alias(f"_c_{n}") for n in upcoming],
         *[F.sum(n).over(whole).alias(n) for n in totals])
     inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     from_here = inside.rowsBetween(0, Window.unboundedFollowing)
     local = base.select("*", *[F.sum(c).over(so_far).alias(f"_l_{n}") for n, c in sums.items()],
                         *[F.max(c).over(so_far).alias(f"_l_{n}") for n, c in last.items()],
@@ -73,7 +76,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], c
     # greatest / least pass over nulls
     return local.join(carry, [*keys, CHUNK]).select(
         *df.columns,
-        *[(F.col(f"_l_{n}") + F.col(f"_c_{n}")).alias(n) for n in sums],
+        *[(F.coalesce(f"_l_{n}", F.lit(0)) + F.col(f"_c_{n}")).alias(n) for n in sums],
         *[F.greatest(f"_l_{n}", f"_c_{n}").alias(n) for n in last],
         *[F.least(f"_l_{n}", f"_c_{n}").alias(n) for n in upcoming],
         *totals)

@@ -199,17 +199,16 @@ def read_flows(spark: SparkSession, path: str, options: Options, pattern: str =
     listed = heads.select("path", "header").collect()          # the file listing, as any reader keeps it
     if not listed:
         raise ValueError(f"no flow files below {path}")
-    by_header: dict[str, list[str]] = {}
+    by_dialect: dict[Dialect, list[str]] = {}
     for r in listed:
-        by_header.setdefault(r["header"], []).append(r["path"])
+        by_dialect.setdefault(dialect_of(r["header"], options), []).append(r["path"])
     parts = []
-    for header, paths in sorted(by_header.items()):
-        dialect = dialect_of(header, options)
+    for dialect, paths in sorted(by_dialect.items(), key=lambda e: e[1]):
         if dialect.missing:
             raise ValueError(f"{paths[0]}: required fields {dialect.missing} not found; a flow file needs {REQUIRED}")
         lines = F.col("sample") if dialect.has_header else F.concat(F.array("header"), "sample")
-        sampled = heads.where(F.col("header") == header if dialect.has_header else F.col("path").isin(paths)).select(
-            "path", F.explode(lines).alias("line")).select(
+        mine = heads if len(by_dialect) == 1 else heads.where(F.col("path").isin(paths))
+        sampled = mine.select("path", F.explode(lines).alias("line")).select(
             "path", F.from_csv("line", _columns(dialect)).alias("r")).select(
             "path", F.col(f"r.c{dialect.fields['timestamp']}").alias("ts"),
             F.col(f"r.c{dialect.fields['protocol']}").alias("proto"))
