@@ -39,7 +39,7 @@ def with_measures(flows: DataFrame, options: Options) -> DataFrame:
     seconds = F.greatest(known("dur"), F.lit(1e-3))
     packets, payload = known("fp") + known("bp"), known("fb") + known("bb")
     return flows.select(
-        "source", window_start(F.col("timestamp"), options).alias("timestamp"), "stage",
+        "source", "timestamp", "stage",
         *[known(c).alias(c) for c in ["fp", "bp", "fb", "bb", "dur", "iatm", "iats", "iatx", "retr", "plm", "pls",
                                       *FLAGS]],
         "win", "ttl", packets.alias("packets"), payload.alias("payload"),
@@ -62,28 +62,32 @@ def _variance(total: Column, squares: Column, n: Column) -> Column:
     return F.greatest(_ratio(squares, n) - mean * mean, F.lit(0.0))
 
 
-def window_sums(flows: DataFrame, options: Options) -> DataFrame:
-    """Additive part of a state: sums, one maximum and attack flows per stage, combined map-side before the shuffle."""
-    m = with_measures(flows, options)
+def sum_columns(options: Options) -> list[Column]:
+    """Additive part of a state: sums, one maximum and attack flows per stage."""
     squares = ["dur", "win", "ttl", "payload"]
     plain = ["fp", "bp", "fb", "bb", "dur", "iatm", "iats", "win", "ttl", "retr", "plm", "pls", "payload", *FLAGS,
              "failed", "small", "well_known", "tcp", "udp", "icmp", "other_protocol", "packet_rate", "byte_rate",
              *[f"port_{p}" for p in options.port_buckets], "port_other"]
-    return m.groupBy("source", "timestamp").agg(
-        F.count("*").cast("double").alias("n"),
-        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in plain],
-        *[F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)).alias(f"q_{c}") for c in squares],
-        F.count("win").cast("double").alias("n_win"), F.count("ttl").cast("double").alias("n_ttl"),
-        F.max("iatx").alias("x_iat"),
-        F.count_if(F.col("stage") != BENIGN).cast("double").alias("attack_flows"),
-        *[F.count_if(F.col("stage") == s).alias(f"stage_{i}") for i, s in enumerate(attack_stages(options))])
+    return [F.count("stage").cast("double").alias("n"),
+            *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in plain],
+            *[F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)).alias(f"q_{c}") for c in squares],
+            F.count("win").cast("double").alias("n_win"), F.count("ttl").cast("double").alias("n_ttl"),
+            F.max("iatx").alias("x_iat"),
+            F.count_if(F.col("stage") != BENIGN).cast("double").alias("attack_flows"),
+            *[F.count_if(F.col("stage") == s).alias(f"stage_{i}") for i, s in enumerate(attack_stages(options))]]
+
+
+def window_sums(flows: DataFrame, options: Options) -> DataFrame:
+    """The additive part per (source, window), combined map-side before the shuffle."""
+    start = window_start(F.col("timestamp"), options).alias("timestamp")
+    return with_measures(flows, options).groupBy("source", start).agg(*sum_columns(options))
 
 
 # kinds of distinct values counted per window
 DISTINCT = ["unique_dst_ports", "unique_src_ports", "unique_src_ips", "unique_dst_ips", "pairs"]
 
 
-def distinct_values(flows: DataFrame, options: Options) -> DataFrame:
+def distinct_values(flows: DataFrame, window: Column) -> DataFrame:
     """One narrow row per flow and kind of value; addresses count only where both are known."""
     both = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
     none_n, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
@@ -97,8 +101,11 @@ def distinct_values(flows: DataFrame, options: Options) -> DataFrame:
         F.when(port.isNotNull(), value(0, port)), F.when(src_port.isNotNull(), value(1, src_port)),
         F.when(both, value(2, a=src)), F.when(both, value(3, a=dst)), F.when(both, value(4, a=src, b=dst))),
         lambda v: v.isNotNull())
-    return flows.select("source", window_start(F.col("timestamp"), options).alias("timestamp"),
-                        F.inline(values))
+    return flows.select("source", window, F.inline(values))
+
+
+def distinct_columns() -> list[Column]:
+    return [F.count_if(F.col("kind") == i).alias(n) for i, n in enumerate(DISTINCT)]
 
 
 def window_distincts(flows: DataFrame, options: Options) -> DataFrame:
@@ -117,9 +124,8 @@ def window_distincts(flows: DataFrame, options: Options) -> DataFrame:
                     F.approx_count_distinct("src_port").alias(DISTINCT[1]),
                     F.approx_count_distinct("a").alias(DISTINCT[2]), F.approx_count_distinct("b").alias(DISTINCT[3]),
                     F.approx_count_distinct(F.when(F.col("a").isNotNull(), F.xxhash64("a", "b"))).alias(DISTINCT[4])))
-    values = distinct_values(flows, options).distinct()
-    return values.groupBy("source", "timestamp").agg(
-        *[F.count_if(F.col("kind") == i).alias(n) for i, n in enumerate(DISTINCT)])
+    start = window_start(F.col("timestamp"), options).alias("timestamp")
+    return distinct_values(flows, start).distinct().groupBy("source", "timestamp").agg(*distinct_columns())
 
 
 def window_states(flows: DataFrame, options: Options) -> DataFrame:
