@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netstate.config import Options
+from netstate.operators.chunks import quantiles
 from netstate.operators.scaling import Scaler
 from netstate.operators.sequences import KEYS, with_history, with_samples
 
@@ -24,7 +25,7 @@ def background_sample(states: DataFrame, scaler: Scaler, options: Options, size:
     return with_history(rows, "z", options).join(F.broadcast(picked), [*KEYS, "pos"])
 
 
-def _long(states: DataFrame, names: list[str], value) -> DataFrame:
+def long_values(states: DataFrame, names: list[str], value) -> DataFrame:
     """(feature, value) rows."""
     return states.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), value(n).alias("value"))
                                             for n in names])))
@@ -35,13 +36,11 @@ def _level(psi: Column) -> Column:
 
 
 def reference_edges(reference: DataFrame) -> DataFrame:
-    """Decile edges, size and mean per feature of a (feature, value) table (one row per feature).
-
-    The reference is the bounded background sample; for a table of any size use ``chunks.quantiles`` instead.
-    """
-    return reference.groupBy("feature").agg(
-        F.array_sort(F.array_distinct(F.percentile("value", F.array(*[F.lit(i / BINS) for i in range(BINS + 1)])))
-                     ).alias("edges"), F.avg("value").alias("ref_mean"), F.count("value").alias("ref_n"))
+    """Distinct decile edges, size and mean per feature of a (feature, value) table of any size; one row per feature."""
+    deciles = quantiles(reference, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
+    edges = deciles.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
+    stats = reference.groupBy("feature").agg(F.avg("value").alias("ref_mean"), F.count("value").alias("ref_n"))
+    return edges.join(stats, "feature")
 
 
 def _histogram(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
@@ -86,6 +85,6 @@ def drift_report(background: DataFrame, states: DataFrame, scaler: Scaler) -> Da
     active = [(i, n) for i, (n, a) in enumerate(zip(scaler.names, scaler.active)) if a]
     windows = background.select(F.explode("history").alias("z"))
     names = [n for _, n in active]
-    at = dict((n, i) for i, n in active)
-    reference = _long(windows, names, lambda n: F.element_at("z", at[n] + 1))
-    return drift_table(reference, _long(states, names, scaler.scaled))
+    at = {n: i for i, n in active}
+    reference = long_values(windows, names, lambda n: F.element_at("z", at[n] + 1))
+    return drift_table(reference, long_values(states, names, scaler.scaled))
