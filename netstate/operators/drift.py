@@ -8,6 +8,7 @@ from netstate.config import Options
 from netstate.operators.chunks import quantiles
 from netstate.operators.scaling import Scaler
 from netstate.operators.sequences import KEYS, with_history, with_samples
+from netstate.session import materialize
 
 BINS = 10
 
@@ -53,7 +54,7 @@ def _histogram(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
 
 def drift_table(reference: DataFrame, new: DataFrame) -> DataFrame:
     """Population stability index and mean shift per feature of two (feature, value) tables, with a level."""
-    edges = reference_edges(reference)
+    edges = materialize(reference_edges(reference), "drift-edges")
     bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))
                                              ).alias("bin"))
     totals = new.groupBy("feature").agg(F.avg("value").alias("new_mean"), F.count("value").alias("new_n"))

@@ -31,7 +31,8 @@ def scored_samples(states: DataFrame, scorer: Scorer, threshold: float, options:
 def calibrate(states: DataFrame, scorer: Scorer, options: Options, label: str = "val",
               fallback: float | None = None) -> DataFrame:
     """Threshold chosen on a split."""
-    samples = scored_samples(states, scorer, 0.5, options, label)
+    samples = materialize(scored_samples(states, scorer, 0.5, options, label).select(
+        *KEYS, "pos", "is_attack", "attack_prob", "future_attack"), "samples")
     return choose_threshold(onset_scores(samples), options.target_fpr,
                             options.fallback_threshold if fallback is None else fallback)
 
@@ -64,7 +65,8 @@ def evaluate_with_baselines(states: DataFrame, scorer: Scorer, scaler: Scaler, t
     own = calibrate(states, logistic, options).first()["threshold"]
     out = evaluate(states, scorer, scaler, threshold, options)
     for name, model, thr in (("persistence", PersistenceScorer(options), 0.5), ("logistic", logistic, own)):
-        samples = scored_samples(states, model, thr, options)
+        samples = materialize(scored_samples(states, model, thr, options).select(
+            *KEYS, "pos", "is_attack", "attack_prob", "future_attack"), "samples")
         out[f"{name}_forecast"] = _binary(step_scores(samples), thr)
         out[f"{name}_onset"] = _binary(onset_scores(samples), thr)
     return out
@@ -89,7 +91,8 @@ def compare_scorers(states: DataFrame, scorers: dict[str, tuple[Scorer, float]],
     """Forecast and onset metrics of several forecasters on the same samples, one row per (scorer, view)."""
     rows = []
     for name, (scorer, threshold) in scorers.items():
-        samples = scored_samples(states, scorer, threshold, options, label)
+        samples = materialize(scored_samples(states, scorer, threshold, options, label).select(
+            *KEYS, "pos", "is_attack", "attack_prob", "future_attack"), "samples")
         for view, scores in (("forecast", step_scores(samples)), ("onset", onset_scores(samples))):
             rows.append(_binary(scores, threshold).withColumns({"scorer": F.lit(name), "view": F.lit(view)}))
     return reduce(DataFrame.unionByName, rows)

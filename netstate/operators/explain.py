@@ -1,8 +1,11 @@
 """Explanations of linear forecasts, and the traffic evidence next to them."""
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netstate.config import Options
@@ -22,33 +25,35 @@ def closed_form_weights(scorer: ClosedFormScorer) -> np.ndarray:
     return w
 
 
-def _top(rows: DataFrame, scaler: Scaler, weights: np.ndarray, gain, step, top_k: int, value: str,
+def _top(rows: DataFrame, scaler: Scaler, weights: np.ndarray, gain: Column, step: Column, top_k: int, value: str,
          centre: np.ndarray | None = None) -> DataFrame:
-    """Rank features of every row by what they add; works inside the row, without a shuffle.
+    """Rank the features of every row by what they add. Rows stay where they are: no shuffle, one Arrow pass.
 
     ``weights`` is (step, window, feature), so its size is that of the model.
     """
-    w = F.element_at(F.lit(weights.tolist()), step)
-    background = F.lit((np.zeros(weights.shape[1:]) if centre is None else centre).tolist())
-    zero = F.array_repeat(F.lit(0.0), len(scaler.names))
-    parts = rows.withColumn("_g", gain).withColumn("_parts", F.transform(
-        F.arrays_zip(F.col("history").alias("z"), w.alias("w"), background.alias("b")),
-        lambda r: F.transform(F.arrays_zip(r["z"].alias("z"), r["w"].alias("w"), r["b"].alias("b")),
-                              lambda e: (e["z"] - e["b"]) * e["w"])))
-    summed = parts.withColumns({
-        "_sum": F.aggregate("_parts", zero, lambda s, p: F.zip_with(s, p, lambda a, b: a + b)),
-        "_mag": F.aggregate("_parts", zero, lambda s, p: F.zip_with(s, p, lambda a, b: a + F.abs(b)))})
-    total = F.aggregate("_mag", F.lit(0.0), lambda s, e: s + e) + 1e-12
-    names = F.lit(list(scaler.names))
-    entries = F.transform(
-        F.arrays_zip(names.alias("f"), F.col("_sum").alias("s"), F.col("_mag").alias("m"),
-                     F.element_at("history", -1).alias("z"), F.sequence(F.lit(1), F.lit(len(scaler.names))).alias("i")),
-        lambda e: F.struct((-F.abs(e["s"] * F.col("_g"))).alias("order"), e["i"].alias("i"), e["f"].alias("feature"),
-                           (e["s"] * F.col("_g")).alias(value), (e["m"] / F.col("_total")).alias("share"),
-                           e["z"].alias("current_z")))
-    ranked = summed.withColumn("_total", total).withColumn("_top", F.slice(F.array_sort(entries), 1, top_k))
-    return ranked.select(*KEYS, "pos", F.posexplode("_top").alias("_i", "_e")).select(
-        *KEYS, "pos", (F.col("_i") + 1).alias("rank"), "_e.feature", F.col(f"_e.{value}"), "_e.share", "_e.current_z")
+    names = np.array(scaler.names)
+    background = np.zeros(weights.shape[1:]) if centre is None else centre
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.empty:
+                continue
+            z = np.stack(batch["_flat"].to_numpy()).reshape(len(batch), *weights.shape[1:])
+            parts = (z - background) * weights[batch["_step"].to_numpy() - 1] * batch["_gain"].to_numpy()[:, None, None]
+            total, size = parts.sum(axis=1), np.abs(parts).sum(axis=1)
+            order = np.argsort(-np.abs(total), axis=1, kind="stable")[:, :top_k]
+            row = np.repeat(np.arange(len(batch)), order.shape[1])
+            col = order.ravel()
+            share = size / (size.sum(axis=1, keepdims=True) + 1e-12)
+            yield pd.DataFrame({
+                **{k: batch[k].to_numpy()[row] for k in (*KEYS, "pos")},
+                "rank": np.tile(np.arange(1, order.shape[1] + 1), len(batch)).astype("int32"), "feature": names[col],
+                value: total[row, col], "share": share[row, col], "current_z": z[row, -1, col]})
+
+    schema = f"source string, segment int, pos long, rank int, feature string, {value} double, share double, current_z double"
+    narrow = rows.select(*KEYS, "pos", F.flatten("history").alias("_flat"), gain.alias("_gain"),
+                         step.cast("int").alias("_step"))
+    return narrow.mapInPandas(rank, schema)
 
 
 def history_at(states: DataFrame, origins: DataFrame, scaler: Scaler, options: Options) -> DataFrame:

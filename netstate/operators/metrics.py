@@ -10,6 +10,7 @@ from netstate.config import Options
 from netstate.operators.alerts import alerts
 from netstate.operators.chunks import by_value_chunks, last_match, next_match, quantiles, running, runs
 from netstate.operators.sequences import KEYS
+from netstate.session import materialize
 
 
 def _over(a: Column, b: Column, undefined) -> Column:
@@ -259,8 +260,9 @@ def lead_time(scored: DataFrame, states: DataFrame, threshold: float, options: O
 
     ``scored`` is the time line the alerts run on, ``states`` carries the labels to judge by.
     """
-    raised = alerts(scored, threshold, options, dense=dense)
-    found = episodes(states, options)
+    # both are small and read several times
+    raised = materialize(alerts(scored, threshold, options, dense=dense).select(*KEYS, "opened_pos"), "alert-openings")
+    found = materialize(episodes(states, options), "episodes")
     first = scored.groupBy(*KEYS).agg(F.min("pos").alias("first_pos"))
     outcome = episode_outcomes(found, raised, first, options)
 
