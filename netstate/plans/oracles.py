@@ -123,7 +123,8 @@ def add(name: str, with_: str, body: str) -> None:
     ORACLES[name] = f"WITH RECURSIVE {with_}\n{body}"
 
 
-STATE_OUT = f"t AS timestamp, {r6(*FEATURES)}, attack_flows, round(attack_fraction, 6) AS attack_fraction, stage, is_attack, source"
+VALUES = ", ".join(f"round({n} + 1e-9, 6) AS {n}" for n in [*FEATURES, "attack_flows", "attack_fraction"])
+STATE_OUT = f"t AS timestamp, {VALUES}, stage, is_attack, source"
 add("window_states", window_states(3600), f"SELECT {STATE_OUT}, false AS filled FROM ws")
 add("window_distincts", FLOWS, f"""SELECT source, {bucket(600)} AS timestamp, count(DISTINCT dst_port) AS unique_dst_ports,
  count(DISTINCT src_port) AS unique_src_ports, count(DISTINCT src_ip) AS unique_src_ips,
@@ -142,8 +143,8 @@ add("source_info", FLOWS, f"""SELECT source, count(*) AS flow_rows, count(DISTIN
  min({bucket(3600)}) AS start, max({bucket(3600)}) AS "end", bool_or(src_ip IS NOT NULL) AS has_ip,
  bool_or(src_port IS NOT NULL) AS has_src_port, bool_or(ttl IS NOT NULL) AS has_ttl,
  bool_or(retr IS NOT NULL) AS has_retransmissions FROM f GROUP BY 1""")
-add("regular_states", regular(600), f"""SELECT timestamp, {r6(*FEATURES)}, attack_flows,
- round(attack_fraction, 6) AS attack_fraction, stage, is_attack, source, filled, segment, pos FROM st""")
+add("regular_states", regular(600), f"""SELECT timestamp, {VALUES}, stage, is_attack, source,
+ filled, segment, pos FROM st""")
 R300 = regular(300, 19)
 add("segment_prune", R300, """SELECT source, segment, count(*) AS windows, min(timestamp) AS start, max(timestamp) AS "end",
  count(*) FILTER (filled) AS filled, max(rn) AS last_row FROM st GROUP BY 1, 2""")

@@ -21,6 +21,7 @@ from netstate.session import materialize, shared_folder
 
 T3600, G600, G300 = (Options(window_seconds=s) for s in (3600, 600, 300))
 THRESHOLD = forecast.CLOSED_FORM_THRESHOLD
+NUDGE = 1e-9
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -30,9 +31,9 @@ def query(f: Query) -> Query:
     return f
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to six places: sums come in any order."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def tidy(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles to six places: sums come in any order. ``nudge`` moves means of short decimals off exact rounding ties."""
+    return df.select(*[F.round(F.col(c) + nudge, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # ---------------------------------------------------------------- tables several queries start from, written once
@@ -86,7 +87,7 @@ def background(spark, sf) -> DataFrame:
 # -------------------------------------------------------------------------------------------- flows and states
 @query
 def window_states(spark, sf):
-    return tidy(states.window_states(event_flows(spark, sf), T3600))
+    return tidy(states.window_states(event_flows(spark, sf), T3600), NUDGE)
 
 
 @query
@@ -120,7 +121,7 @@ def source_info(spark, sf):
 @query
 def regular_states(spark, sf):
     table = materialize(states.window_states(event_flows(spark, sf), G600), "window-states")
-    return tidy(grid.regular_states(table, G600).drop("seg_len", "row", "source_rows"))
+    return tidy(grid.regular_states(table, G600).drop("seg_len", "row", "source_rows"), NUDGE)
 
 
 @query
@@ -858,7 +859,7 @@ def stream_window_states(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     events = st.replay_files(spark, sf, schema, pattern="events.parquet")
     return tidy(st.run_to_table(st.stream_window_states(flows_of_events(events), T3600, "1 hour"),
-                                _stream_folder(spark)))
+                                _stream_folder(spark)), NUDGE)
 
 
 @query
