@@ -15,6 +15,8 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true")
              .config("spark.driver.memory", "12g")
+             # no Python call site per column: plans here have hundreds of columns
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
