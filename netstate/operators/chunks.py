@@ -16,6 +16,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from netstate.session import materialize
+
 CHUNK = "_chunk"
 
 
@@ -135,9 +137,11 @@ def by_value_chunks(df: DataFrame, keys: Sequence[str], value: str, parts: int =
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact linear-interpolated quantiles per key: (keys, i, q), ``i`` numbering ``probabilities`` from 0.
 
-    Values are counted first, ranked with :func:`running`, and only the rows that hold a wanted rank go on.
+    Values are counted first and the counts written, as three steps read them; they are ranked with :func:`running`, and
+    only the rows that hold a wanted rank go on.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")),
+                          "value-counts")
     ranked = running(by_value_chunks(counted, keys, value), keys, [value], F.col("_vchunk"),
                      sums={"_upto": F.col("_n")}, totals={"_all": F.col("_n")})
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("at"))

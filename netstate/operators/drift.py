@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from netstate.config import Options
 from netstate.operators.chunks import quantiles
 from netstate.operators.scaling import Scaler
-from netstate.operators.sequences import KEYS, with_history, with_samples
+from netstate.operators.sequences import KEYS, history_of, with_samples
 from netstate.session import materialize
 
 BINS = 10
@@ -22,8 +22,7 @@ def background_sample(states: DataFrame, scaler: Scaler, options: Options, size:
     picked = (with_samples(states, options).where("is_sample and split = 'train'")
               .orderBy(F.xxhash64(F.lit(options.seed), *KEYS, "pos"), *KEYS, "pos").limit(size)
               .select(*KEYS, "pos"))
-    rows = scaler.with_vector(states).select(*KEYS, "pos", "z")
-    return with_history(rows, "z", options).join(F.broadcast(picked), [*KEYS, "pos"])
+    return history_of(states, picked, scaler.vector(), options, few=True)
 
 
 def long_values(states: DataFrame, names: list[str], value) -> DataFrame:

@@ -13,7 +13,7 @@ from netstate.functions.knowledge import driver_sentence, with_feature_labels
 from netstate.operators.chunks import neighbours
 from netstate.operators.forecast import CLOSED_FORM_WEIGHTS, ClosedFormScorer
 from netstate.operators.scaling import Scaler
-from netstate.operators.sequences import KEYS, with_history
+from netstate.operators.sequences import KEYS, history_of
 
 
 def closed_form_weights(scorer: ClosedFormScorer) -> np.ndarray:
@@ -58,8 +58,7 @@ def _top(rows: DataFrame, scaler: Scaler, weights: np.ndarray, gain: Column, ste
 
 def history_at(states: DataFrame, origins: DataFrame, scaler: Scaler, options: Options) -> DataFrame:
     """Scaled history of the given origins (source, segment, pos and whatever else they carry)."""
-    rows = with_history(scaler.with_vector(states).select(*KEYS, "pos", "z"), "z", options)
-    return origins.join(rows, [*KEYS, "pos"])
+    return origins.join(history_of(states, origins, scaler.vector(), options), [*KEYS, "pos"])
 
 
 def attributions(origins: DataFrame, scaler: Scaler, weights: np.ndarray, top_k: int = 10,

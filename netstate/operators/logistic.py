@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from netstate.config import Options
 from netstate.operators.chunks import neighbours
 from netstate.operators.scaling import Scaler
-from netstate.operators.sequences import KEYS, flat_history, has_history, with_future, with_samples
+from netstate.operators.sequences import KEYS, has_history, history_of, with_future, with_samples
 from netstate.session import materialize
 
 # Inverse regularisation strength, iteration limit and sample cap of the baseline.
@@ -29,8 +29,9 @@ def training_rows(states: DataFrame, scaler: Scaler, vocab: list[str], options:
     samples = with_samples(with_future(states, options, vocab), options).where("is_sample").where(
         F.col("split") == label).select(*KEYS, "pos", "future_attack", "future_stage")
     picked = samples.orderBy(F.xxhash64(F.lit(options.seed), *KEYS, "pos"), *KEYS, "pos").limit(cap)
-    z = scaler.with_vector(states).select(*KEYS, "pos", "z")
-    return flat_history(z, "z", options).select(*KEYS, "pos", "flat").join(picked, [*KEYS, "pos"])
+    picked = materialize(picked, "picked-samples")
+    found = history_of(states, picked, scaler.vector(), options, few=True)
+    return found.select(*KEYS, "pos", F.flatten("history").alias("flat")).join(picked, [*KEYS, "pos"])
 
 
 def _regression(rows: DataFrame, n: float, iterations: int) -> LogisticRegression:

@@ -151,15 +151,13 @@ def threshold_table(onsets: DataFrame) -> DataFrame:
     A score is put into the bucket of the largest candidate it reaches; 152 bucket counts are then summed from above.
     The samples are read once and never crossed with the candidates.
     """
-    candidates = threshold_candidates(onsets).scalar()
-    bucketed = onsets.withColumn("_c", candidates).select(
-        F.size(F.filter("_c", lambda c: c <= F.col("p"))).alias("bucket"), "y")
+    candidates = F.lit(threshold_candidates(onsets).first()["candidates"])
+    bucketed = onsets.select(F.size(F.filter(candidates, lambda c: c <= F.col("p"))).alias("bucket"), "y")
     counts = bucketed.groupBy("bucket").agg(F.count_if(F.col("y") > 0).alias("pos"),
                                             F.count_if(F.col("y") <= 0).alias("neg"))
     # at most 152 rows reach this point
     packed = counts.agg(F.collect_list(F.struct("bucket", "pos", "neg")).alias("_b"))
-    listed = packed.withColumn("_c", threshold_candidates(onsets).scalar()).select(
-        "_b", F.posexplode("_c").alias("_i", "threshold"))
+    listed = packed.select("_b", F.posexplode(candidates).alias("_i", "threshold"))
 
     def total(field, reached=None):
         rows = F.col("_b") if reached is None else F.filter("_b", reached)

@@ -110,6 +110,22 @@ def with_history(df: DataFrame, column: str, options: Options, into: str = "hist
                       lambda w: {into: F.collect_list(column).over(w.rowsBetween(1 - L, 0))})
 
 
+def history_of(states: DataFrame, origins: DataFrame, value: Column, options: Options, into: str = "history",
+               few: bool = False) -> DataFrame:
+    """(source, segment, pos, ``into``) for chosen origins only: their last L values of ``value``, oldest first.
+
+    Only the windows the origins look back on are touched, and ``value`` is worked out for those. ``few``: the origins
+    are bounded by a sample size, so they are sent to the states instead of the other way round.
+    """
+    L = options.history
+    wanted = origins.select(*KEYS, F.col("pos").alias("_origin"),
+                            F.explode(F.sequence(F.col("pos") - (L - 1), F.col("pos"))).alias("pos"))
+    rows = states.join(F.broadcast(wanted) if few else wanted, [*KEYS, "pos"])
+    packed = rows.select(*KEYS, "_origin", F.struct("pos", value.alias("v")).alias("_e")).groupBy(*KEYS, "_origin").agg(
+        F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["v"]).alias(into))
+    return packed.withColumnRenamed("_origin", "pos")
+
+
 def with_future_values(df: DataFrame, column: str, options: Options, into: str = "future") -> DataFrame:
     """Add the next H values of ``column`` as an array; shorter at the end of a segment."""
     H = options.horizon

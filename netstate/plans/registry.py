@@ -632,8 +632,10 @@ def drift_against_background(spark, sf):
 
 # ------------------------------------------------------------------------------------------------- explain
 def _origins(spark, sf) -> DataFrame:
+    """Every scored window as an origin: histories come from bounded frames, not from a join."""
+    z = scaler(spark, sf).with_vector(regular(spark, sf)).select(*KEYS, "pos", "z")
     rows = scored(spark, sf).select(*KEYS, "pos", "attack_prob")
-    return explain.history_at(regular(spark, sf), rows, scaler(spark, sf), T3600)
+    return sequences.with_history(z, "z", T3600).select(*KEYS, "pos", "history").join(rows, [*KEYS, "pos"])
 
 
 @query
