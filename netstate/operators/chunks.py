@@ -109,6 +109,14 @@ def last_match(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at:
     return _match(left, right, keys, left_at, right_at, payload, size, False, into)
 
 
+def beside(row: DataFrame, *others: DataFrame) -> DataFrame:
+    """Put one-row results next to each other, as scalar subqueries."""
+    for other in others:
+        row = row.withColumn("_other", other.select(F.struct("*").alias("s")).scalar()).select("*", "_other.*").drop(
+            "_other")
+    return row
+
+
 def runs(df: DataFrame, keys: Sequence[str], order: str, size: int, max_gap: int, start: str) -> DataFrame:
     """Mark gaps-and-islands: ``start`` is the first position of the run a row belongs to.
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netstate.config import Options
 from netstate.functions.levels import incident_level
-from netstate.operators.chunks import next_match
+from netstate.operators.chunks import beside, next_match
 from netstate.operators.sequences import KEYS
 from netstate.schema import INCIDENT_FIELDS, INCIDENT_STATUSES
 
@@ -52,10 +52,7 @@ def incident_summary(found: DataFrame, scored: DataFrame, states: DataFrame, thr
     span = states.agg(F.count("*").alias("windows"), (F.count("*") * options.window_seconds / 3600.0).alias("hours"),
                       F.coalesce(F.bool_or("is_attack"), F.lit(False)).alias("labelled"),
                       F.min("timestamp").alias("start"), F.max("timestamp").alias("end"))
-    one = F.lit(1)
-    rows = [d.withColumn("_one", one) for d in (span, risk, inc)]
-    both = rows[0].join(rows[1], "_one").join(rows[2], "_one").drop("_one")
-    return both.withColumn("confirmed_share", F.when(F.col("labelled"), F.col("confirmed_share")))
+    return beside(span, risk, inc).withColumn("confirmed_share", F.when(F.col("labelled"), F.col("confirmed_share")))
 
 
 # ---------------------------------------------------------------------------------------------- triage

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from netstate.config import Options
 from netstate.operators.alerts import alerts
-from netstate.operators.chunks import by_value_chunks, last_match, next_match, quantiles, running, runs
+from netstate.operators.chunks import beside, by_value_chunks, last_match, next_match, quantiles, running, runs
 from netstate.operators.sequences import KEYS
 from netstate.session import materialize
 
@@ -79,8 +79,7 @@ def with_ranking(metrics: DataFrame, scores: DataFrame, keys: Sequence[str] = ()
     ranked = ranking_metrics(scores, keys)
     if keys:
         return metrics.join(ranked, list(keys), "left")
-    one = metrics.withColumn("_one", F.lit(1)).join(ranked.withColumn("_one", F.lit(1)), "_one", "left")
-    return one.drop("_one")
+    return beside(metrics, ranked)
 
 
 # ----------------------------------------------------------------------------------------------- stage
@@ -128,7 +127,7 @@ def stage_metrics(pairs: DataFrame, vocab: list[str]) -> DataFrame:
         F.when(F.count("*") > 1, F.avg("recall")).alias("balanced_accuracy"),
         F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
         F.avg("f1").alias("macro_f1"), F.count("*").alias("classes_with_support"))
-    return (overall.withColumn("_one", F.lit(1)).join(macro.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+    return beside(overall, macro)
 
 
 # ----------------------------------------------------------------------------------------- calibration

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netstate.config import Options
-from netstate.operators.chunks import neighbours
+from netstate.operators.chunks import beside, neighbours
 from netstate.operators.scaling import Scaler, feature_report
 from netstate.operators.sequences import KEYS, has_history
 
@@ -36,10 +36,7 @@ def traffic_checks(states: DataFrame, scaler: Scaler, options: Options, kind: st
                       F.count_if(has_history(options)).alias("able"))
     kinds = feature_report(states, scaler, options).agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("missing", "unavailable", "novel")])
-    one = F.lit(1)
-    row = (base.withColumn("_one", one)
-           .join(order_violations(states, options).withColumn("_one", one), "_one")
-           .join(kinds.withColumn("_one", one), "_one"))
+    row = beside(base, order_violations(states, options), kinds)
 
     def ok(condition, otherwise="fail"):
         return F.when(condition, "ok").otherwise(otherwise)
@@ -75,7 +72,7 @@ def sanity_checks(states: DataFrame, scored: DataFrame) -> DataFrame:
         F.min(F.array_min("attack_prob")).alias("low"), F.max(F.array_max("attack_prob")).alias("high"),
         F.avg(spread).alias("spread"), F.avg(F.when(F.col("is_attack"), F.array_max("attack_prob"))).alias("hot"),
         F.avg(F.when(~F.col("is_attack"), F.array_max("attack_prob"))).alias("cold"))
-    row = s.withColumn("_one", F.lit(1)).join(f.withColumn("_one", F.lit(1)), "_one")
+    row = beside(s, f)
     gap = F.col("hot") - F.col("cold")
 
     def check(name, passed, value):

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netstate.operators.chunks import beside
+
 META = ("id string, owner string, filename string, created timestamp_ntz, kind string, records long, windows long, "
         "forecast_windows long, alerts long, peak_risk double, labelled boolean, threshold double")
 TOMBSTONE = "id string, deleted timestamp_ntz"
@@ -27,8 +29,7 @@ def save_analysis(root: str, name: str, when: datetime, owner: str | None, state
     total = states.agg(F.sum("flow_count").cast("long").alias("records"), F.count("*").alias("windows"))
     risk = scored.agg(F.count("*").alias("forecast_windows"), F.max("risk").alias("peak_risk"))
     alerts = found.agg(F.count("*").alias("alerts"))
-    one = F.lit(1)
-    row = (total.withColumn("_", one).join(risk.withColumn("_", one), "_").join(alerts.withColumn("_", one), "_"))
+    row = beside(total, risk, alerts)
     fixed = {"id": key, "owner": owner, "filename": name, "created": when, "kind": kind, "labelled": labelled,
              "threshold": float(threshold)}
     known = [f.split()[0] for f in META.split(", ")]
