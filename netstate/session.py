@@ -1,6 +1,8 @@
 """Session settings and durable intermediate tables."""
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,22 +26,54 @@ def local_session(cpus: int | str = "*", partitions: int = 8) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one only where the cluster names none."""
+    """The folder of ``spark.checkpoint.dir``; a private one only where the cluster names none (one machine, tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="netstate-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+_TABLES: dict[str, SparkSession] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Later branches read only the columns they need from Parquet instead of re-running the lineage, and a lost
-    executor costs a re-read of a file, not a re-computation.
+    executor costs a re-read of a file, not a re-computation. The shuffle files of the writing job are removed when
+    it ends. The table stays until ``discard`` or ``discard_all``.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _TABLES[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for path in [t.table_path for t in tables]:
+        spark = _TABLES.pop(path, None)
+        if spark is not None:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard_all() -> None:
+    """Remove every table that this process has materialized; call it when no result is needed any more."""
+    class Kept:
+        def __init__(self, path):
+            self.table_path = path
+    discard(*map(Kept, list(_TABLES)))
