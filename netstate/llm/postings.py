@@ -64,11 +64,16 @@ def scattered(buckets: np.ndarray, bits: int, columns: dict[str, np.ndarray], si
         yield (bucket if sign > 0 else -1 - bucket), pack({name: x[take] for name, x in columns.items()})
 
 
-def answers(doc: np.ndarray, place: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
+def answers(doc: np.ndarray, place: np.ndarray, bits: int, turn: int) -> Iterator[tuple[int, bytes]]:
+    """Answers by the upper half of the document bucket; ``turn`` spreads what one upper half gets over several groups.
+
+    Every sender has a blob for each upper half only, and ``regroup`` deals out the rest: else there would be a blob for each
+    pair of sender and document bucket, which grows with the square of the number of partitions.
+    """
     if len(doc):
-        order = np.lexsort((place, doc))
-        doc, place = doc[order], place[order]
-        yield from scattered(mixed(doc.astype(U64)) >> U64(64 - bits), bits, {"doc": doc, "place": place}, -1)
+        upper, turns = bits // 2, 1 << (bits - bits // 2)
+        group = (mixed(doc.astype(U64)) >> U64(64 - upper)) * U64(turns) + U64(turn % turns)
+        yield from scattered(group, bits, {"doc": doc, "place": place}, -1)
 
 
 def as_batches(rows: Iterator[tuple[int, bytes]], at_once: int = 64) -> Iterator[pa.RecordBatch]:
@@ -82,7 +87,8 @@ def as_batches(rows: Iterator[tuple[int, bytes]], at_once: int = 64) -> Iterator
 
 
 def _batch(rows):
-    return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+    return pa.record_batch({"bucket": pa.array([r[0] for r in rows], pa.int32()),
+                            "blob": pa.array([r[1] for r in rows], pa.binary())})
 
 
 class Groups:
@@ -151,7 +157,7 @@ def search(docs: DataFrame, postings_of: Callable, rule: Callable) -> DataFrame:
     """(doc_id, found) of documents with answers.
 
     ``postings_of(batches)`` yields dicts of arrays key, doc, place and whatever ``rule`` reads; docs may have any columns.
-    A pass over the documents, one shuffle of packed postings, one of the answers.
+    A pass over the documents, one shuffle of packed postings, two of the answers.
     """
     bits = bucket_bits(docs)
 
@@ -170,11 +176,12 @@ def search(docs: DataFrame, postings_of: Callable, rule: Callable) -> DataFrame:
         def decide(held):
             post = {name: np.concatenate([x[name] for x in held]) for name in held[0]}
             hits, on, answered = rule(post, False)
-            yield from answers(post["doc"][hits], post["place"][hits], bits)
+            hits = np.sort(hits)                                   # back to the order of documents
+            yield from answers(post["doc"][hits], post["place"][hits], bits, int(post["key"][0] & U64(0xFFFF)))
             if "many" in post:
                 post["many"] = np.zeros(len(post["key"]), dtype=bool)
                 post["many"][answered] = True
-            on = np.sort(on)                                       # back to the order of documents
+            on = np.sort(on)
             post = {name: x[on] for name, x in post.items()}
             yield from scattered(post["key"] >> U64(64 - bits), bits, post)
         return as_batches(rows())
@@ -187,11 +194,20 @@ def search(docs: DataFrame, postings_of: Callable, rule: Callable) -> DataFrame:
         hits, _, _ = rule(post, True)
         if "many" in post:
             hits = hits[~post["many"][hits]]
-        return pa.Table.from_batches(list(as_batches(answers(post["doc"][hits], post["place"][hits], bits))))
+        doc, place = post["doc"][hits], post["place"][hits]
+        order = np.argsort(doc)
+        return pa.Table.from_batches(list(as_batches(answers(doc[order], place[order], bits, bucket))))
+
+    def regroup(table: pa.Table) -> pa.Table:
+        post = unpack(table.column("blob"))
+        order = np.argsort(post["doc"])
+        doc, place = post["doc"][order], post["place"][order]
+        return pa.Table.from_batches(list(as_batches(scattered(mixed(doc.astype(U64)) >> U64(64 - bits), bits,
+                                                               {"doc": doc, "place": place}))))
 
     def gather(table: pa.Table) -> pa.Table:
         post = unpack(table.column("blob"))
-        order = np.lexsort((post["place"], post["doc"]))
+        order = np.argsort(post["doc"])
         doc, place = post["doc"][order], post["place"][order]
         edges = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1))
         found = [squeezed(np.unique(place[a:b])) for a, b in zip(edges, [*edges[1:], len(doc)])]
@@ -199,6 +215,7 @@ def search(docs: DataFrame, postings_of: Callable, rule: Callable) -> DataFrame:
 
     packed = docs.mapInArrow(probe, BLOBS)
     return (packed.groupBy("bucket").applyInArrow(judge, BLOBS)
+            .groupBy("bucket").applyInArrow(regroup, BLOBS)
             .groupBy("bucket").applyInArrow(gather, FOUND))
 
 

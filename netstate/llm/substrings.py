@@ -7,14 +7,13 @@ maximal exact repeats. Only words around hits take part in the second search.
 """
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netstate.llm import postings
-from netstate.llm.texts import BYTE_VALUES2, ODD2, U64, Block, Rolling, blocks, documents, mixed
+from netstate.llm.texts import ODD2, U64, Block, Rolling, blocks, documents, mixed
 from netstate.session import discard, materialize
 
 WINDOW = 13
@@ -53,7 +52,7 @@ def _window_postings(window: int, length: int):
                 starts = starts[np.cumsum(near)[starts] > 0]
                 row = words.row[starts]
                 yield {"key": Rolling(mixed(words.hash), ODD2).windows(starts, window),
-                       "key2": Rolling(mixed(words.hash ^ BYTE_VALUES2[0])).windows(starts, window).astype(np.uint32),
+                       "key2": Rolling((words.hash >> U64(32)).astype(np.uint32)).windows(starts, window),
                        "doc": block.ids[row], "place": (block.parts[row] << postings.PLACE_BITS) | words.index[starts]}
     return run
 
@@ -75,7 +74,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 KEPT = "doc_id bigint, part int, n_words bigint, n_removed bigint, kept string, spans array<struct<start:bigint,words:bigint>>"
-DIGEST = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 
 
 def _kept(raw: bytes, found: bytes | None, part: int, window: int):

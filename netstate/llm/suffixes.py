@@ -73,7 +73,7 @@ def _suffix_postings(length: int, bucket: int, buckets: int):
                 key = Rolling(BYTE_VALUES[block.bytes]).windows(starts, length)
                 mine = key % U64(buckets) == bucket
                 starts, row, key = starts[mine], row[mine], key[mine]
-                yield {"key": key, "key2": Rolling(BYTE_VALUES2[block.bytes], ODD2).windows(starts, length).astype(np.uint32),
+                yield {"key": key, "key2": Rolling(BYTE_VALUES2[block.bytes], ODD2).windows(starts, length),
                        "doc": block.ids[row],
                        "place": (block.parts[row] << postings.PLACE_BITS) | (starts - block.offsets[row])}
     return run

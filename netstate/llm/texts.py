@@ -56,27 +56,34 @@ def spread(n: int, seed: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=U64) * U64(ODD) + U64(seed))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=U64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+_POWERS: dict[tuple, np.ndarray] = {}
+
+
+def powers(base: int, n: int, kind=U64) -> np.ndarray:
+    """base^0 to base^(n - 1) modulo the width of ``kind``; the longest asked for is kept."""
+    known = _POWERS.get((base, kind))
+    if known is None or len(known) < n:
+        known = np.full(max(n, 1 << 16), base & (2 ** (8 * np.dtype(kind).itemsize) - 1), dtype=kind)
+        known[0] = 1
+        known = _POWERS[base, kind] = np.multiply.accumulate(known)
+    return known[:n]
 
 
 class Rolling:
-    """Hashes of windows of a sequence: sums of value x base^position modulo 2^64, moved to position 0."""
+    """Hashes of windows of a sequence: sums of value x base^position modulo 2^64 (or 2^32), moved to position 0."""
 
     def __init__(self, values: np.ndarray, base: int = ODD):
-        n = len(values)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(values * powers(base, n), out=self.sums[1:])
-        self.back = powers(pow(base, -1, 1 << 64), n + 1)
+        n, kind = len(values), values.dtype.type
+        self.sums = np.zeros(n + 1, dtype=kind)
+        np.cumsum(values * powers(base, n, kind), out=self.sums[1:])
+        self.back = powers(pow(base, -1, 1 << 64), n + 1, kind)
 
     def windows(self, starts: np.ndarray, length) -> np.ndarray:
-        return mixed((self.sums[starts + length] - self.sums[starts]) * self.back[starts])
+        out = (self.sums[starts + length] - self.sums[starts]) * self.back[starts]
+        return mixed(out) if out.dtype == U64 else out
 
 
-BYTE_VALUES, BYTE_VALUES2 = spread(256, 1), spread(256, 2)
+BYTE_VALUES, BYTE_VALUES2 = spread(256, 1), spread(256, 2).astype(np.uint32)
 
 
 class Block:
