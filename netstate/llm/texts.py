@@ -65,7 +65,7 @@ def powers(base: int, n: int, kind=U64) -> np.ndarray:
     if known is None or len(known) < n:
         known = np.full(max(n, 1 << 16), base & (2 ** (8 * np.dtype(kind).itemsize) - 1), dtype=kind)
         known[0] = 1
-        known = _POWERS[base, kind] = np.multiply.accumulate(known)
+        known = _POWERS[base, kind] = np.multiply.accumulate(known, dtype=kind)
     return known[:n]
 
 
