@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netstate.llm import bpe, substrings, suffixes
+from netstate.llm import bpe, fingerprints, neardups, substrings, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +23,18 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark, sf_dir):
+    return neardups.near_digest(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffixes.suffix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_substring_dedup, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_substring_dedup, op5_minhash_near_dedup,
+                                    op8_fingerprints, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
