@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netstate.llm import bpe, fingerprints, neardups, substrings, suffixes
+from netstate.llm import bpe, fingerprints, languages, neardups, substrings, suffixes, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op3_substring_dedup(spark, sf_dir):
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark, sf_dir):
+    return languages.language_digest(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return neardups.near_digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +43,6 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.suffix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_substring_dedup, op5_minhash_near_dedup,
-                                    op8_fingerprints, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_substring_dedup, op4_language_id, op5_minhash_near_dedup,
+                                    op6_toxicity, op8_fingerprints, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
