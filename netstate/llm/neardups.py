@@ -52,9 +52,9 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     least = np.full((len(sets), REGISTERS), np.inf)
     seed, row, at = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), np.zeros(sizes.sum())
     reach = np.repeat(REACH / np.maximum(sizes, 1), sizes)
-    step = U64(0)
+    step = np.zeros(1, dtype=U64)
     while len(seed):
-        step += U64(ODD)
+        step = step + U64(ODD)
         draw = mixed(seed + step)
         at = at - np.log(((draw >> U64(16)).astype(np.float64) + 0.5) / (1 << 48)) / REGISTERS
         live = at <= reach

@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netstate.llm import bpe, fingerprints, languages, neardups, substrings, suffixes, toxicity
+from netstate.llm import (bpe, decontamination, fingerprints, languages, lines, neardups, substrings, suffixes, toxicity,
+                          urls)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,18 @@ def op1_bpe(spark, sf_dir):
     return bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_url_filters(spark, sf_dir):
+    return urls.filtered_urls(table(spark, sf_dir, "pages"))
+
+
+def op7_decontamination(spark, sf_dir):
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_line_dedup(spark, sf_dir):
+    return lines.line_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark, sf_dir):
     return substrings.substring_digest(table(spark, sf_dir, "documents"))
 
@@ -43,6 +56,6 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffixes.suffix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_substring_dedup, op4_language_id, op5_minhash_near_dedup,
-                                    op6_toxicity, op8_fingerprints, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_substring_dedup, op4_language_id, op5_minhash_near_dedup,
+                                    op6_toxicity, op7_decontamination, op8_fingerprints, op9_line_dedup, op10_suffix_dedup)}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.SQL}
