@@ -37,23 +37,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, stretch: int =
 
     Items with fewer tokens than every mask spans (7) are not searched for.
     """
-    items = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("item")).where("size(item) > 0")
+    items = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("item"))
     total = items.agg(F.sum(F.size("item"))).first()[0] or 0
-    index = (_seeds(items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - 1)).alias("item_at")),
-                    "item", "item_at", masks).select("seed", "item_id", "item", "item_at"))
+
+    def places(array):
+        return F.explode(F.sequence(F.lit(0), F.greatest(F.size(array) - 1, F.lit(0))))
+    index = (_seeds(items.select("item_id", "item", places("item").alias("item_at")), "item", "item_at", masks)
+             .select("seed", "item_id", "item", "item_at"))
     if total <= BROADCAST_TOKENS:
         index = F.broadcast(index)
-    words = docs.where("text is not null").select("doc_id", "part", tokens(F.col("text")).alias("words")).where("size(words) > 0")
-    probes = _seeds(words.select("doc_id", "part", "words", F.explode(F.sequence(F.lit(0), F.size("words") - 1)).alias("at")),
-                    "words", "at", masks)
-    begin = F.col("at") - F.col("item_at")
-    hits = probes.join(index, "seed").select(
-        "doc_id", "part", "item_id", F.transform("item", lambda w, i: F.when(
-            F.get("words", begin + i) == w, 1).otherwise(0)).alias("equal"))
+    words = docs.where("text is not null").select("doc_id", "part", tokens(F.col("text")).alias("words"))
+    probes = _seeds(words.select("doc_id", "part", "words", places("words").alias("at")), "words", "at", masks)
+    # A hit takes the document's tokens beside the item along; hits of the same shift are one. Positions, seeds and join run
+    # in one generated loop that never copies the tokens of a document, and the comparison comes after the aggregation.
+    shift = F.col("at") - F.col("item_at")
+    beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.size("item") + F.least(shift, F.lit(0)))
+    hits = (probes.join(index, "seed").select("doc_id", "part", "item_id", shift.alias("shift"), "item", beside.alias("beside"))
+            .groupBy("doc_id", "part", "item_id", "shift").agg(F.first("item").alias("item"), F.first("beside").alias("beside")))
+    same = hits.select("doc_id", "part", "item_id", F.transform("item", lambda w, i: F.when(
+        F.get("beside", i + F.least(F.col("shift"), F.lit(0))) == w, 1).otherwise(0)).alias("equal"))
     width = F.least(F.lit(stretch), F.size("equal"))
     best = F.exists(F.sequence(F.lit(1), F.size("equal") - width + 1), lambda i: F.aggregate(
         F.slice("equal", i, width), F.lit(0), lambda s, x: s + x) * 100 >= width * percent)
-    return hits.where(best).select("doc_id", "part", "item_id").distinct()
+    return same.where(best).select("doc_id", "part", "item_id").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
