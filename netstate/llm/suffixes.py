@@ -5,7 +5,7 @@ takes both into the cover. So of two equal strings of 100 bytes, equal strings o
 same shift. First the covered suffixes are grouped by their 28 bytes: that is the cover's rank as far as it matters here, and
 it leaves only suffixes near covered positions whose class has several members. Then those suffixes are ordered by their first
 100 bytes, one bucket of suffixes after the other, so that what is held and shuffled at a time is a bucket and not the corpus.
-Within a bucket, order and ties are settled by 96-bit fingerprints of the 100 bytes instead of a walk through long common
+Within a bucket, order and ties are settled by 80-bit fingerprints of the 100 bytes instead of a walk through long common
 prefixes; all that is asked of the order is that equal strings are neighbours and the first occurrence comes first.
 """
 from __future__ import annotations
@@ -24,7 +24,7 @@ from netstate.session import discard, materialize
 LENGTH = 100
 #: A perfect difference set; every nonzero residue modulo 73 is a difference of exactly one pair.
 COVER_PERIOD, COVER = 73, (0, 1, 12, 20, 26, 30, 33, 35, 57)
-SUFFIX_BUCKETS = 2
+SUFFIX_BUCKETS = 3
 
 
 def _sample_postings(length: int):
@@ -67,13 +67,13 @@ def _suffix_postings(length: int, bucket: int, buckets: int):
                     np.add.at(near, base + hits + 1, -1)
                 at_row += len(rows)
                 starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                row = np.searchsorted(block.offsets, starts, side="right") - 1
+                row = np.repeat(np.arange(len(rows)), np.diff(block.offsets))[starts]
                 fits = starts + length <= block.offsets[row + 1]
                 starts, row = starts[fits], row[fits]
                 key = Rolling(BYTE_VALUES[block.bytes]).windows(starts, length)
                 mine = key % U64(buckets) == bucket
                 starts, row, key = starts[mine], row[mine], key[mine]
-                yield {"key": key, "key2": Rolling(BYTE_VALUES2[block.bytes], ODD2).windows(starts, length),
+                yield {"key": key, "key2": (Rolling(BYTE_VALUES2[block.bytes], ODD2).windows(starts, length) >> np.uint32(16)).astype(np.uint16),
                        "doc": block.ids[row],
                        "place": (block.parts[row] << postings.PLACE_BITS) | (starts - block.offsets[row])}
     return run
