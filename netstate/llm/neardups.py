@@ -6,7 +6,8 @@ registers of a union are the larger ones of the two (mergeable), equal registers
 (locality-sensitive), and the counts of larger, smaller and equal registers give the Jaccard similarity by maximum likelihood.
 
 1. Documents with equal sets form a class; only its smallest id goes on.
-2. Bands of registers bring candidates together: every member of a band's bucket is compared with the smallest id there.
+2. Bands of registers bring candidates together: every member of a band's bucket is compared with the one there that shares
+   most buckets with others, which in a family of edited copies is the text that they come from.
 3. The joint estimate drops what is far below the threshold; the rest is confirmed on the full sets; components follow.
 4. Buckets that still hold several components: members outside the largest one are compared with all members of others. So
    no pair of different components that shares a bucket is left out, and a bucket of thousands of copies costs one row a copy.
@@ -162,9 +163,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
         F.min(F.struct("doc_id", "part", "n_shingles", "sketch", "bands")).alias("r")).select(
         "set1", "set2", F.col("r.doc_id").alias("rep"), "r.part", "r.n_shingles", "r.sketch", "r.bands"), "classes")
     banded = classes.select(F.explode("bands").alias("band"), "rep")
-    centre = banded.groupBy("band").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a <> last").drop("last")
-    members = materialize(banded.join(centre, "band"), "band-members")
-    tested = materialize(members.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "tested")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    several = materialize(banded.join(shared, "band"), "shared-bands")
+    degree = several.groupBy("rep").agg(F.sum("size").alias("degree"))
+    ranked = several.select("band", "rep").join(degree, "rep")
+    centre = ranked.groupBy("band").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("a"))
+    members = materialize(several.select("band", "rep").join(centre, "band"), "band-members")
+    discard(several)
+    tested = materialize(members.where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "tested")
     own = drawn.where("n_shingles > 0 and doc_id is not null").join(classes.select("set1", "set2", "rep"), ["set1", "set2"])
     same = own.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(materialize(_plausible(tested, classes, percent), "plausible"), docs, classes, percent, shingle)
@@ -173,9 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
         "band", "rep", F.coalesce("root", "rep").alias("root"))
     count = placed.groupBy("band", "root").count().groupBy("band").agg(
         F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed_bands = materialize(placed.join(count.drop("kinds"), "band"), "mixed-bands")
-    cross = (mixed_bands.where("root <> top").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"))
-             .join(mixed_bands.select("band", F.col("rep").alias("y"), F.col("root").alias("ry")), "band").where("rx <> ry")
+    mixed_bands = materialize(placed.join(count.drop("kinds"), "band").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"),
+                              "mixed-bands")
+    cross = (mixed_bands.where("root <> top").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
+             .join(mixed_bands.select("band", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")), "band")
+             .where(f"rx <> ry and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
              .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
              .join(tested, ["a", "b"], "left_anti"))
     more = _confirmed(materialize(_plausible(cross, classes, percent), "plausible"), docs, classes, percent, shingle)
