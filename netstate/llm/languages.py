@@ -124,7 +124,7 @@ class LanguageModel:
             for d in train:
                 learner.learn(*d)
         w = learner.weights()
-        logits = np.array([x @ w[at] for at, x, _ in tune]).reshape(len(tune), -1)
+        logits = np.array([x @ w[at] for at, x, _ in tune]).reshape(len(tune), w.shape[1])
         heat = temperature(logits, np.array([k for *_, k in tune], dtype=int))
         return cls(languages, (w * idf[:, None] * SCALE / heat).astype(np.float32), heat)
 
