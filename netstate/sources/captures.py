@@ -57,7 +57,7 @@ def _packets_of(r) -> pd.DataFrame:
     return pd.DataFrame(out, columns=PACKET_SCHEMA.names)
 
 
-def read_captures(spark: SparkSession, path: str, pattern: str = "*.{pcap,cap}",
+def read_captures(spark: SparkSession, path: str, pattern: str = "*.{[pP][cC][aA][pP],[cC][aA][pP]}",
                   range_bytes: int = 8 << 20) -> DataFrame:
     """Packets of all captures below ``path``: capture, packet_no, ts, linktype, frame."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

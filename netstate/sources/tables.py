@@ -83,6 +83,13 @@ def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> N
     if fmt == "json":
         df.write.mode(mode).json(path)
         return
-    flat = [F.array_join(f.name, " > ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
-            for f in df.schema if f.dataType.typeName() != "struct"]
+    flat = []
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind == "array":
+            flat.append(F.array_join(f.name, " > ").alias(f.name))
+        elif kind == "struct":                                     # its fields as columns of their own
+            flat += [F.col(f"`{f.name}`.`{x.name}`").alias(f"{f.name}_{x.name}") for x in f.dataType]
+        else:
+            flat.append(F.col(f"`{f.name}`"))
     df.select(*flat).write.mode(mode).option("header", "true").csv(path)
