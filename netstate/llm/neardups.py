@@ -9,8 +9,10 @@ registers of a union are the larger ones of the two (mergeable), equal registers
 2. Bands of registers bring candidates together: every member of a band's bucket is compared with the one there that shares
    most buckets with others, which in a family of edited copies is the text that they come from.
 3. The joint estimate drops what is far below the threshold; the rest is confirmed on the full sets; components follow.
-4. Buckets that still hold several components: members outside the largest one are compared with all members of others. So
-   no pair of different components that shares a bucket is left out, and a bucket of thousands of copies costs one row a copy.
+4. Buckets that still hold several components: members outside the largest one are compared with the members of others that
+   have enough shingles in common with anybody: shingles that no other member has are in no intersection, which bounds every
+   similarity of a member from above. So no pair of different components that shares a bucket and can reach the threshold is
+   left out, a bucket of thousands of copies costs one row a copy, and edited copies that are like nothing else cost nothing.
 """
 from __future__ import annotations
 
@@ -151,6 +153,21 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int,
     return out
 
 
+def _private(members: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(rep, private): how many shingles of a member no other of ``members`` has; those without any are left out."""
+    def run(batches):
+        for rows in blocks(batches):
+            sets = shingle_sets(rows, shingle)
+            yield pa.record_batch({"rep": pa.array(np.repeat([r[0] for r in rows], [len(s) for s in sets]), pa.int64()),
+                                   "shingle": _signed(np.concatenate(sets))})
+
+    needed = members.select("rep").distinct().join(reps.select("rep", "part"), "rep")
+    each = docs.select("doc_id", "part", "text").join(needed.toDF("doc_id", "part"), ["doc_id", "part"]).mapInArrow(
+        run, "rep bigint, shingle bigint")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("holders"), F.min("rep").alias("rep")).where("holders = 1")
+    return alone.groupBy("rep").agg(F.count("*").alias("private"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, part, n_shingles and component_id of every row: the smallest doc_id that links of ``percent`` similarity reach.
 
@@ -179,12 +196,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
         "band", "rep", F.coalesce("root", "rep").alias("root"))
     count = placed.groupBy("band", "root").count().groupBy("band").agg(
         F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    mixed_bands = materialize(placed.join(count.drop("kinds"), "band").join(classes.select("rep", F.col("n_shingles").alias("n")), "rep"),
-                              "mixed-bands")
-    cross = (mixed_bands.where("root <> top").select("band", F.col("rep").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"))
-             .join(mixed_bands.select("band", F.col("rep").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny")), "band")
-             .where(f"rx <> ry and 100 * nx >= {percent} * ny and 100 * ny >= {percent} * nx")
-             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    several = materialize(placed.join(count.drop("kinds"), "band"), "mixed-bands")
+    private = _private(several, docs, classes, shingle)
+    shared = classes.select("rep", F.col("n_shingles").alias("n")).join(private, "rep", "left").select(
+        "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
+    open_bands = materialize(several.join(shared.where(f"100 * common >= {percent} * n"), "rep"), "open-bands")
+    x = open_bands.where("root <> top").select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "common")])
+    y = open_bands.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "common")])
+    cross = (x.join(y, "band")
+             .where(f"root_x <> root_y and 100 * least(common_x, common_y) >= {percent} * (n_x + n_y - least(common_x, common_y))")
+             .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
              .join(tested, ["a", "b"], "left_anti"))
     more = _confirmed(materialize(_plausible(cross, classes, percent), "plausible"), docs, classes, percent, shingle)
     found = components(links.union(more).union(same))
