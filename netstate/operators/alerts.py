@@ -256,10 +256,8 @@ def _percent(x: Column) -> Column:
 def alert_reason(table: DataFrame, threshold: float, options: Options) -> DataFrame:
     """A sentence per alert that says which rule opened it."""
     return table.withColumn("reason", F.concat(
-        F.lit("The forecast for +"), F.col("seconds_ahead").cast("string"), F.lit("s reached "),
-        _percent(F.col("risk_at_step")), F.lit(f", at or above the configured alert threshold ({threshold:.0%}), and "
-                                               f"stayed above it for {options.persistence} consecutive windows "
-                                               "(persistence rule).")))
+        F.lit(f"Opened after {options.persistence} windows in a row with a risk of {threshold:.0%} or more; "),
+        _percent(F.col("risk_at_step")), F.lit(" is expected "), F.col("seconds_ahead").cast("string"), F.lit(" seconds ahead.")))
 
 
 def risk_text(rows: DataFrame, threshold: float, options: Options) -> DataFrame:
@@ -268,14 +266,11 @@ def risk_text(rows: DataFrame, threshold: float, options: Options) -> DataFrame:
     best = rows.groupBy(*KEYS, "pos").agg(
         F.max_by(F.struct("risk", "label"), F.struct("risk", -F.col("step"))).alias("peak"),
         F.min_by(F.struct("label", "stage", "risk"), F.when(F.col("above"), F.col("step"))).alias("first"))
-    peak = F.concat(_percent(F.col("peak.risk")), F.lit(" at "), F.col("peak.label"), F.lit("."))
-    above = F.concat(
-        F.lit("The model forecasts attack activity ("), F.col("first.stage"), F.lit(") from "), F.col("first.label"),
-        F.lit(": probability "), _percent(F.col("first.risk")),
-        F.lit(f" against an alert threshold of {threshold:.0%}; the highest value in the next {reach}s is "), peak)
-    below = F.concat(F.lit(f"No forecast step reaches the alert threshold ({threshold:.0%}). The highest probability in "
-                           f"the next {reach}s is "), peak)
-    return best.select(*KEYS, "pos", F.when(F.col("first").isNotNull(), above).otherwise(below).alias("text"))
+    start = F.when(F.col("first").isNotNull(), F.concat(
+        F.col("first.stage"), F.lit(" expected from "), F.col("first.label"), F.lit(" ("), _percent(F.col("first.risk")),
+        F.lit(f", limit {threshold:.0%}). "))).otherwise(f"Below the limit of {threshold:.0%} in every step. ")
+    peak = F.concat(F.lit(f"Peak over {reach} seconds: "), _percent(F.col("peak.risk")), F.lit(" at "), F.col("peak.label"), F.lit("."))
+    return best.select(*KEYS, "pos", F.concat(start, peak).alias("text"))
 
 
 def replay_history(timeline: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:

@@ -82,11 +82,11 @@ class LogisticScorer:
             if with_stages and S > 1:
                 sid = F.element_at("future_stage", k)
                 known = rows.where(sid >= 0).select("x", sid.cast("double").alias("y"), F.lit(1.0).alias("w"))
-                counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-                seen = sorted(counts)
+                support = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+                seen = sorted(support)
                 if len(seen) < 2:
                     continue
-                m = _regression(rows, sum(counts.values()), iterations).setFamily("multinomial").fit(known)
+                m = _regression(rows, sum(support.values()), iterations).setFamily("multinomial").fit(known)
                 c = m.coefficientMatrix.toArray()
                 stage[k - 1, :len(c)] = c.reshape(-1, L, size)
                 stage_bias[k - 1, :len(c)] = m.interceptVector.toArray()

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from netstate.config import EXACT_LABELS, SCENARIO_RATIOS, SCENARIOS, STAGE_ORDER, TACTIC_IDS, Options
-from netstate.functions.knowledge import PLAYBOOKS, PORT_SERVICES, label_of_feature
+from netstate.functions.knowledge import FEATURE_LABELS, PLAYBOOKS, PORT_SERVICES
 from netstate.functions.levels import DISPLAY_LEVELS, INCIDENT_LEVELS
 from netstate.operators.forecast import CLOSED_FORM_STAGES
 from netstate.operators.metrics import GRID, RANKS
@@ -151,7 +151,8 @@ add("segment_prune", R300, """SELECT source, segment, count(*) AS windows, min(t
 add("segment_extremes", R300 + """, z AS (SELECT source, segment, count(*) AS windows FROM st GROUP BY 1, 2)""",
     """(SELECT *, 'shortest' AS "end" FROM z ORDER BY windows, source, segment LIMIT 10) UNION ALL
 (SELECT *, 'longest' AS "end" FROM z ORDER BY windows DESC, source, segment LIMIT 5)""")
-add("csv_ingest", FLOWS, """SELECT protocol, stage, count(*) AS flows, round(sum(dur), 6) AS dur, sum(fb) AS fb,
+for name in ("csv_ingest", "csv_ingest_mixed"):
+    add(name, FLOWS, """SELECT protocol, stage, count(*) AS flows, round(sum(dur), 6) AS dur, sum(fb) AS fb,
  sum(win) AS win, count(DISTINCT src_ip) AS sources, min(date_trunc('second', timestamp)) AS first FROM f GROUP BY 1, 2""")
 
 # ----------------------------------------------------------------------------------------------- packets
@@ -392,16 +393,15 @@ TABLE = f"""SELECT source, segment, id AS n, opened_pos, last_pos, closed_pos, o
  CAST(step * 3600 AS INT) AS seconds_ahead, round(pp[step], 6) AS risk_at_step, n_windows AS windows, duration_windows,
  step * 3600.0::DOUBLE AS eta_seconds, status FROM al"""
 add("alert_table", ALERTS, TABLE)
-add("alert_reason", ALERTS, f"""SELECT source, id AS n, 'The forecast for +' || (step * 3600) || 's reached ' || printf('%.0f', pp[step] * 100)
- || '%, at or above the configured alert threshold (60%), and stayed above it for 2 consecutive windows (persistence rule).' AS reason FROM al""")
+add("alert_reason", ALERTS, f"""SELECT source, id AS n, 'Opened after 2 windows in a row with a risk of 60% or more; '
+ || printf('%.0f', pp[step] * 100) || '% is expected ' || (step * 3600) || ' seconds ahead.' AS reason FROM al""")
 add("alert_open_at", ALERTS, f"""SELECT tl.source, tl.segment, tl.pos, tl.timestamp, round(risk, 6) AS risk, al.id AS alert_id,
  al.stage AS alert_stage FROM tl LEFT JOIN al ON al.source = tl.source AND al.segment = tl.segment AND tl.pos >= al.opened_pos
  AND (al.closed_pos IS NULL OR tl.pos < al.closed_pos)""")
-add("risk_text", LONG, f"""SELECT {KEY}, CASE WHEN max(p) >= {THR} THEN 'The model forecasts attack activity (' || arg_min(likely, step) FILTER (p >= {THR})
- || ') from +' || (min(step) FILTER (p >= {THR}) * 3600) || 's: probability ' || printf('%.0f', 100 * arg_min(p, step) FILTER (p >= {THR}))
- || '% against an alert threshold of 60%; the highest value in the next 21600s is '
- ELSE 'No forecast step reaches the alert threshold (60%). The highest probability in the next 21600s is ' END
- || printf('%.0f', 100 * max(p)) || '% at +21600s.' AS text FROM lo GROUP BY {KEY}""")
+add("risk_text", LONG, f"""SELECT {KEY}, CASE WHEN max(p) >= {THR} THEN arg_min(likely, step) FILTER (p >= {THR})
+ || ' expected from +' || (min(step) FILTER (p >= {THR}) * 3600) || 's (' || printf('%.0f', 100 * arg_min(p, step) FILTER (p >= {THR}))
+ || '%, limit 60%). ' ELSE 'Below the limit of 60% in every step. ' END
+ || 'Peak over 21600 seconds: ' || printf('%.0f', 100 * max(p)) || '% at +21600s.' AS text FROM lo GROUP BY {KEY}""")
 add("replay_history", FC, """SELECT source, rn AS "row", timestamp, round(risk, 6) AS risk, head AS stage, is_attack AS truth,
  stage AS truth_stage, flow_count FROM fc""")
 
@@ -586,14 +586,14 @@ add("attributions", AT, f"""SELECT {KEY}, rank, feature, round(v, 6) AS attribut
 add("attribution_by_window", FC, """SELECT CAST(i - 11 AS INT) AS "offset", CASE WHEN i = 11 THEN 1.0::DOUBLE ELSE 0.0 END AS share FROM range(0, 12) r(i)
  WHERE EXISTS (SELECT 1 FROM fc)""")
 add("incident_drivers", INC + AT[len(FC):], f"""SELECT ii.id, rank, feature, round(v, 6) AS attribution, round(share, 6) AS share,
- CASE WHEN v > 0 THEN 'Raises' ELSE 'Lowers' END || ' the risk: ' || CASE feature WHEN 'flow_count' THEN '{label_of_feature('flow_count')}'
- ELSE '{label_of_feature('failed_flow_ratio')}' END AS sentence FROM ii JOIN ar ON ar.source = ii.source AND ar.segment = ii.segment AND ar.pos = ii.opened_pos""")
+ CASE WHEN v > 0 THEN 'Raises' ELSE 'Lowers' END || ' the risk: ' || CASE feature WHEN 'flow_count' THEN '{FEATURE_LABELS['flow_count']}'
+ ELSE '{FEATURE_LABELS['failed_flow_ratio']}' END AS sentence FROM ii JOIN ar ON ar.source = ii.source AND ar.segment = ii.segment AND ar.pos = ii.opened_pos""")
 add("traffic_evidence", REG + ", ev AS (" + " UNION ALL ".join(
     f"SELECT {KEY}, timestamp, '{f}' AS feature, {f} AS cu, avg({f}) OVER (PARTITION BY source, segment ORDER BY pos ROWS BETWEEN 11 PRECEDING AND 1 PRECEDING) AS me FROM st"
     for f in ("flow_count", "syn_ratio", "scan_score")) + ")", f"""SELECT {KEY}, timestamp, feature, round(cu, 6) AS current, round(me, 6) AS earlier_mean,
  CASE WHEN me <> 0 THEN round((cu - me) / abs(me), 6) END AS change FROM ev WHERE pos >= 11""")
 add("feature_labels", REG, " UNION ALL ".join(
-    f"SELECT '{f}' AS feature, '{label_of_feature(f)}' AS feature_label FROM st HAVING stddev_pop({model_space(f)}) > 1e-8" for f in FEATURES))
+    f"SELECT '{f}' AS feature, '{FEATURE_LABELS.get(f, f.replace("_", " "))}' AS feature_label FROM st HAVING stddev_pop({model_space(f)}) > 1e-8" for f in FEATURES))
 MIX = "SELECT CASE WHEN is_attack THEN stage ELSE 'Benign windows' END AS {n}, count(*) AS windows FROM st GROUP BY 1"
 add("label_mix", REG, MIX.format(n="label"))
 ids = " ".join(f"WHEN '{s}' THEN '{TACTIC_IDS[s]}'" for s in TACTIC_IDS)

@@ -137,26 +137,44 @@ def segment_extremes(spark, sf):
     return grid.short_and_long_segments(regular(spark, sf, G300))
 
 
-@query
-def csv_ingest(spark, sf):
-    """Flows written as flow CSVs of one sensor each, read back through the dialect-tolerant scan."""
-    from netstate.sources.flow_csv import read_flows
-    flows = event_flows(spark, sf)
-    text = flows.select(
-        "source", F.col("dst_port").cast("int").alias("Dst Port"), F.col("protocol").cast("int").alias("Protocol"),
-        F.date_format("timestamp", "dd/MM/yyyy HH:mm:ss").alias("Timestamp"), (F.col("dur") * 1e6).alias("Flow Duration"),
+def _flow_text(flows: DataFrame, time, protocol) -> DataFrame:
+    return flows.select(
+        "source", F.col("dst_port").cast("int").alias("Dst Port"), protocol.alias("Protocol"), time.alias("Timestamp"),
+        (F.col("dur") * 1e6).alias("Flow Duration"),
         F.col("fp").alias("Tot Fwd Pkts"), F.col("bp").alias("Tot Bwd Pkts"), F.col("fb").alias("TotLen Fwd Pkts"),
         F.col("bb").alias("TotLen Bwd Pkts"), F.coalesce("win", F.lit(-1.0)).alias("Init Fwd Win Byts"),
         F.col("src_ip").alias("Src IP"), F.col("dst_ip").alias("Dst IP"), F.col("raw_label").alias("Label"))
+
+
+def _ingested(spark: SparkSession, text: DataFrame) -> DataFrame:
     import uuid
+
+    from netstate.sources.flow_csv import read_flows
     path = f"{shared_folder(spark)}/flow-csv-{uuid.uuid4().hex}"
     text.write.partitionBy("source").option("header", "true").csv(path)
-    read = read_flows(spark, path, Options())
-    return tidy(read.groupBy("protocol", "stage").agg(
+    return tidy(read_flows(spark, path, Options()).groupBy("protocol", "stage").agg(
         F.count("*").alias("flows"), F.sum("dur").alias("dur"), F.sum("fb").alias("fb"), F.sum("win").alias("win"),
         F.countDistinct("src_ip").alias("sources"), F.min("timestamp").alias("first")))
 
 
+@query
+def csv_ingest(spark, sf):
+    """Flows written as flow CSVs of one sensor each, read back through the dialect-tolerant scan."""
+    return _ingested(spark, _flow_text(event_flows(spark, sf), F.date_format("timestamp", "dd/MM/yyyy HH:mm:ss"),
+                                       F.col("protocol").cast("int").cast("string")))
+
+
+@query
+def csv_ingest_mixed(spark, sf):
+    """As csv_ingest, but later days of a file write times in another format and protocols by name."""
+    late = F.dayofmonth("timestamp") > 10
+    name = F.when(F.col("protocol") == 6, "tcp").when(F.col("protocol") == 17, "UDP").when(F.col("protocol") == 1, "icmp")
+    number = F.col("protocol").cast("int").cast("string")
+    return _ingested(spark, _flow_text(
+        event_flows(spark, sf), F.when(late, F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")).otherwise(
+            F.date_format("timestamp", "dd/MM/yyyy HH:mm:ss")), F.when(late, F.coalesce(name, number)).otherwise(number)))
+
+
 def _packets(spark, sf) -> DataFrame:
     """TCP and UDP frames built from the events, five conversations per sensor."""
     e = spark.read.parquet(f"{sf}/events.parquet")

@@ -2,12 +2,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 HEAD_BYTES = 1 << 20
+CAPTURE_SUFFIXES = (".pcap", ".cap")
+
+
+def file_kind(path: Column) -> Column:
+    """pcap, parquet or text, by the ending of the name in any case."""
+    name = F.lower(path)
+    capture = reduce(lambda a, b: a | b, [F.endswith(name, F.lit(x)) for x in CAPTURE_SUFFIXES])
+    return F.when(capture, "pcap").when(F.endswith(name, F.lit(".parquet")), "parquet").otherwise("text")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
@@ -17,10 +26,10 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFr
 
 
 def find_flow_files(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Flow CSVs below a folder; files with "states" in their name hold state tables and are left out."""
+    """Text files below a folder; those with "states" in their name hold state tables and are left out."""
     files = list_files(spark, path, pattern)
     name = F.lower(F.element_at(F.split("path", "/"), -1))
-    return files.where(~name.contains("states"))
+    return files.where(~name.contains("states") & (file_kind(name) == "text"))
 
 
 def open_file(uri: str):

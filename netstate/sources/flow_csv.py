@@ -1,7 +1,8 @@
 """Flow CSV files of any dialect -> canonical flows.
 
-Files are grouped by header and by what their first lines show (timestamp format, textual protocols). Every group is one
-plain CSV scan with one static projection, so column pruning works and no decision is taken per row.
+Files are grouped by header and by the timestamp format that their first lines show. Every group is one plain CSV scan with
+one static projection, so column pruning works. The format found is only the first that a row tries: rows that change it
+later in the file, or spell protocols in another way, are read as well.
 """
 from __future__ import annotations
 
@@ -108,17 +109,21 @@ def number(text: Column) -> Column:
 
 
 def parsed_time(text: Column, fmt: str) -> Column:
-    """Timestamp of a text in an elected format; ``mixed`` takes the first format that fits each row."""
+    """Timestamp of a text in the format ``fmt``, else in the first other one that fits; null if none does.
+
+    Numbers are epoch seconds, beyond 1e11 milliseconds.
+    """
     text = F.trim(text)
-    if fmt in ("s", "ms"):
-        seconds = number(text) / (1000 if fmt == "ms" else 1)
-        return F.timestamp_seconds(seconds).cast("timestamp_ntz")
-    formats = TIMESTAMP_FORMATS if fmt == "mixed" else [fmt]
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz") for f in formats])
+    value = number(text)
+    epoch = F.timestamp_seconds(F.when(F.abs(value) > 1e11, value / 1000).otherwise(value)).cast("timestamp_ntz")
+    stated = [] if fmt in ("s", "ms", "mixed") else [fmt]
+    written = [F.try_to_timestamp(text, F.lit(f)).cast("timestamp_ntz")
+               for f in stated + [f for f in TIMESTAMP_FORMATS if f not in stated]]
+    return F.coalesce(*([*written, epoch] if stated else [epoch, *written]))
 
 
 def elect(samples: DataFrame, options: Options) -> DataFrame:
-    """(path, fmt, textual) from (path, ts, proto) sample rows: how a file writes time and protocol.
+    """(path, fmt) from (path, ts) sample rows: the format of time that rows of a file try first.
 
     All values numeric: seconds or, beyond 1e11, milliseconds. Else the format that fits most rows, the earlier one
     of equals, and an early one at once if it fits more than 98 %; below one half each row picks its own format.
@@ -127,15 +132,14 @@ def elect(samples: DataFrame, options: Options) -> DataFrame:
     per = samples.groupBy("path").agg(
         F.array(*fits).alias("fits"), F.bool_and(number(F.col("ts")).isNotNull() | F.col("ts").isNull()).alias("numeric"),
         # at most 2000 sample rows per file
-        F.median(F.abs(number(F.col("ts")))).alias("size"),
-        (F.avg(number(F.col("proto")).isNull().cast("double")) > 0.5).alias("textual"))
+        F.median(F.abs(number(F.col("ts")))).alias("size"))
     early = F.array_position(F.transform("fits", lambda x: x > 0.98), True)
     best = F.when(early > 0, early).otherwise(F.array_position("fits", F.array_max("fits"))).cast("int")
     formats = F.array(*[F.lit(f) for f in TIMESTAMP_FORMATS])
     fmt = (F.when(F.col("numeric"), F.when(F.col("size") > 1e11, "ms").otherwise("s"))
            .when(F.array_max("fits") >= 0.5, F.element_at(formats, best)).otherwise("mixed"))
     chosen = F.lit(options.timestamp_format) if options.timestamp_format else fmt
-    return per.select("path", chosen.alias("fmt"), "textual")
+    return per.select("path", chosen.alias("fmt"))
 
 
 # -------------------------------------------------------------------------------------------------- scan
@@ -144,14 +148,17 @@ def _columns(dialect: Dialect) -> str:
 
 
 def scan(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
-    """All text columns of files with one header; lines with too many fields are left out."""
+    """All text columns of files with one header; ``extra`` isn't null in lines with too many fields."""
     reader = spark.read.schema(_columns(dialect)).option("header", str(dialect.has_header).lower())
     rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", "true").csv(paths)
-    return rows.where("extra is null").withColumn("source", F.col("_metadata.file_name"))
+    return rows.withColumn("source", F.col("_metadata.file_name"))
+
 
+def canonical(rows: DataFrame, dialect: Dialect, fmt: str, options: Options) -> DataFrame:
+    """One projection from raw text columns to the canonical flow schema, and ``problem``: null for flows.
 
-def canonical(rows: DataFrame, dialect: Dialect, fmt: str, textual: bool, options: Options) -> DataFrame:
-    """One projection from raw text columns to the canonical flow schema."""
+    Else what keeps a row from being one: too many fields, header (a header line once more), time or port.
+    """
     fields = dialect.fields
 
     def raw(field):
@@ -164,13 +171,8 @@ def canonical(rows: DataFrame, dialect: Dialect, fmt: str, textual: bool, option
         value = num(field)
         return F.when(value < 0, 0.0).otherwise(value) / divisor
 
-    if textual:
-        rule = F.lit(0.0)
-        for name, n in PROTOCOL_NUMBERS.items():
-            rule = F.when(F.lower(F.trim(raw("protocol"))) == name, float(n)).otherwise(rule)
-        protocol = rule
-    else:
-        protocol = F.coalesce(num("protocol"), F.lit(0.0))
+    named = F.create_map(*[F.lit(x) for name, n in PROTOCOL_NUMBERS.items() for x in (name, float(n))])
+    protocol = F.coalesce(num("protocol"), F.try_element_at(named, F.lower(F.trim(raw("protocol")))), F.lit(0.0))
     window = num("win_fwd")
     label = F.trim(raw("label")) if "label" in fields else F.lit("unlabeled")
     stage = stage_of_label(label, options) if "label" in fields else F.lit(BENIGN)
@@ -187,14 +189,14 @@ def canonical(rows: DataFrame, dialect: Dialect, fmt: str, textual: bool, option
         "ttl": num("ttl", None), "retr": num("retransmissions", None), "plm": count("pktlen_mean"),
         "pls": count("pktlen_std"), **{f: count(f) for f in ("syn", "ack", "rst", "fin", "psh", "urg")},
         "src_ip": text("src_ip"), "dst_ip": text("dst_ip"), "src_port": num("src_port", None), "raw_label": label}
-    usable = F.col("timestamp").isNotNull() & F.col("dst_port").isNotNull()
     header_again = F.coalesce(F.lower("raw_label") == "label", F.lit(False))
-    flows = rows.select(*[c.alias(n) for n, c in out.items()], stage.alias("stage"))
-    return flows.where(usable & ~header_again).select(*FLOW_SCHEMA.names)
+    problem = (F.when(F.col("extra").isNotNull(), "too many fields").when(header_again, "header")
+               .when(F.col("timestamp").isNull(), "time").when(F.col("dst_port").isNull(), "port"))
+    flows = rows.select(*[c.alias(n) for n, c in out.items()], stage.alias("stage"), "extra")
+    return flows.select(*FLOW_SCHEMA.names, problem.alias("problem"))
 
 
-def read_flows(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:
-    """Canonical flows of a CSV file or of all flow CSVs below a folder."""
+def _rows(spark: SparkSession, path: str, options: Options, pattern: str) -> DataFrame:
     heads = file_heads(find_flow_files(spark, path, pattern))
     listed = heads.select("path", "header").collect()          # the file listing, as any reader keeps it
     if not listed:
@@ -210,16 +212,29 @@ def read_flows(spark: SparkSession, path: str, options: Options, pattern: str =
         mine = heads if len(by_dialect) == 1 else heads.where(F.col("path").isin(paths))
         sampled = mine.select("path", F.explode(lines).alias("line")).select(
             "path", F.from_csv("line", _columns(dialect)).alias("r")).select(
-            "path", F.col(f"r.c{dialect.fields['timestamp']}").alias("ts"),
-            F.col(f"r.c{dialect.fields['protocol']}").alias("proto"))
-        groups: dict[tuple, list[str]] = {}
+            "path", F.col(f"r.c{dialect.fields['timestamp']}").alias("ts"))
+        groups: dict[str, list[str]] = {}
         for r in elect(sampled, options).collect():
-            groups.setdefault((r["fmt"], r["textual"]), []).append(r["path"])
-        parts += [canonical(scan(spark, sorted(files), dialect), dialect, fmt, textual, options)
-                  for (fmt, textual), files in sorted(groups.items())]
+            groups.setdefault(r["fmt"], []).append(r["path"])
+        empty = [p for p in paths if not any(p in g for g in groups.values())]
+        parts += [canonical(scan(spark, sorted(files), dialect), dialect, fmt, options)
+                  for fmt, files in sorted(({**groups, "mixed": groups.get("mixed", []) + empty} if empty else groups).items())]
     return reduce(DataFrame.unionByName, parts)
 
 
+def read_flows(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:
+    """Canonical flows of a CSV file or of all flow CSVs below a folder; ``row_report`` counts the rows that are none."""
+    return _rows(spark, path, options, pattern).where("problem is null").drop("problem")
+
+
+def row_report(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:
+    """One row per file: rows, flows, and the rows that are none by their problem."""
+    rows = _rows(spark, path, options, pattern)
+    kinds = {"too many fields": "too_many_fields", "header": "header_again", "time": "no_time", "port": "no_port"}
+    return rows.groupBy("source").agg(F.count("*").alias("rows"), F.count_if(F.col("problem").isNull()).alias("flows"),
+                                      *[F.count_if(F.col("problem") == k).alias(n) for k, n in kinds.items()])
+
+
 def has_labels(spark: SparkSession, path: str, options: Options) -> bool:
     heads = file_heads(find_flow_files(spark, path, "*"), 0).select("header").distinct().collect()
     return any("label" in dialect_of(r["header"], options).fields for r in heads)

@@ -1,18 +1,16 @@
 """State tables, uploads of any kind, exports."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netstate.config import BENIGN, Options
-from netstate.operators.grid import build_states, index_states, regular_states
-from netstate.operators.states import window_states
+from netstate.operators.grid import build_states, index_states
 from netstate.schema import feature_names, state_schema
-from netstate.session import materialize
-from netstate.sources.files import file_heads, list_files
-from netstate.sources.flow_csv import OPTIONAL, dialect_of, has_labels, read_flows
-
-CAPTURE_SUFFIXES = (".pcap", ".cap")
+from netstate.sources.files import file_heads, file_kind, list_files
+from netstate.sources.flow_csv import OPTIONAL, dialect_of, read_flows
 
 
 def write_states(states: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
@@ -48,34 +46,39 @@ def read_states(spark: SparkSession, path: str, options: Options) -> DataFrame:
 
 
 def load_traffic(spark: SparkSession, path: str, options: Options) -> tuple[DataFrame, dict]:
-    """A state table, flow CSVs or packet captures -> indexed states and what kind of data it was.
+    """State tables, or flow CSVs and packet captures in any mixture -> indexed states and what kind of data it was.
 
-    info: kind, labelled, optional_fields; the counts are :func:`netstate.operators.views.traffic_stats`.
+    Every file is looked at. State tables beside raw traffic or beside state tables of the other format are an error,
+    since windows of both would overlap. info: kind (mixed: CSVs and captures), labelled, optional_fields; the counts are
+    :func:`netstate.operators.views.traffic_stats`.
     """
-    files = list_files(spark, path, "*")
-    names = [r["path"] for r in files.select("path").limit(2).collect()]
-    if not names:
+    files = list_files(spark, path, "*").select("path", file_kind(F.col("path")).alias("kind"))
+    kinds = {r["kind"] for r in files.select("kind").distinct().collect()}
+    if not kinds:
         raise ValueError(f"no files below {path}")
-    if any(n.lower().endswith(CAPTURE_SUFFIXES) for n in names):
+    heads = file_heads(files.where("kind = 'text'"), 0).select("header").distinct().collect() if "text" in kinds else []
+    dialects = [dialect_of(r["header"], options) for r in heads]              # as many as there are different headers
+    flow_dialects = [d for d in dialects if not is_state_header(list(d.header), options)]
+    held = {"pcap": "pcap" in kinds, "flow-csv": bool(flow_dialects), "parquet states": "parquet" in kinds,
+            "CSV states": len(flow_dialects) < len(dialects)}
+    found = [k for k, there in held.items() if there]
+    if len(found) > 1 and (held["parquet states"] or held["CSV states"]):
+        raise ValueError(f"{path} holds {' and '.join(found)}; load state tables from a folder of their own")
+    if held["parquet states"] or held["CSV states"]:
+        header = spark.read.parquet(path).columns if "parquet" in kinds else [c for d in dialects for c in d.header]
+        return index_states(read_states(spark, path, options), options), {
+            "kind": "state-table", "labelled": "is_attack" in header, "optional_fields": []}
+    parts = []
+    if held["pcap"]:
         from netstate.operators.packets import packet_flows
         from netstate.sources.captures import read_captures
-        states = materialize(window_states(packet_flows(read_captures(spark, path)), options), "window-states")
-        return regular_states(states, options), {
-            "kind": "pcap", "labelled": False,
-            "optional_fields": ["src_ip", "dst_ip", "src_port", "ttl", "retransmissions"]}
-    if any(n.endswith(".parquet") for n in names):
-        header, parquet = spark.read.parquet(path).columns, True
-    else:
-        head = file_heads(files.where(F.col("path") == names[0]), 0).first()["header"]
-        header, parquet = list(dialect_of(head, options).header), False
-    if parquet or is_state_header(header, options):
-        states = read_states(spark, path, options)
-        return index_states(states, options), {"kind": "state-table", "labelled": "is_attack" in header,
-                                               "optional_fields": []}
-    fields = dialect_of(",".join(header), options).fields
-    return build_states(read_flows(spark, path, options, "*"), options), {
-        "kind": "flow-csv", "labelled": has_labels(spark, path, options),
-        "optional_fields": [f for f in OPTIONAL[:-1] if f in fields]}
+        parts.append(packet_flows(read_captures(spark, path)))
+    if held["flow-csv"]:
+        parts.append(read_flows(spark, path, options, "*"))
+    optional = OPTIONAL[:-1]
+    return build_states(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts), options), {
+        "kind": "mixed" if len(found) > 1 else found[0], "labelled": any("label" in d.fields for d in flow_dialects),
+        "optional_fields": [f for f in optional if held["pcap"] or any(f in d.fields for d in flow_dialects)]}
 
 
 def export(df: DataFrame, path: str, fmt: str = "csv", mode: str = "error") -> None:

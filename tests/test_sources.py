@@ -12,7 +12,7 @@ from netstate.operators.packets import packet_flows
 from netstate.operators.states import window_states
 from netstate.sources import history, tables
 from netstate.sources.captures import read_captures
-from netstate.sources.flow_csv import describe_files, read_flows, resolve_columns
+from netstate.sources.flow_csv import describe_files, read_flows, resolve_columns, row_report
 
 O = Options()
 HEADER = ("Dst Port,Protocol,Timestamp,Flow Duration,Tot Fwd Pkts,Tot Bwd Pkts,TotLen Fwd Pkts,TotLen Bwd Pkts,"
@@ -57,6 +57,31 @@ def test_messy_csv(spark, tmp_path):
     assert state["failed_flow_ratio"] == 1 and state["protocol_other"] > 0
 
 
+def test_formats_that_change_late_in_a_file(spark, tmp_path):
+    line = "80,{},{},1,1,1,1,1,1,1,1,1,Benign\n"
+    (tmp_path / "a.csv").write_text(
+        HEADER + "".join(line.format(6, f"{13 + i % 9}/02/2018 08:00:01") for i in range(2500))
+        + "".join(line.format("tcp", f"2018-02-{13 + i % 9} 08:00:01") for i in range(900))
+        + line.format("udp", "1519000000") + line.format("udp", "1519000000000") + line.format(6, "no time") + HEADER)
+    flows = read_flows(spark, str(tmp_path), O)
+    assert {r["protocol"]: r["count"] for r in flows.groupBy("protocol").count().collect()} == {6.0: 3400, 17.0: 2}
+    assert flows.where("protocol = 17").select("timestamp").distinct().first()[0] == dt.datetime(2018, 2, 19, 0, 26, 40)
+    assert [tuple(r) for r in row_report(spark, str(tmp_path), O).collect()] == [("a.csv", 3404, 3402, 0, 1, 1, 0)]
+
+
+def test_mixed_folder(spark, tmp_path):
+    (tmp_path / "b.csv").write_text(HEADER + "80,6,01/02/2018 08:00:01,1000000,2,1,100,50,1,1,5,-1,Benign\n" * 3)
+    packet = frame("10.0.0.1", "10.0.0.2", 5, 80, 6, 60, 2, 8192, 0, 1, False)
+    (tmp_path / "a.PCAP").write_bytes(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+                                      + struct.pack("<IIII", 1517472000, 0, len(packet), len(packet)) + packet)
+    states, info = tables.load_traffic(spark, str(tmp_path), Options(min_segment_windows=1))
+    assert {r["source"] for r in states.select("source").distinct().collect()} == {"a.PCAP", "b.csv"}
+    assert info["kind"] == "mixed" and info["labelled"] and "ttl" in info["optional_fields"]
+    tables.write_states(states, str(tmp_path / "own"))
+    with pytest.raises(ValueError, match="state tables"):
+        tables.load_traffic(spark, str(tmp_path), O)
+
+
 def test_missing_field(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError, match="timestamp"):
