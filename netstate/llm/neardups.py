@@ -201,11 +201,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     shared = classes.select("rep", F.col("n_shingles").alias("n")).join(private, "rep", "left").select(
         "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     open_bands = materialize(several.join(shared.where(f"100 * common >= {percent} * n"), "rep"), "open-bands")
-    x = open_bands.where("root <> top").select("band", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "common")])
-    y = open_bands.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "common")])
+    # A pair comes out once, in the first bucket that it shares and in one order: all of its buckets are among these, since
+    # a bucket of two components is open to both.
+    side = open_bands.join(classes.select("rep", "bands"), "rep")
+    x = side.where("root <> top").select("band", "top", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "common", "bands")])
+    y = side.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "common", "bands")])
     cross = (x.join(y, "band")
-             .where(f"root_x <> root_y and 100 * least(common_x, common_y) >= {percent} * (n_x + n_y - least(common_x, common_y))")
-             .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
+             .where("root_x <> root_y and (root_y = top or rep_x < rep_y)")
+             .where(f"100 * least(common_x, common_y) >= {percent} * (n_x + n_y - least(common_x, common_y))")
+             .where("array_min(array_intersect(bands_x, bands_y)) = band")
+             .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
              .join(tested, ["a", "b"], "left_anti"))
     more = _confirmed(materialize(_plausible(cross, classes, percent), "plausible"), docs, classes, percent, shingle)
     found = components(links.union(more).union(same))
