@@ -11,11 +11,17 @@ registers of a union are the larger ones of the two (mergeable), equal registers
 3. The joint estimate drops what is far below the threshold; the rest is confirmed on the full sets; components follow.
 4. Buckets that still hold several components: members outside the largest one are compared with the members of others that
    have enough shingles in common with anybody: shingles that no other member has are in no intersection, which bounds every
-   similarity of a member from above. So no pair of different components that shares a bucket and can reach the threshold is
-   left out, a bucket of thousands of copies costs one row a copy, and edited copies that are like nothing else cost nothing.
+   similarity of a member from above. So no pair of different components that shares enough buckets and can reach the
+   threshold is left out, a bucket of thousands of copies costs one row a copy, and edited copies that are like nothing else
+   cost nothing.
+
+How many buckets a pair must share, and how far below the threshold its estimate may lie, follow from the binomial tails of a
+pair at the threshold: each of the two tests misses it with a probability of at most ``MISS``.
 """
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +36,8 @@ BANDS, ROWS = 40, 5
 REGISTERS, BASE = BANDS * ROWS, 1.02
 #: Points above this many mean gaps of a register are left out: a register misses its minimum with probability exp(-REACH).
 REACH = 6.0 + np.log(REGISTERS)
+#: Chance of a test to miss a pair at the threshold.
+MISS = 5e-7
 SKETCHES = ("doc_id bigint, part int, n_shingles bigint, set1 bigint, set2 bigint, sketch binary, bands array<bigint>")
 
 
@@ -88,6 +96,27 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return grid[np.arange(len(fit)), fit.argmax(axis=1)]
 
 
+def least_hits(n: int, p: float, miss: float = MISS) -> int:
+    """The largest k such that fewer than k hits in ``n`` draws of probability ``p`` have at most the probability ``miss``."""
+    below, k = 0.0, 0
+    while k < n:
+        below += comb(n, k) * p ** k * (1 - p) ** (n - k)
+        if below > miss:
+            break
+        k += 1
+    return k
+
+
+def least_bands(percent: int) -> int:
+    """Buckets that a pair of ``percent`` similarity shares at least; one at any threshold, since others never meet."""
+    return max(1, least_hits(BANDS, (percent / 100) ** ROWS))
+
+
+def least_estimate(percent: int) -> float:
+    """The estimate of a pair of ``percent`` similarity, at least; 0.02 are for the grid and the truncation."""
+    return least_hits(REGISTERS, percent / 100) / REGISTERS - 0.02
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64), pa.int64())
 
@@ -114,13 +143,15 @@ def sketched(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs whose sizes allow the similarity and whose estimate isn't far below it."""
+    least = least_estimate(percent)
+
     def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
                     for c in ("sketch_a", "sketch_b"))
             n_a, n_b = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
             ok = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
-            ok[ok] = estimated(a[ok], b[ok], n_a[ok], n_b[ok]) >= percent / 100 - 0.2
+            ok[ok] = estimated(a[ok], b[ok], n_a[ok], n_b[ok]) >= least
             yield batch.select(["a", "b"]).filter(pa.array(ok))
     side = reps.select("rep", "sketch", "n_shingles")
     both = (pairs.join(side.toDF("a", "sketch_a", "n_a"), "a").join(side.toDF("b", "sketch_b", "n_b"), "b")
@@ -204,12 +235,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     # A pair comes out once, in the first bucket that it shares and in one order: all of its buckets are among these, since
     # a bucket of two components is open to both.
     side = open_bands.join(classes.select("rep", "bands"), "rep")
+    both_in = F.array_intersect("bands_x", "bands_y")
     x = side.where("root <> top").select("band", "top", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "common", "bands")])
     y = side.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "common", "bands")])
     cross = (x.join(y, "band")
              .where("root_x <> root_y and (root_y = top or rep_x < rep_y)")
              .where(f"100 * least(common_x, common_y) >= {percent} * (n_x + n_y - least(common_x, common_y))")
-             .where("array_min(array_intersect(bands_x, bands_y)) = band")
+             .where((F.array_min(both_in) == F.col("band")) & (F.size(both_in) >= least_bands(percent)))
              .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
              .join(tested, ["a", "b"], "left_anti"))
     more = _confirmed(materialize(_plausible(cross, classes, percent), "plausible"), docs, classes, percent, shingle)

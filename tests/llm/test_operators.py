@@ -117,6 +117,15 @@ def test_sketches_merge_and_estimate():
     assert abs(got - len(a) / len(union)) < 0.1
 
 
+def test_bounds_miss_no_pair_at_the_threshold():
+    rng = np.random.default_rng(5)
+    for percent in (80, 85, 95):
+        equal = rng.random((20_000, neardups.BANDS, neardups.ROWS)) < percent / 100
+        assert equal.all(axis=2).sum(axis=1).min() >= neardups.least_bands(percent)
+        assert equal.mean(axis=(1, 2)).min() >= neardups.least_estimate(percent)
+    assert neardups.least_hits(3, 0.5, 0.125) == 1 and neardups.least_hits(3, 0.5, 0.5) == 2
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (3, 2), (4, 5), (6, 6), (9, 3), (None, 7)], "a bigint, b bigint")
     assert {r.node: r.root for r in graph.components(links).collect()} == {1: 1, 2: 1, 3: 1, 9: 1, 4: 4, 5: 4}
