@@ -15,8 +15,9 @@ registers of a union are the larger ones of the two (mergeable), equal registers
    threshold is left out, a bucket of thousands of copies costs one row a copy, and edited copies that are like nothing else
    cost nothing.
 
-How many buckets a pair must share, and how far below the threshold its estimate may lie, follow from the binomial tails of a
-pair at the threshold: each of the two tests misses it with a probability of at most ``MISS``.
+How many buckets a pair must share follows from the binomial tail of a pair at the threshold, which is missed with a probability
+of at most ``MISS`` (from 80 % on; far below, more pairs share no bucket at all). How far below the threshold its estimate may
+lie is the same tail for equal registers, less 0.02; for the likelihood estimate that is taken over, not proven.
 """
 from __future__ import annotations
 
