@@ -1,5 +1,6 @@
 """Operators for training data against brute force, round trips and held-out rows, and odd inputs."""
 import hashlib
+import itertools
 import random
 import re
 
@@ -180,6 +181,58 @@ def test_lines(spark):
     assert got[3].n_removed >= 2 and "own line" not in got[3].text
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def edited(draw, text, n):
+    """``text`` with ``n`` letters put in, taken out or replaced."""
+    for _ in range(n):
+        i = draw.randrange(1, len(text) - 1)
+        text = text[:i] + draw.choice(["", "q", "q" + text[i]]) + text[i + 1:]
+    return text
+
+
+def removed_lines(spark, rows):
+    got = lines.dedup_lines(docs_of(spark, {i: t for i, t in enumerate(rows)})).collect()
+    return {r.doc_id for r in got if r.n_removed}
+
+
+def test_short_lines_against_brute_force(spark):
+    draw = random.Random(5)
+    rows = []
+    for size in range(8, lines.SHORT):
+        base = "".join(draw.choices("abcdefgh ", k=size - 2))
+        rows += [f"x{base}y", *[edited(draw, f"x{base}y", n) for n in (1, 2, 3, 4, 5)]]
+    rows = list(dict.fromkeys(rows))
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        most = max(len(rows[a]), len(rows[b])) // 10
+        if abs(len(rows[a]) - len(rows[b])) <= most and distance(rows[a], rows[b]) <= most:
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+    assert removed_lines(spark, rows) == {i for i, r in enumerate(root) if r != i}
+
+
+@pytest.mark.parametrize("edits, least", [(0, 1.0), (0.02, 0.99), (0.05, 0.97), (0.1, 0.8)])
+def test_recall_of_edited_lines(spark, edits, least):
+    """One edit (0) or a share of the characters, spread over a line: links found of all those of brute force."""
+    draw = random.Random(6)
+    rows, pairs = [], 0
+    for n in (8, 12, 20, 40, 80, 200):
+        for _ in range(20):
+            base = " ".join("".join(draw.choices("etaonirshldu", k=draw.randint(2, 9))) for _ in range(n))
+            near = edited(draw, base, int(edits * len(base)) or 1)
+            if distance(base, near) <= max(len(base), len(near)) // 10:
+                rows += [base, near]
+                pairs += 1
+    assert len(removed_lines(spark, rows)) >= least * pairs and pairs >= 90
+
+
 def test_languages_on_held_out_rows(spark):
     docs = plans.table(spark, SF, "documents")
     got = languages.language_digest(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
