@@ -233,6 +233,17 @@ def test_recall_of_edited_lines(spark, edits, least):
     assert len(removed_lines(spark, rows)) >= least * pairs and pairs >= 90
 
 
+def test_lines_of_several_groups_in_a_bucket(spark):
+    """All lines share one run of words, so ends of its bucket leave most of the pairs to the second round."""
+    draw = random.Random(7)
+    rows = []
+    for _ in range(30):
+        w = ["".join(draw.choices("abcdefghij", k=7)) for _ in range(8)]
+        mine = [w[0][:3] + "q" + w[0][4:], w[1], w[2][:3] + "q" + w[2][4:], w[3], w[4][:3] + "q" + w[4][4:], w[5]]
+        rows += [" ".join([*w[:6], "same words here"]), " ".join([*mine, "same words here"])]
+    assert removed_lines(spark, rows) == set(range(1, 60, 2))
+
+
 def test_languages_on_held_out_rows(spark):
     docs = plans.table(spark, SF, "documents")
     got = languages.language_digest(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
