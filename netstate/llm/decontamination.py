@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced seeds. DataFrame functions only.
 
 A mask names the positions of a span of tokens that are hashed; the others are ignored, so a substituted word there does not
-prevent a hit. Each mask is hashed at each position of documents and of benchmark items and the hashes are joined. Around a
+prevent a hit. Each mask is hashed at each position of documents and of benchmark items and the hashes are joined. Items shorter
+than a stretch are cut into runs instead, one more than substitutions are allowed, so one run is left whole. Around a
 hit, item and document are laid side by side: they overlap if a stretch of ``STRETCH`` tokens (or the whole item, if shorter) has
 at least 80 % equal tokens.
 """
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 
 from netstate.llm.texts import documents
 
-#: Offsets of the hashed tokens. The first leaves out every fifth position, the third every third.
-MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4, 6, 7))
+#: Offsets of the hashed tokens. The first leaves out every fifth position, the third every third. Any two substitutions in a
+#: stretch of 13 tokens leave a place for one of the four (tested).
+MASKS = ((0, 1, 2, 3, 5, 6), (0, 2, 3, 5, 6, 8), (0, 1, 3, 4, 6, 7), (0, 1, 2, 3, 7, 8))
 STRETCH, PERCENT = 13, 80
 #: Benchmarks of up to so many tokens are sent to every task; larger ones are joined by shuffling.
 BROADCAST_TOKENS = 1_000_000
@@ -32,22 +34,34 @@ def _seeds(rows: DataFrame, words: str, at: str, masks) -> DataFrame:
     return rows.select("*", F.explode(hashed).alias("seed")).where("seed is not null")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, stretch: int = STRETCH, percent: int = PERCENT) -> DataFrame:
-    """Distinct (doc_id, part, item_id) of ``documents(...)`` rows that overlap an item. Null texts overlap nothing.
+def runs(size: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(first token, tokens) of the runs into which an item of ``size`` tokens is cut: one more than it may have substitutions."""
+    n = size - -(-size * percent // 100) + 1
+    return [(size * i // n, size * (i + 1) // n - size * i // n) for i in range(n)]
+
 
-    Items with fewer tokens than every mask spans (7) are not searched for.
-    """
+def overlaps(docs: DataFrame, benchmark: DataFrame, masks=MASKS, stretch: int = STRETCH, percent: int = PERCENT) -> DataFrame:
+    """Distinct (doc_id, part, item_id) of ``documents(...)`` rows that overlap an item. Null texts overlap nothing."""
     items = benchmark.where("text is not null").select("item_id", tokens(F.col("text")).alias("item"))
-    total = items.agg(F.sum(F.size("item"))).first()[0] or 0
+    size = F.size("item")
+    total, short = items.agg(F.sum(size), F.collect_set(F.when((size > 0) & (size < stretch), size))).first()   # below stretch
+    cut = {n: runs(n, percent) for n in sorted(short)}
+    lengths = sorted({length for found in cut.values() for _, length in found})
+    probed = [*masks, *[tuple(range(n)) for n in lengths]]
 
     def places(array):
         return F.explode(F.sequence(F.lit(0), F.greatest(F.size(array) - 1, F.lit(0))))
-    index = (_seeds(items.select("item_id", "item", places("item").alias("item_at")), "item", "item_at", masks)
+    index = (_seeds(items.where(size >= stretch).select("item_id", "item", places("item").alias("item_at")), "item", "item_at", masks)
              .select("seed", "item_id", "item", "item_at"))
-    if total <= BROADCAST_TOKENS:
+    for n, found in cut.items():
+        seeds = F.array(*[F.struct(F.xxhash64(F.lit(len(masks) + lengths.index(length)), *[F.get("item", F.lit(at + o)) for o in range(length)])
+                                   .alias("seed"), F.lit(at).alias("item_at")) for at, length in found])
+        index = index.union(items.where(size == n).select("item_id", "item", F.explode(seeds).alias("s"))
+                            .select("s.seed", "item_id", "item", "s.item_at"))
+    if (total or 0) <= BROADCAST_TOKENS:
         index = F.broadcast(index)
     words = docs.where("text is not null").select("doc_id", "part", tokens(F.col("text")).alias("words"))
-    probes = _seeds(words.select("doc_id", "part", "words", places("words").alias("at")), "words", "at", masks)
+    probes = _seeds(words.select("doc_id", "part", "words", places("words").alias("at")), "words", "at", probed)
     # A hit takes the document's tokens beside the item along; hits of the same shift are one. Positions, seeds and join run
     # in one generated loop that never copies the tokens of a document, and the comparison comes after the aggregation.
     shift = F.col("at") - F.col("item_at")

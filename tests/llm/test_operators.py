@@ -173,6 +173,22 @@ def test_decontamination_allows_substitutions(spark):
     assert left.columns == docs_of(spark, texts).columns and {r.doc_id for r in left.collect()} == {2, 3, 4, 6}
 
 
+def test_decontamination_finds_every_allowed_substitution(spark):
+    """Every choice of as many substitutions as 80 % allows, in items of 1 to 13 tokens alone in a document."""
+    sizes, texts, want = range(1, 14), [], {}
+    for n in sizes:
+        item = [f"i{n}t{k}" for k in range(n)]
+        for gone in itertools.combinations(range(n), n - -(-n * 80 // 100)):
+            want[len(texts)] = [n]
+            texts.append(" ".join(["before", "it", *[f"other{k}" if k in gone else w for k, w in enumerate(item)], "after"]))
+        want[len(texts)] = []
+        gone = n - -(-n * 80 // 100) + 1
+        texts.append(" ".join(["other"] * gone + item[gone:]))
+    bench = spark.createDataFrame([(n, " ".join(f"i{n}t{k}" for k in range(n))) for n in sizes], "item_id bigint, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontamination.contaminated(docs_of(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_lines(spark):
     long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"
     texts = {1: f"{long}\n\nown line", 2: f"{long.upper()}\nother words here\n", 3: f"{long}s\nown line\nown line", 4: None, 5: ""}
