@@ -79,8 +79,8 @@ class LanguageModel:
 
     @classmethod
     def fit(cls, docs: DataFrame, most: int = SAMPLE, epochs: int = 3) -> "LanguageModel":
-        """From doc_id, text and lang of rows outside the held-out fold; without such rows every text is unknown."""
-        rows = docs.where(~held_out() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+        """From doc_id, text and lang of rows with an id outside the held-out fold; without such rows every text is unknown."""
+        rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
 
         def frequencies(batches):
             df, seen, n = np.zeros(DIMS + 1, dtype=np.int64), np.zeros(DIMS, dtype=bool), 0

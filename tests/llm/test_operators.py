@@ -260,6 +260,14 @@ def test_lines_of_several_groups_in_a_bucket(spark):
     assert removed_lines(spark, rows) == set(range(1, 60, 2))
 
 
+def test_languages_leave_out_rows_without_an_id(spark):
+    texts = {"en": "the ring and the thing of it", "de": "der ring und das ding von ihm"}
+    rows = [(None if i % 5 == 0 else i, t, k) for i, (k, t) in enumerate(list(texts.items()) * 40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    ids = languages.language_digest(docs).where("doc_id is null")
+    assert ids.count() == 16 and languages.LanguageModel.fit(docs.where("doc_id is null")).languages == []
+
+
 def test_languages_on_held_out_rows(spark):
     docs = plans.table(spark, SF, "documents")
     got = languages.language_digest(docs).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
