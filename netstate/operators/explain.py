@@ -87,7 +87,7 @@ def window_shares(origins: DataFrame, weights: np.ndarray, step: int = 1) -> Dat
 
 
 def background_mean(background: DataFrame, options: Options, features: int) -> np.ndarray:
-    """Mean (window, feature) of a bounded background sample."""
+    """Mean (window, feature) of background histories, however many."""
     long = background.select(F.posexplode("history").alias("l", "z")).select("l", F.posexplode("z").alias("f", "v"))
     mean = np.zeros((options.history, features))
     for r in long.groupBy("l", "f").agg(F.avg("v").alias("v")).collect():

@@ -645,7 +645,10 @@ def drift_overall(spark, sf):
 
 @query
 def drift_against_background(spark, sf):
-    return tidy(drift.drift_report(background(spark, sf), regular(spark, sf), scaler(spark, sf)))
+    s = scaler(spark, sf)
+    active = [n for n, a in zip(s.names, s.active) if a]
+    train = sequences.with_split(regular(spark, sf), T3600).where("split = 'train'")
+    return tidy(drift.drift_table(drift.long_values(train, active, s.scaled), drift.long_values(regular(spark, sf), active, s.scaled)))
 
 
 # ------------------------------------------------------------------------------------------------- explain
@@ -671,7 +674,7 @@ def attribution_by_window(spark, sf):
 @query
 def linear_shap(spark, sf):
     s = scaler(spark, sf)
-    centre = explain.background_mean(background(spark, sf), T3600, len(s.names))
+    centre = explain.background_mean(drift.train_histories(regular(spark, sf), s, T3600), T3600, len(s.names))
     top = explain.linear_shap(_origins(spark, sf), s, explain.closed_form_weights(scorer(spark, sf)), centre, 1, 2)
     return tidy(top)
 
@@ -835,8 +838,7 @@ def table_fingerprint(spark, sf):
 # ------------------------------------------------------------------- trained forecasters (iterative, no SQL form)
 @lru_cache(maxsize=None)
 def _logistic(spark, sf) -> logistic.LogisticScorer:
-    return logistic.LogisticScorer.fit(regular(spark, sf), scaler(spark, sf), forecast.CLOSED_FORM_STAGES, T3600,
-                                       iterations=40, with_stages=False)
+    return logistic.LogisticScorer.fit(regular(spark, sf), scaler(spark, sf), forecast.CLOSED_FORM_STAGES, T3600)
 
 
 @query
@@ -861,7 +863,7 @@ def retrained_comparison(spark, sf):
     """Learn from one sensor with replayed samples of the other one."""
     table = regular(spark, sf)
     out = evaluation.retrain(table.where("source = 'sensor-1'"), table.where("source = 'sensor-0'"), scorer(spark, sf),
-                             scaler(spark, sf), THRESHOLD, T3600, iterations=10)
+                             scaler(spark, sf), THRESHOLD, T3600)
     return tidy(out["report"])
 
 
