@@ -295,6 +295,12 @@ def test_toxicity_without_labels(spark, corpus):
     assert toxicity.toxicity_digest(docs_of(spark, corpus), none).where("predicted = 0").count() == len(corpus)
 
 
+def test_token_stage_decodes(spark):
+    texts = ["the ring and the thing", "über alles, 日本語"]
+    got = corpus_pipeline.token_stage(spark, docs_of(spark, texts), SF).collect()
+    assert {r.doc_id: r.decoded_sha256 for r in got} == {i: digest(t) for i, t in enumerate(texts)}
+
+
 def test_stages_keep_columns_and_clean_documents(spark):
     docs = plans.table(spark, SF, "documents")
     labels = plans.table(spark, SF, "labels")
