@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netstate.llm import (bpe, decontamination, fingerprints, languages, lines, neardups, packing, substrings, suffixes,
-                          toxicity, urls)
+from netstate.llm import (bpe, decontamination, divergence, fingerprints, languages, lines, neardups, packing, phrases, substrings,
+                          suffixes, toxicity, urls)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +60,16 @@ def op11_best_fit_packing(spark, sf_dir):
     return packing.packing_digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_source_divergence(spark, sf_dir):
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_url_filters, op3_substring_dedup, op4_language_id, op5_minhash_near_dedup,
                                     op6_toxicity, op7_decontamination, op8_fingerprints, op9_line_dedup, op10_suffix_dedup,
-                                    op11_best_fit_packing)}
-ORACLES: dict[str, str] = {"op2_url_filters": urls.SQL}
+                                    op11_best_fit_packing, op12_source_divergence, op13_phrase_mining)}
+ORACLES: dict[str, str] = {"op2_url_filters": urls.SQL, "op12_source_divergence": divergence.SQL,
+                           "op13_phrase_mining": phrases.SQL}
