@@ -706,3 +706,10 @@ add("sanity_checks", FC, """SELECT * REPLACE (round(value, 6) AS value) FROM (
  UNION ALL SELECT 'forecast depends on the step', avg(list_stddev_pop(pp)) > 1e-4, avg(list_stddev_pop(pp)) FROM fc
  UNION ALL SELECT 'risk higher during attacks', coalesce(avg(risk) FILTER (is_attack) - avg(risk) FILTER (NOT is_attack) > 0.1, false),
    avg(risk) FILTER (is_attack) - avg(risk) FILTER (NOT is_attack) FROM fc)""")
+
+# ------------------------------------------------------------------------------------------------- streams
+#: A stream that has been closed gives what the batch gives.
+ORACLES["stream_window_states"] = ORACLES["window_states"]
+add("stream_regular_states", REG, f"""SELECT timestamp, {VALUES}, stage, is_attack, source, filled, segment, pos,
+ CAST(0 AS BIGINT) AS late FROM st""")
+ORACLES["stream_alert_events"] = ORACLES["alert_events"]

@@ -873,29 +873,65 @@ def _stream_folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def _as_files(table: DataFrame, time: str, folder: str, newest_first: bool = False, n: int = 3) -> None:
+    """``table`` as ``n`` files of equal spans of time in ``folder``, written one after the other."""
+    low, high = table.agg(F.min(time), F.max(time)).first()
+    for i in reversed(range(n)) if newest_first else range(n):
+        share = F.least(F.floor((F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lit(low).cast("timestamp")))
+                                * n / (F.unix_micros(F.lit(high).cast("timestamp"))
+                                       - F.unix_micros(F.lit(low).cast("timestamp")) + 1)), F.lit(n - 1))
+        table.where(share == i).coalesce(1).write.mode("append").parquet(folder)
+
+
+def _backwards(spark, table: DataFrame, time: str, folder: str) -> DataFrame:
+    """``table`` as a stream of one file a micro-batch, the newest first, and a closing mark at the end."""
+    from datetime import timedelta
+
+    from netstate.streaming import states as st
+    _as_files(table, time, folder, newest_first=True)
+    st.closing_file(spark, folder, table.schema, time, table.agg(F.max(time)).first()[0] + timedelta(days=3000))
+    return st.replay_files(spark, folder, table.schema)
+
+
+#: Longer than the events last: windows may come in any order.
+ANY_ORDER = "400 days"
+
+
 @query
 def stream_window_states(spark, sf):
-    """Windows a stream over the events emits once the watermark has passed them."""
+    """Window states of a stream over the events, whose files come newest first."""
     from netstate.streaming import states as st
     st.use_rocksdb(spark)
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    events = st.replay_files(spark, sf, schema, pattern="events.parquet")
-    return tidy(st.run_to_table(st.stream_window_states(flows_of_events(events), T3600, "1 hour"),
-                                _stream_folder(spark)), NUDGE)
+    folder = _stream_folder(spark)
+    events = _backwards(spark, spark.read.parquet(f"{sf}/events.parquet"), "ts", f"{folder}/in")
+    return tidy(st.run_to_table(st.stream_window_states(flows_of_events(events), T3600, ANY_ORDER), folder), NUDGE)
+
+
+def _streamed_grid(spark, sf, folder: str) -> DataFrame:
+    """Window states, newest file first -> pruned regular states of a streaming grid."""
+    from netstate.streaming import states as st
+    st.use_rocksdb(spark)
+    table = materialize(states.window_states(event_flows(spark, sf), T3600), "window-states")
+    stream = st.stream_grid(_backwards(spark, table, "timestamp", f"{folder}/in"), T3600, ["flow_count"], ANY_ORDER,
+                            T3600.min_segment)
+    return st.run_to_table(stream, f"{folder}/grid")
+
+
+@query
+def stream_regular_states(spark, sf):
+    """The streaming grid of windows in any order; nothing is late."""
+    rows = _streamed_grid(spark, sf, _stream_folder(spark))
+    return tidy(rows.drop("history", "pruned"), NUDGE)
 
 
 @query
 def stream_alert_events(spark, sf):
-    """Window states -> streaming grid -> forecast -> streaming alerts."""
+    """Window states -> streaming grid -> forecast -> streaming alerts, a third of the windows in each micro-batch."""
     from netstate.streaming import states as st
     from netstate.streaming.alerts import stream_alerts
-    st.use_rocksdb(spark)
     folder = _stream_folder(spark)
-    states.window_states(event_flows(spark, sf), T3600).write.parquet(f"{folder}/in")
-    schema = spark.read.parquet(f"{folder}/in").schema
-    grid_rows = st.run_to_table(st.stream_grid(st.replay_files(spark, f"{folder}/in", schema, 10_000), T3600,
-                                               ["flow_count"]), f"{folder}/grid")
-    rows = st.stream_scores(st.replay_files(spark, f"{folder}/grid/data", grid_rows.schema, 10_000),
-                            scorer(spark, sf), THRESHOLD)
-    events = st.run_to_table(stream_alerts(rows, THRESHOLD, T3600), f"{folder}/alerts")
+    rows = _streamed_grid(spark, sf, folder)
+    _as_files(rows, "timestamp", f"{folder}/ordered")
+    scored_rows = st.stream_scores(st.replay_files(spark, f"{folder}/ordered", rows.schema), scorer(spark, sf), THRESHOLD)
+    events = st.run_to_table(stream_alerts(scored_rows, THRESHOLD, T3600), f"{folder}/alerts")
     return events.select(*KEYS, "alert_id", "type", "pos", "time", "severity", "stage")

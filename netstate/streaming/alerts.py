@@ -1,72 +1,86 @@
-"""The alert rules as a per-window step, and their Structured Streaming operator."""
+"""The alert rules on a stream: stretches of a source, continued from batch to batch.
+
+As in :mod:`netstate.operators.alerts`, ends of quiet runs cut a segment into stretches with at most one alert each. A batch
+is worked on as arrays: run lengths, candidates and ends of its windows at once, then one step for each stretch. What goes
+on into the next batch is the open stretch and the stages that are still blocked, whatever the length of the stream.
+"""
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netstate.config import BENIGN, Options
-from netstate.functions.levels import LEVELS, level_bounds
+from netstate.functions.levels import LEVELS, level_of, level_rank
+
+HOT = LEVELS.index("WARNING") + 1
+
+
+def run_lengths(flags: np.ndarray, carried: int) -> np.ndarray:
+    """For each place, how many flags in a row are set up to it; ``carried`` were before the first place."""
+    place = np.arange(len(flags))
+    return place - np.maximum.accumulate(np.where(flags, -1 - carried, place))
 
 
 @dataclass
-class AlertState:
-    """What the rules carry from one window of a source to the next; its size does not grow with the stream."""
+class Watch:
+    """What a source carries on: its runs, the alert of the open stretch and the last blocked position of each stage."""
 
     segment: int = -1
-    next_id: int = 1
+    alerts: int = 0
     above: int = 0
-    clear: int = 0
-    cooldown: dict[str, int] = field(default_factory=dict)
-    alert: dict | None = None
-
-
-def level_name(risk: float, threshold: float, options: Options) -> str:
-    return next((name for name, bound in level_bounds(threshold, options) if risk >= bound), "OK")
-
-
-def step(state: AlertState, window: dict, threshold: float, options: Options) -> tuple[str, list[dict]]:
-    """Feed one scored window; returns its level and the alert events it caused. ``state`` is updated in place."""
-    pos, time, risk, stage = window["pos"], window["timestamp"], window["risk"], window["headline_stage"]
-    if window["segment"] != state.segment:
-        state.segment, state.above, state.clear, state.cooldown, state.alert = window["segment"], 0, 0, {}, None
-    level = level_name(risk, threshold, options)
-    hot = LEVELS.index(level) >= LEVELS.index("WARNING")
-    state.above = (state.above + 1) * hot
-    state.clear = (state.clear + 1) * (risk < options.clear_ratio * threshold)
-    events: list[dict] = []
-
-    def emit(kind, **more):
-        events.append({"pos": pos, "time": time, "type": kind, "alert_id": state.alert["id"], "severity": None,
-                       "stage": None, **more})
-
-    if state.alert is None:
-        if hot and state.above >= options.persistence and state.cooldown.get(stage, -1) < pos:
-            crossing = [i for i, p in enumerate(window["attack_prob"], 1) if p >= threshold]
-            state.alert = {"id": state.next_id, "stages": [stage], "peak": level, "opened": pos,
-                           "eta": (crossing or [1])[0] * options.window_seconds, "windows": state.above,
-                           "peak_risk": risk, "last": pos, "level": level}
-            state.next_id += 1
-            emit("opened", severity=level, stage=stage)
-        return level, events
-    alert = state.alert
-    if hot:
-        alert.update(last=pos, windows=alert["windows"] + 1, peak_risk=max(alert["peak_risk"], risk), level=level)
-        if stage != BENIGN and stage not in alert["stages"]:
-            alert["stages"].append(stage)
-        if LEVELS.index(level) > LEVELS.index(alert["peak"]):
-            alert["peak"] = level
-            emit("escalated", severity=level)
-    if state.clear >= options.clear_windows:
-        state.cooldown.update({s: pos + options.cooldown_windows for s in alert["stages"]})
-        state.cooldown = {s: until for s, until in state.cooldown.items() if until > pos}
-        emit("closed")
-        state.alert = None
-    return level, events
+    quiet: int = 0
+    blocked: dict[str, int] = field(default_factory=dict)
+    rank: int = 0
+    stages: list[str] = field(default_factory=list)                  # of the open alert; empty where there is none
+
+    def feed(self, rows: pd.DataFrame, options: Options) -> list[tuple]:
+        """Events (segment, pos, time, type, alert_id, severity, stage) of further windows of one segment, in order."""
+        segment = int(rows["segment"].iloc[0])
+        if segment != self.segment:
+            self.segment, self.above, self.quiet, self.blocked, self.stages = segment, 0, 0, {}, []
+        pos, rank, stage = (rows[c].to_numpy() for c in ("pos", "rank", "stage"))
+        hot = rank >= HOT
+        above, quiet = run_lengths(hot, self.above), run_lengths(rows["quiet"].to_numpy(), self.quiet)
+        ready = np.flatnonzero(above >= options.persistence)
+        ends = np.flatnonzero(quiet == options.clear_windows).tolist()
+        events, start = [], 0
+
+        def event(at: int, kind: str, severity: str | None = None, name: str | None = None):
+            events.append((segment, int(pos[at]), rows["timestamp"].iloc[at], kind, self.alerts, severity, name))
+
+        for end in [*ends, len(pos)]:
+            inside = start
+            if not self.stages:
+                free = (j for j in ready[np.searchsorted(ready, start):].tolist()
+                        if j < end and self.blocked.get(stage[j], -1) < pos[j])
+                opening = next(free, None)
+                if opening is not None:
+                    self.alerts, self.rank, self.stages = self.alerts + 1, int(rank[opening]), [stage[opening]]
+                    event(opening, "opened", LEVELS[self.rank - 1], stage[opening])
+                    inside = opening + 1
+            if self.stages:
+                mine = np.flatnonzero(hot[inside:end]) + inside
+                worse = mine[rank[mine] > self.rank]
+                if len(worse):
+                    self.rank = int(rank[worse[0]])
+                    event(worse[0], "escalated", LEVELS[self.rank - 1])
+                self.stages = list(dict.fromkeys([*self.stages, *(s for s in stage[mine] if s != BENIGN)]))
+                if end < len(pos):
+                    event(end, "closed")
+                    self.blocked |= {s: int(pos[end]) + options.cooldown_windows for s in self.stages}
+                    self.stages = []
+            start = end + 1
+        self.above, self.quiet = int(above[-1]), int(quiet[-1])
+        self.blocked = {s: until for s, until in self.blocked.items() if until > pos[-1]}
+        return events
 
 
 EVENT_SCHEMA = T.StructType([
@@ -77,26 +91,20 @@ EVENT_SCHEMA = T.StructType([
 
 
 class AlertProcessor(StatefulProcessor):
-    """One value state per source; windows of a source are taken in time order within a micro-batch."""
+    """One value state a source. Its windows of a micro-batch are put in order, five narrow columns each."""
 
-    def __init__(self, threshold: float, options: Options):
-        self.threshold, self.options = threshold, options
+    def __init__(self, options: Options):
+        self.options = options
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.saved = handle.getValueState("alerts", "json string")
+        self.saved = handle.getValueState("watch", "json string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        import json
-
         stored = self.saved.get()
-        state = AlertState(**json.loads(stored[0])) if stored else AlertState()
-        batch = pd.concat(list(rows)).sort_values(["segment", "pos"])
-        out = []
-        for window in batch.to_dict("records"):
-            _, events = step(state, window, self.threshold, self.options)
-            out += [(key[0], window["segment"], *[e[f] for f in ("pos", "time", "type", "alert_id", "severity",
-                                                                   "stage")]) for e in events]
-        self.saved.update((json.dumps(asdict(state), default=int),))
+        watch = Watch(**json.loads(stored[0])) if stored else Watch()
+        batch = pd.concat([r.drop(columns="source") for r in rows]).sort_values(["segment", "pos"])
+        out = [(key[0], *e) for _, part in batch.groupby("segment") for e in watch.feed(part, self.options)]
+        self.saved.update((json.dumps(asdict(watch)),))
         yield pd.DataFrame(out, columns=EVENT_SCHEMA.names)
 
     def close(self) -> None:
@@ -104,7 +112,12 @@ class AlertProcessor(StatefulProcessor):
 
 
 def stream_alerts(scored: DataFrame, threshold: float, options: Options) -> DataFrame:
-    """Alert events of a stream of scored windows (source, segment, pos, timestamp, risk, headline_stage, attack_prob)."""
-    rows = scored.select("source", "segment", "pos", "timestamp", "risk", "headline_stage", "attack_prob")
+    """Alert events of a stream of scored windows (source, segment, pos, timestamp, risk, headline_stage).
+
+    The windows of a source come in order of time from micro-batch to micro-batch, as :func:`stream_grid` emits them.
+    """
+    rows = scored.select(
+        "source", "segment", "pos", "timestamp", level_rank(level_of(F.col("risk"), threshold, options)).cast("int").alias("rank"),
+        (F.col("risk") < options.clear_ratio * threshold).alias("quiet"), F.col("headline_stage").alias("stage"))
     return rows.groupBy("source").transformWithStateInPandas(
-        AlertProcessor(threshold, options), outputStructType=EVENT_SCHEMA, outputMode="append", timeMode="none")
+        AlertProcessor(options), outputStructType=EVENT_SCHEMA, outputMode="append", timeMode="none")

@@ -60,56 +60,122 @@ def packet_sessions(packets: DataFrame, idle: str = "120 seconds", late: str = "
 
 
 class GridProcessor(StatefulProcessor):
-    """Regular grid of one source: fills short gaps, starts a segment after a long one, keeps the last L vectors."""
+    """Regular grid of one source from windows in any order: fills short gaps, starts a segment after a long one, drops segments
+    that stay too short, keeps the last L vectors.
 
-    def __init__(self, names: list[str], vector: list[str], options: Options):
-        self.names, self.vector, self.options = names, vector, options
+    A window waits in a map, keyed by its time, with a timer. Timers of a source fire in time order once its windows can't be
+    overtaken any more, so windows leave one by one in order. State are the waiting windows, L vectors and the rows of a
+    segment that may still prove too short. Of repeated windows the fuller one stays. What comes after its place was passed and
+    what is dropped with a short segment is counted and told by the next row of the source, in ``late`` and ``pruned``.
+    """
+
+    def __init__(self, names: list[str], vector: list[str], options: Options, grace_ms: int, min_segment: int):
+        self.names, self.vector, self.options, self.grace_ms, self.min_segment = names, vector, options, grace_ms, min_segment
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.saved = handle.getValueState("grid", "json string")
+        self.waiting = handle.getMapState("waiting", "at bigint", "json string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def _state(self) -> dict:
         stored = self.saved.get()
-        state = json.loads(stored[0]) if stored else {"last": None, "segment": -1, "pos": -1, "history": []}
-        step = pd.Timedelta(seconds=self.options.window_seconds)
-        out = []
+        return json.loads(stored[0]) if stored else {"last": None, "segment": 0, "kept": False, "pos": -1, "history": [],
+                                                     "held": [], "late": 0, "pruned": 0}
 
-        def emit(row: dict):
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state, late = self._state(), 0
+        for frame in rows:
+            for row in frame.to_dict("records"):
+                if pd.isna(row["flow_count"]):                      # a closing mark moves the clock only
+                    continue
+                at = int(row["timestamp"].value // 1_000_000)
+                if state["last"] is not None and at <= state["last"]:
+                    late += 1
+                    continue
+                found = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else None
+                other = json.loads(found[0]) if found else None
+                if other is None:
+                    self.handle.registerTimer(at - self.grace_ms)
+                if other is None or (-row["flow_count"], row["tie"]) < (-other["flow_count"], other["tie"]):
+                    kept = {n: float(row[n]) for n in [*self.names, "attack_flows", "attack_fraction"]}
+                    kept |= {"timestamp": at, "stage": row["stage"], "is_attack": bool(row["is_attack"]),
+                             "filled": bool(row["filled"]), "tie": int(row["tie"])}
+                    self.waiting.updateValue((at,), (json.dumps(kept),))
+        if late:
+            state["late"] += late
+            self.saved.update((json.dumps(state),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs() + self.grace_ms
+        if not self.waiting.containsKey((at,)):
+            return
+        row = json.loads(self.waiting.getValue((at,))[0])
+        self.waiting.removeKey((at,))
+        state, step, out = self._state(), self.options.window_seconds * 1000, []
+
+        def place(row: dict):
             state["pos"] += 1
             state["history"] = [*state["history"], [float(row[n]) for n in self.vector]][-self.options.history:]
-            out.append({**row, "segment": state["segment"], "pos": state["pos"],
-                        "history": state["history"] if len(state["history"]) == self.options.history else None})
-
-        for row in pd.concat(list(rows)).sort_values("timestamp").to_dict("records"):
-            now, last = row["timestamp"], pd.Timestamp(state["last"]) if state["last"] else None
-            if last is not None and now <= last:
-                continue
-            gap = None if last is None else round((now - last) / step)
-            if gap is None or gap > self.options.max_gap_windows + 1:
-                state.update(segment=state["segment"] + 1, pos=-1, history=[])
-            else:
-                for i in range(1, gap):
-                    emit({**{n: 0.0 for n in self.names}, "timestamp": last + i * step, "attack_flows": 0.0,
-                          "attack_fraction": 0.0, "stage": BENIGN, "is_attack": False, "source": key[0], "filled": True})
-            emit(row)
-            state["last"] = now.isoformat()
+            state["held"].append({**row, "pos": state["pos"], "history":
+                                  state["history"] if len(state["history"]) == self.options.history else None})
+            state["kept"] = state["kept"] or state["pos"] + 1 >= self.min_segment
+            if state["kept"]:
+                for held in state["held"]:
+                    out.append({**held, "source": key[0], "timestamp": pd.Timestamp(held["timestamp"], unit="ms"),
+                                "segment": state["segment"], "late": state["late"], "pruned": state["pruned"]})
+                    state["late"] = state["pruned"] = 0
+                state["held"] = []
+
+        gap = None if state["last"] is None else round((at - state["last"]) / step)
+        if gap is not None and gap > self.options.max_gap_windows + 1:
+            state.update(segment=state["segment"] + state["kept"], kept=False, pos=-1, history=[],
+                         pruned=state["pruned"] + len(state["held"]), held=[])
+        for i in range(1, gap if gap and state["pos"] >= 0 else 1):
+            place({**{n: 0.0 for n in self.names}, "timestamp": state["last"] + i * step, "attack_flows": 0.0,
+                   "attack_fraction": 0.0, "stage": BENIGN, "is_attack": False, "filled": True})
+        place(row)
+        state["last"] = at
         self.saved.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=[*self.names, "timestamp", "attack_flows", "attack_fraction", "stage",
-                                         "is_attack", "source", "filled", "segment", "pos", "history"])
+        yield pd.DataFrame(out, columns=[*self.names, "timestamp", "attack_flows", "attack_fraction", "stage", "is_attack",
+                                         "source", "filled", "segment", "pos", "history", "late", "pruned"])
 
     def close(self) -> None:
         pass
 
 
-def stream_grid(states: DataFrame, options: Options, vector: list[str] | None = None) -> DataFrame:
-    """Regular states with ``segment``, ``pos`` and, once complete, the ``history`` of ``vector`` columns."""
+def stream_grid(states: DataFrame, options: Options, vector: list[str] | None = None, late: str = "10 minutes",
+                min_segment: int = 1, grace: str = "365 days") -> DataFrame:
+    """Regular states as of ``regular_states``: ``segment``, ``pos`` and, once complete, the ``history`` of ``vector`` columns.
+
+    Windows may come in any order: each is placed when a window ``late`` after it has been seen, whichever source has it.
+    Later ones are left out and counted: ``late`` of the next row of the source says how many came since the row before,
+    ``pruned`` how many rows went with segments of fewer than ``min_segment`` windows. Spark's own filter for late rows is
+    set ``grace`` further back, as it would drop them uncounted; times must lie that long after 1970. The last windows
+    wait for later ones; :func:`closing_file` lets them go.
+    """
     names = feature_names(options)
     fields = {f.name: f for f in state_schema(options).fields}
     order = [*names, "timestamp", "attack_flows", "attack_fraction", "stage", "is_attack", "source", "filled", "segment"]
     schema = T.StructType([*[fields[n] for n in order], T.StructField("pos", T.LongType()),
-                           T.StructField("history", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    return states.select(*order[:-1]).groupBy("source").transformWithStateInPandas(
-        GridProcessor(names, vector or names, options), outputStructType=schema, outputMode="append", timeMode="none")
+                           T.StructField("history", T.ArrayType(T.ArrayType(T.DoubleType()))),
+                           T.StructField("late", T.LongType()), T.StructField("pruned", T.LongType())])
+    held, kept_on = (pd.Timedelta(x) for x in (late, grace))
+    timed = states.select(*order[:-1], F.hash(*names).alias("tie"), F.col("timestamp").cast("timestamp").alias("event_time"))
+    timed = timed.withWatermark("event_time", f"{int((held + kept_on).total_seconds())} seconds")
+    processor = GridProcessor(names, vector or names, options, int(kept_on.total_seconds() * 1000), min_segment)
+    return timed.groupBy("source").transformWithStateInPandas(
+        processor, outputStructType=schema, outputMode="append", timeMode="EventTime")
+
+
+def closing_file(spark: SparkSession, folder: str, schema: T.StructType, time: str, at) -> None:
+    """Add a file with a mark to a replayed folder: a row with nothing but the time ``at``, in column ``time``.
+
+    It lies so far ahead that every window before it is complete; the mark itself makes no window.
+    """
+    row = [at if f.name == time else None for f in schema.fields]
+    open_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
+    spark.createDataFrame([row], open_schema).coalesce(1).write.mode("append").parquet(folder)
 
 
 def stream_scores(grid: DataFrame, scorer, threshold: float) -> DataFrame:

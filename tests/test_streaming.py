@@ -1,15 +1,16 @@
 """Streams give what the batch operators give."""
 import uuid
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
 from netstate.config import Options
 from netstate.operators.alerts import alert_events
+from netstate.operators.grid import regular_states
 from netstate.operators.states import window_states
 from netstate.plans import registry as q
 from netstate.plans.events import event_flows, flows_of_events
 from netstate.streaming import states as st
-from netstate.streaming.alerts import stream_alerts
 
 O = Options(window_seconds=3600)
 
@@ -24,7 +25,7 @@ def in_order(df, column, path, n=2):
         part.coalesce(1).write.mode("append").parquet(path)
 
 
-def test_window_states(spark, sf, tmp_path):
+def test_window_states_leave_as_the_watermark_passes(spark, sf, tmp_path):
     st.use_rocksdb(spark)
     events = spark.read.parquet(f"{sf}/events.parquet")
     in_order(events, "ts", str(tmp_path / "in"))
@@ -32,29 +33,47 @@ def test_window_states(spark, sf, tmp_path):
     streamed = q.tidy(st.run_to_table(st.stream_window_states(flows, O, "1 hour"), str(tmp_path / "out")), 1e-9)
     batch = q.tidy(window_states(event_flows(spark, sf, O), O), 1e-9).select(*streamed.columns)
     assert streamed.exceptAll(batch).isEmpty()
-    # the last windows wait for the watermark
+    # the last windows wait for the watermark, until the stream is closed and started again
     assert 0 < batch.exceptAll(streamed).count() <= 6
+    st.closing_file(spark, str(tmp_path / "in"), events.schema, "ts", events.agg(F.max("ts")).first()[0] + timedelta(days=9))
+    whole = q.tidy(st.run_to_table(st.stream_window_states(flows, O, "1 hour"), str(tmp_path / "out")), 1e-9)
+    assert whole.exceptAll(batch).isEmpty() and batch.exceptAll(whole).isEmpty()
 
 
-def test_grid_and_alerts(spark, sf, tmp_path):
+def test_streams_in_any_order_equal_the_batch(spark, sf):
+    """The newest file first, one file a micro-batch."""
+    table = q.tidy(q.regular(spark, sf).drop("seg_len", "row", "source_rows"), q.NUDGE)
+    grid = q.stream_regular_states(spark, sf)
+    assert grid.agg(F.sum("late")).first()[0] == 0
+    grid = grid.select(*table.columns)
+    assert grid.exceptAll(table).isEmpty() and table.exceptAll(grid).isEmpty()
+    got, want = q.stream_alert_events(spark, sf), alert_events(q.raised(spark, sf))
+    assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).isEmpty()
+
+
+def test_late_repeated_and_pruned_windows_are_counted(spark, sf, tmp_path):
     st.use_rocksdb(spark)
-    batch = window_states(event_flows(spark, sf, O), O)
-    in_order(batch, "timestamp", str(tmp_path / "in"))
-    grid = st.run_to_table(st.stream_grid(st.replay_files(spark, str(tmp_path / "in"), batch.schema), O, ["flow_count"]),
-                           str(tmp_path / "grid"))
-    table = q.regular(spark, sf)
-    keys = ["source", "timestamp", "filled"]
-    assert table.select(*keys).exceptAll(grid.select(*keys)).isEmpty()
-    assert grid.where("history is not null").count() == grid.where("pos >= 11").count()
-    # the batch table drops segments too short to train on, so alerts are compared on its rows
-    rows = q.scored(spark, sf).select("source", "segment", "pos", "timestamp", "risk", "headline_stage", "attack_prob")
-    in_order(rows, "timestamp", str(tmp_path / "scored"))
-    stream = st.replay_files(spark, str(tmp_path / "scored"), rows.schema)
-    got = st.run_to_table(stream_alerts(stream, q.THRESHOLD, O), str(tmp_path / "alerts"))
-    want = alert_events(q.raised(spark, sf))
-    columns = ["source", "segment", "pos", "type", "alert_id", "severity", "stage"]
-    assert got.select(*columns).exceptAll(want.select(*columns)).isEmpty()
-    assert got.count() == want.count() > 0
+    batch = window_states(event_flows(spark, sf, O), O).cache()
+    low, high = batch.agg(F.min("timestamp"), F.max("timestamp")).first()
+    early = batch.where(F.col("timestamp") < low + timedelta(hours=100))
+    there = batch.where(F.col("timestamp") >= high - timedelta(hours=100))
+    middle = batch.where((F.col("timestamp") >= low + timedelta(hours=100)) & (F.col("timestamp") < high - timedelta(hours=100)))
+    small = early.withColumn("flow_count", F.lit(0.5))               # repeats with fewer flows lose
+    blip = there.where(F.col("timestamp") == there.agg(F.min("timestamp")).first()[0]).withColumn(
+        "timestamp", F.col("timestamp") + F.expr("interval 10 days"))
+    further = there.withColumn("timestamp", F.col("timestamp") + F.expr("interval 30 days"))
+    for part in (early.union(small), there, blip, middle, further):  # what lies in the middle comes when its place has passed
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    st.closing_file(spark, str(tmp_path / "in"), batch.schema, "timestamp", high + timedelta(days=400))
+    stream = st.stream_grid(st.replay_files(spark, str(tmp_path / "in"), batch.schema), O, ["flow_count"], "1 hour", 20)
+    rows = st.run_to_table(stream, str(tmp_path / "grid"))
+    kept = early.union(there).union(blip).union(further)
+    want = regular_states(kept, O, 20).select("source", "segment", "pos", "timestamp", "flow_count", "filled")
+    got = rows.select(*want.columns)
+    assert got.count() > 300 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    told = rows.agg(F.sum("late"), F.sum("pruned")).first()
+    assert tuple(told) == (middle.count(), regular_states(kept, O).count() - rows.count()) and min(told) > 0
+    assert rows.where("history is not null").count() == rows.where("pos >= 11").count()
 
 
 def test_repeated_flows_count_once(spark, sf, tmp_path):
