@@ -7,13 +7,15 @@ The rules look like a state machine, but almost all of them are local, so the ba
   *stretches* with at most one alert each: it opens at the first allowed window with ``persistence`` above-windows in a
   row and lives to the end of the stretch;
 * only the cooldown links stretches, and only if a candidate lies within ``cooldown_windows`` of the previous end.
-  Stretches linked that way form a chain; a fold over one small summary row per stretch settles each chain.
+  Stretches linked that way form a chain. Pieces of a chain become maps from cooldown state to cooldown state, which are then
+  put together, so a chain of any length is spread over tasks.
 
 What an alert contains is then an aggregation over its windows. Long segments and long alerts are spread over chunks.
 :mod:`netstate.streaming.alerts` has the same rules as a per-window step for Structured Streaming.
 """
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,25 +94,108 @@ def fold_sorted(df: DataFrame, keys: list[str], order: str, step, schema: str) -
     return df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, order).mapInPandas(fold, schema)
 
 
+def _opened(row, blocked: dict[str, int]):
+    """The window at which the alert of a stretch opens: the first early candidate that isn't blocked, else the free one."""
+    free = (c for c in row.early if blocked.get(c["headline_stage"], -1) < c["pos"])
+    return next(free, row.free)
+
+
+def _blocked_by(row, opening, options: Options) -> dict[str, int]:
+    """Stages that the alert of a stretch blocks, with the last position of that."""
+    if opening is None or pd.isna(row.end_pos):
+        return {}
+    held = {s["headline_stage"] for s in row.stages if s["last_k"] >= opening["k"] and s["headline_stage"] != BENIGN}
+    return {s: int(row.end_pos) + options.cooldown_windows for s in held | {opening["headline_stage"]}}
+
+
 def _settle(options: Options):
     """Fold step over the stretches of a chain: where does the alert of each stretch open?"""
-    cool = options.cooldown_windows
-
-    def step(until, row):
-        until = until or {}                     # stage -> last position at which it is still cooling down
-        opening = next((c for c in row.early if until.get(c["headline_stage"], -1) < c["pos"]), None)
-        opening = opening if opening is not None else row.free
+    def step(blocked, row):
+        blocked = blocked or {}
+        opening = _opened(row, blocked)
         if opening is None:
-            return until, None
-        open_k = opening["k"]
-        if pd.notna(row.end_pos):
-            held = {s["headline_stage"] for s in row.stages if s["last_k"] >= open_k and s["headline_stage"] != BENIGN}
-            until = {**until, **{s: int(row.end_pos) + cool for s in held | {opening["headline_stage"]}}}
-        return until, (row.source, row.segment, row.stretch, open_k, row.last_k)
+            return blocked, None
+        return {**blocked, **_blocked_by(row, opening, options)}, (row.source, row.segment, row.stretch, opening["k"], row.last_k)
 
     return step
 
 
+def _written(blocked: dict[str, int], at: int) -> str:
+    """A cooldown state as text, without what has ended before ``at``."""
+    return json.dumps({s: until for s, until in sorted(blocked.items()) if until >= at})
+
+
+#: Entering states of a piece of a chain; a chain that needs more goes through one fold as a whole.
+MOST_STATES = 512
+
+
+def _piece_maps(options: Options, most: int):
+    """What a piece of a chain makes of every cooldown state in which it may be entered.
+
+    Only stretches before the piece whose cooldown reaches into it can matter. They come with it, and whichever of their
+    candidates opened, the state is among those collected here. Rows of one piece: those stretches, then its own.
+    """
+    def run(keys, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("stretch")
+        own = list(rows[rows["home"] == rows["piece"]].itertuples(index=False))
+        if not own:
+            return pd.DataFrame([], columns=columns)
+        at, states = int(own[0].at), {"{}": {}}
+        for row in rows[rows["home"] < rows["piece"]].itertuples(index=False):
+            openings = [*row.early, row.free]
+            later = [{**state, **_blocked_by(row, o, options)} for state in states.values() for o in openings]
+            states = {_written(state, at): state for state in later}
+            if len(states) > most:
+                return pd.DataFrame([(*keys, at, None, None, None)], columns=columns)
+        out = []
+        for entry, blocked in states.items():
+            found = []
+            for row in own:
+                opening = _opened(row, blocked)
+                if opening is not None:
+                    found.append({"stretch": row.stretch, "open_k": opening["k"], "last_k": row.last_k})
+                    blocked = {**blocked, **_blocked_by(row, opening, options)}
+                blocked = {s: until for s, until in blocked.items() if until >= row.at}
+            out.append((*keys, at, entry, _written(blocked, at), found))
+        return pd.DataFrame(out, columns=columns)
+
+    columns = [*KEYS, "chain", "piece", "at", "entry", "exit", "found"]
+    return run
+
+
+def _entered(state, row):
+    """Fold step over the maps of a chain: picks the entry of each piece that the piece before it leads to."""
+    piece, reached, left = state or (None, "{}", "{}")
+    if row.piece != piece:
+        piece, reached = row.piece, left
+    if row.entry == _written(json.loads(reached), int(row.at)):
+        return (piece, reached, row.exit), (row.source, row.segment, row.chain, row.piece, row.entry)
+    return (piece, reached, left), None
+
+
+def _settled_chains(chained: DataFrame, options: Options, most: int = MOST_STATES) -> DataFrame:
+    """Where the alert of each stretch of each chain opens, if there is one.
+
+    A chain is cut into pieces of ``chunk_windows`` positions. All pieces are worked on at once, each for every state in
+    which it may be entered: a map from state to state. Going through the maps of a chain then takes a few short rows a piece.
+    """
+    size = options.chunk_windows
+    placed = chained.withColumn("at", F.coalesce("before_pos", F.lit(-1))).withColumn("home", chunk_of("at", size))
+    first, last = chunk_of("end_pos", size), chunk_of(F.col("end_pos") + options.cooldown_windows, size)
+    reached = F.when(F.col("end_pos").isNotNull(), F.filter(F.sequence(first, last), lambda p: p > F.col("home")))
+    pieces = placed.withColumn("piece", F.explode(F.concat(F.array("home"), F.coalesce(reached, F.array().cast("array<bigint>")))))
+    maps = materialize(pieces.groupBy(*KEYS, "chain", "piece").applyInPandas(
+        _piece_maps(options, most), "source string, segment int, chain long, piece long, at long, entry string, exit string, "
+        "found array<struct<stretch:bigint,open_k:bigint,last_k:bigint>>"), "chain-maps")
+    whole = maps.where("entry is null").select(*KEYS, "chain").distinct()
+    cut = maps.join(whole, [*KEYS, "chain"], "left_anti")
+    entered = fold_sorted(cut.select(*KEYS, "chain", "piece", "at", "entry", "exit"), [*KEYS, "chain"], "piece", _entered,
+                          "source string, segment int, chain long, piece long, entry string")
+    settled = cut.join(entered, [*KEYS, "chain", "piece", "entry"], "left_semi").select(*KEYS, F.inline("found"))
+    rest = fold_sorted(chained.join(whole, [*KEYS, "chain"], "left_semi"), [*KEYS, "chain"], "stretch", _settle(options), RESOLVED)
+    return settled.union(rest)
+
+
 def alert_windows(rows: DataFrame, threshold: float, options: Options) -> DataFrame:
     """The above-windows that belong to an alert, with its opening ordinal ``open_k``.
 
@@ -123,7 +208,7 @@ def alert_windows(rows: DataFrame, threshold: float, options: Options) -> DataFr
     chained = running(stretches, KEYS, ["stretch"], chunk_of("stretch", size),
                       last={"chain": F.when(F.size("early") == 0, F.col("stretch"))})
     chained = chained.withColumn("chain", F.coalesce("chain", F.lit(-1)))
-    settled = fold_sorted(chained, [*KEYS, "chain"], "stretch", _settle(options), RESOLVED)
+    settled = _settled_chains(materialize(chained, "stretches"), options)
     # an alert meets its windows chunk by chunk, so a long one is no hot join key
     spread = settled.withColumn("part", F.explode(F.sequence(chunk_of("open_k", size), chunk_of("last_k", size))))
     return (above.withColumn("part", chunk_of("k", size)).join(spread.drop("last_k"), [*KEYS, "stretch", "part"])

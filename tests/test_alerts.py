@@ -4,6 +4,7 @@ import pandas as pd
 import pytest
 
 from netstate.config import Options
+from netstate.operators import alerts as batch_alerts
 from netstate.operators.alerts import alert_events, alerts, open_at
 from netstate.functions.levels import level_bounds
 from netstate.streaming.alerts import Watch, run_lengths
@@ -144,6 +145,23 @@ def test_stream_follows_the_rules(seed, size):
     assert got == read_rules(rows, options)[0] and len(got) > 20
 
 
+@pytest.mark.parametrize("chunk, cooldown, most", [(8, 20, 512), (32, 60, 4096), (16, 6, 512), (8, 40, 2)])
+def test_long_chains_in_pieces(spark, monkeypatch, chunk, cooldown, most):
+    """A source that flaps all the time: every stretch depends on the ones before it, across pieces."""
+    monkeypatch.setattr(batch_alerts, "MOST_STATES", most)
+    monkeypatch.setattr(batch_alerts._settled_chains, "__defaults__", (most,))
+    options = Options(chunk_windows=chunk, cooldown_windows=cooldown)
+    rng, names, rows = np.random.default_rng(chunk), ["Impact", "Discovery", "Initial Access", "Collection"], []
+    for i in range(900):
+        hot = i % 9 < 4 if i < 600 else rng.random() < 0.6
+        risk = float(rng.uniform(.55, 1) if hot else rng.uniform(0, .35))
+        rows.append(("a", 0, i, i, moment(10 * i), risk, names[rng.integers(0, 4)] if hot else "Benign", [risk, risk]))
+    found = alerts(spark.createDataFrame(rows, TIMELINE), THR, options)
+    got = {(r["segment"], r["pos"], r["type"], r["alert_id"], r["severity"], r["stage"]) for r in alert_events(found).collect()}
+    events = read_rules(rows, options)[0]
+    assert got == set(events) and len(events) > 30
+
+
 def test_open_at(spark):
     line = timeline_of(spark, [.1, .9, .9, .1, .1, .1, .1])
     rows = open_at(alerts(line, THR, O5), line, O5).orderBy("pos").collect()
