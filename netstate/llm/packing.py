@@ -19,6 +19,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -189,6 +190,12 @@ class Tokens:
         return np.concatenate([np.array(p, dtype="<u4") for p in parts])
 
 
+@lru_cache(maxsize=1)
+def _tokens(vocabulary: str) -> Tokens:
+    """One for each worker process."""
+    return Tokens(vocabulary)
+
+
 PIECES = "doc_id bigint, part int, piece int, start bigint, length int, ids_crc32 bigint, chunk int, nth int"
 
 
@@ -202,7 +209,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end: int | No
     held = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs, vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, chunk, seen = Tokens(held.value), TaskContext.get().partitionId(), defaultdict(int)
+        tokens, chunk, seen = _tokens(held.value), TaskContext.get().partitionId(), defaultdict(int)
         tail = np.array([] if end is None else [end], dtype="<u4")
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
