@@ -36,16 +36,16 @@ def with_measures(flows: DataFrame, options: Options) -> DataFrame:
         return F.coalesce(condition, F.lit(False)).cast("double")
 
     port, proto = F.col("dst_port"), F.col("protocol")
-    seconds = F.greatest(known("dur"), F.lit(1e-3))
-    packets, payload = known("fp") + known("bp"), known("fb") + known("bb")
+    seconds = F.greatest(known("flow_duration"), F.lit(1e-3))
+    packets, payload = known("fwd_packets") + known("bwd_packets"), known("fwd_bytes") + known("bwd_bytes")
     return flows.select(
         "source", "timestamp", "stage",
-        *[known(c).alias(c) for c in ["fp", "bp", "fb", "bb", "dur", "iatm", "iats", "iatx", "retr", "plm", "pls",
-                                      *FLAGS]],
-        "win", "ttl", packets.alias("packets"), payload.alias("payload"),
+        *[known(c).alias(c) for c in ["fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "flow_duration", "iat_mean", "iat_std",
+                                      "iat_max", "retransmissions", "pktlen_mean", "pktlen_std", *FLAGS]],
+        "win_fwd", "ttl", packets.alias("packets"), payload.alias("payload"),
         F.least(packets / seconds, F.lit(options.rate_clip)).alias("packet_rate"),
         F.least(payload / seconds, F.lit(options.rate_clip)).alias("byte_rate"),
-        flag(known("bp") == 0).alias("failed"), flag(packets <= options.small_flow_packets).alias("small"),
+        flag(known("bwd_packets") == 0).alias("failed"), flag(packets <= options.small_flow_packets).alias("small"),
         flag(port.isin(list(options.well_known_ports))).alias("well_known"),
         flag(proto == 6).alias("tcp"), flag(proto == 17).alias("udp"), flag(proto == 1).alias("icmp"),
         flag(~proto.isin(1, 6, 17)).alias("other_protocol"),
@@ -64,15 +64,16 @@ def _variance(total: Column, squares: Column, n: Column) -> Column:
 
 def sum_columns(options: Options) -> list[Column]:
     """Additive part of a state: sums, one maximum and attack flows per stage."""
-    squares = ["dur", "win", "ttl", "payload"]
-    plain = ["fp", "bp", "fb", "bb", "dur", "iatm", "iats", "win", "ttl", "retr", "plm", "pls", "payload", *FLAGS,
+    squares = ["flow_duration", "win_fwd", "ttl", "payload"]
+    plain = ["fwd_packets", "bwd_packets", "fwd_bytes", "bwd_bytes", "flow_duration", "iat_mean", "iat_std", "win_fwd", "ttl",
+             "retransmissions", "pktlen_mean", "pktlen_std", "payload", *FLAGS,
              "failed", "small", "well_known", "tcp", "udp", "icmp", "other_protocol", "packet_rate", "byte_rate",
              *[f"port_{p}" for p in options.port_buckets], "port_other"]
     return [F.count("stage").cast("double").alias("n"),
             *[F.coalesce(F.sum(c), F.lit(0.0)).alias(f"s_{c}") for c in plain],
             *[F.coalesce(F.sum(F.col(c) * F.col(c)), F.lit(0.0)).alias(f"q_{c}") for c in squares],
-            F.count("win").cast("double").alias("n_win"), F.count("ttl").cast("double").alias("n_ttl"),
-            F.max("iatx").alias("x_iat"),
+            F.count("win_fwd").cast("double").alias("n_win_fwd"), F.count("ttl").cast("double").alias("n_ttl"),
+            F.max("iat_max").alias("x_iat_max"),
             F.count_if(F.col("stage") != BENIGN).cast("double").alias("attack_flows"),
             *[F.count_if(F.col("stage") == s).alias(f"stage_{i}") for i, s in enumerate(attack_stages(options))]]
 
@@ -149,21 +150,21 @@ def finish_states(sums: DataFrame, options: Options) -> DataFrame:
     columns = {
         "flow_count": n,
         **{c: uniq(c) for c in DISTINCT[:4]},
-        "packets_total": F.col("s_fp") + F.col("s_bp"), "bytes_total": F.col("s_fb") + F.col("s_bb"),
+        "packets_total": F.col("s_fwd_packets") + F.col("s_bwd_packets"), "bytes_total": F.col("s_fwd_bytes") + F.col("s_bwd_bytes"),
         "pkt_rate_mean": mean("packet_rate"), "byte_rate_mean": mean("byte_rate"),
-        "duration_mean": mean("dur"), "duration_std": F.sqrt(_variance(F.col("s_dur"), F.col("q_dur"), n)),
-        "iat_mean": mean("iatm"), "iat_std": mean("iats"), "iat_max": F.greatest(F.col("x_iat"), F.lit(0.0)),
+        "duration_mean": mean("flow_duration"), "duration_std": F.sqrt(_variance(F.col("s_flow_duration"), F.col("q_flow_duration"), n)),
+        "iat_mean": mean("iat_mean"), "iat_std": mean("iat_std"), "iat_max": F.greatest(F.col("x_iat_max"), F.lit(0.0)),
         "ttl_mean": _ratio(F.col("s_ttl"), F.col("n_ttl")),
         "ttl_var": _variance(F.col("s_ttl"), F.col("q_ttl"), F.col("n_ttl")),
-        "tcp_window_mean": _ratio(F.col("s_win"), F.col("n_win")),
-        "tcp_window_var": _variance(F.col("s_win"), F.col("q_win"), F.col("n_win")),
-        "pkt_len_mean": mean("plm"), "pkt_len_std": mean("pls"),
+        "tcp_window_mean": _ratio(F.col("s_win_fwd"), F.col("n_win_fwd")),
+        "tcp_window_var": _variance(F.col("s_win_fwd"), F.col("q_win_fwd"), F.col("n_win_fwd")),
+        "pkt_len_mean": mean("pktlen_mean"), "pkt_len_std": mean("pktlen_std"),
         "payload_mean": mean("payload"), "payload_std": F.sqrt(_variance(F.col("s_payload"), F.col("q_payload"), n)),
-        "retransmissions": F.col("s_retr"),
+        "retransmissions": F.col("s_retransmissions"),
         **{f"{f}_count": F.col(f"s_{f}") for f in FLAGS},
         "syn_ratio": mean("syn"), "rst_ratio": mean("rst"),
-        "inbound_outbound_byte_ratio": _ratio(F.col("s_bb"), F.col("s_fb")),
-        "inbound_outbound_packet_ratio": _ratio(F.col("s_bp"), F.col("s_fp")),
+        "inbound_outbound_byte_ratio": _ratio(F.col("s_bwd_bytes"), F.col("s_fwd_bytes")),
+        "inbound_outbound_packet_ratio": _ratio(F.col("s_bwd_packets"), F.col("s_fwd_packets")),
         "distinct_dst_per_src_mean": uniq("pairs") / F.greatest(uniq("unique_src_ips"), F.lit(1.0)),
         "failed_flow_ratio": failed, "small_flow_ratio": small,
         "scan_score": F.least(F.greatest(scan, F.lit(0.0)), F.lit(1.0)),
@@ -194,9 +195,9 @@ def source_info(flows: DataFrame, options: Options) -> DataFrame:
         return F.bool_or(F.col(c).isNotNull()).alias(c)
 
     per_window = flows.groupBy("source", window_start(F.col("timestamp"), options).alias("w")).agg(
-        F.count("*").alias("n"), some("src_ip"), some("dst_ip"), some("src_port"), some("ttl"), some("retr"))
+        F.count("*").alias("n"), some("src_ip"), some("dst_ip"), some("src_port"), some("ttl"), some("retransmissions"))
     return per_window.groupBy("source").agg(
         F.sum("n").alias("flow_rows"), F.count("*").alias("windows"), F.min("w").alias("start"),
         F.max("w").alias("end"), (F.bool_or("src_ip") & F.bool_or("dst_ip")).alias("has_ip"),
         F.bool_or("src_port").alias("has_src_port"), F.bool_or("ttl").alias("has_ttl"),
-        F.bool_or("retr").alias("has_retransmissions"))
+        F.bool_or("retransmissions").alias("has_retransmissions"))

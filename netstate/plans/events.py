@@ -34,14 +34,14 @@ def flows_of_events(events: DataFrame, options: Options | None = None) -> DataFr
         F.concat(F.lit("sensor-"), F.col("sensor").cast("string")).alias("source"), F.col("ts").alias("timestamp"),
         double(F.when(k < 68, F.element_at(ports, k % 17 + 1)).otherwise(1000 + k * 7)).alias("dst_port"),
         double(F.when(k == 99, 47).when(kind == "signup", 17).when(icmp, 1).otherwise(6)).alias("protocol"),
-        (value / 10).alias("dur"), double(1 + k % 6).alias("fp"),
-        double(F.when(kind == "error", 0).otherwise(k % 5)).alias("bp"),
-        F.round(value * 10).alias("fb"), F.round(value * (k % 5) * 4).alias("bb"),
-        (value / 100).alias("iatm"), (value / 200).alias("iats"), (value / 20).alias("iatx"),
-        F.when((k != 99) & (kind != "signup") & ~icmp, double(8192 + 512 * (k % 8))).alias("win"),
+        (value / 10).alias("flow_duration"), double(1 + k % 6).alias("fwd_packets"),
+        double(F.when(kind == "error", 0).otherwise(k % 5)).alias("bwd_packets"),
+        F.round(value * 10).alias("fwd_bytes"), F.round(value * (k % 5) * 4).alias("bwd_bytes"),
+        (value / 100).alias("iat_mean"), (value / 200).alias("iat_std"), (value / 20).alias("iat_max"),
+        F.when((k != 99) & (kind != "signup") & ~icmp, double(8192 + 512 * (k % 8))).alias("win_fwd"),
         F.when(first, double(32 + 32 * (k % 3))).alias("ttl"),
-        F.when(first, double(F.when(k % 20 == 0, 1).otherwise(0))).alias("retr"),
-        (value * 2).alias("plm"), (value / 2).alias("pls"),
+        F.when(first, double(F.when(k % 20 == 0, 1).otherwise(0))).alias("retransmissions"),
+        (value * 2).alias("pktlen_mean"), (value / 2).alias("pktlen_std"),
         double(F.when(kind.isin("click", "view", "error"), 1).otherwise(0)).alias("syn"), double(k % 4).alias("ack"),
         double(F.when(k % 9 == 0, 1).otherwise(0)).alias("rst"), double(k % 2).alias("fin"),
         double(k % 3).alias("psh"), F.lit(0.0).alias("urg"),

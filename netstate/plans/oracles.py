@@ -166,23 +166,42 @@ add("packet_decode", PACKETS, """SELECT CAST(proto AS BIGINT) AS proto, CASE WHE
  CAST(CASE WHEN up THEN 443 ELSE cport END AS BIGINT) AS dport, count(*) AS packets, CAST(sum(payload) AS BIGINT) AS payload,
  CAST(sum(flags) AS BIGINT) AS flags, CAST(sum(win) AS BIGINT) AS win, CAST(sum(ttl) AS BIGINT) AS ttl,
  CAST(sum(seq) AS BIGINT) AS seq FROM pk GROUP BY 1, 2, 3""")
-add("packet_idle_flows", PACKETS + """,
+
+
+def packet_flows(idle: int, active: int) -> tuple[str, str]:
+    """Flows begin after silence and, from the begin of the flow before, at the first packet more than ``active`` later."""
+    marks = ", ".join(f"CAST(count(*) FILTER (proto = 6 AND flags & {bit} > 0) AS DOUBLE) AS {f}" for f, bit in (
+        ("syn", 2), ("ack", 16), ("rst", 4), ("fin", 1), ("psh", 8), ("urg", 32)))
+    with_ = PACKETS + f""",
 l AS (SELECT *, ts - lag(ts) OVER (PARTITION BY capture, client ORDER BY packet_no) AS d FROM pk),
-s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY capture, client ORDER BY packet_no) AS fl FROM l),
+s AS (SELECT *, sum(CASE WHEN d IS NULL OR d > {idle} THEN 1 ELSE 0 END) OVER (PARTITION BY capture, client ORDER BY packet_no) AS ses FROM l),
+bg AS (SELECT capture, client, ses, min(packet_no) AS p, arg_min(ts, packet_no) AS t FROM s GROUP BY 1, 2, 3
+       UNION ALL
+       SELECT b.capture, b.client, b.ses, min(s.packet_no), arg_min(s.ts, s.packet_no) FROM bg b JOIN s
+         ON s.capture = b.capture AND s.client = b.client AND s.ses = b.ses AND s.packet_no > b.p AND s.ts - b.t > {active}
+       GROUP BY b.capture, b.client, b.ses, b.p),
+m AS (SELECT s.*, max(bg.p) OVER (PARTITION BY s.capture, s.client ORDER BY s.packet_no) AS fl FROM s
+      LEFT JOIN bg ON bg.capture = s.capture AND bg.client = s.client AND bg.p = s.packet_no),
 g AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN 0 ELSE d END AS gap, up = first(up) OVER w AS fwd,
-       first(up) OVER w AS fup, first(ts) OVER w AS t0 FROM s WINDOW w AS (PARTITION BY capture, client, fl ORDER BY packet_no)),
+       first(up) OVER w AS fup, first(ts) OVER w AS t0 FROM m WINDOW w AS (PARTITION BY capture, client, fl ORDER BY packet_no)),
 rt AS (SELECT capture, client, fl, sum(c - 1) AS retr FROM (SELECT capture, client, fl, count(*) AS c FROM g
-       WHERE fwd AND proto = 6 AND payload > 0 GROUP BY capture, client, fl, seq, payload, flags & 7) GROUP BY 1, 2, 3)""",
-    """SELECT capture AS source, make_timestamp(CAST(min(t0) AS BIGINT) * 1000000) AS timestamp,
+       WHERE fwd AND proto = 6 AND payload > 0 GROUP BY capture, client, fl, seq, payload, flags & 7) GROUP BY 1, 2, 3)"""
+    return with_, f"""SELECT capture AS source, make_timestamp(CAST(min(t0) AS BIGINT) * 1000000) AS timestamp,
+ CAST(CASE WHEN bool_and(fup) THEN 443 ELSE any_value(cport) END AS DOUBLE) AS dst_port, CAST(any_value(proto) AS DOUBLE) AS protocol,
+ arg_max(ts, packet_no) - min(t0) AS flow_duration,
+ CAST(count(*) FILTER (fwd) AS DOUBLE) AS fwd_packets, CAST(count(*) FILTER (NOT fwd) AS DOUBLE) AS bwd_packets,
+ CAST(coalesce(sum(payload) FILTER (fwd), 0) AS DOUBLE) AS fwd_bytes, CAST(coalesce(sum(payload) FILTER (NOT fwd), 0) AS DOUBLE) AS bwd_bytes,
+ round(avg(gap), 6) AS iat_mean, round(stddev_pop(gap), 6) AS iat_std, CAST(max(gap) AS DOUBLE) AS iat_max,
+ CAST(arg_min(win, packet_no) FILTER (fwd AND proto = 6) AS DOUBLE) AS win_fwd, round(avg(ttl) FILTER (fwd), 6) AS ttl,
+ CAST(coalesce(any_value(retr), 0) AS DOUBLE) AS retransmissions, round(avg(ip_len), 6) AS pktlen_mean,
+ round(stddev_pop(ip_len), 6) AS pktlen_std, {marks},
  CASE WHEN bool_and(fup) THEN client ELSE '192.168.1.1' END AS src_ip, CASE WHEN bool_and(fup) THEN '192.168.1.1' ELSE client END AS dst_ip,
- CAST(CASE WHEN bool_and(fup) THEN 443 ELSE any_value(cport) END AS DOUBLE) AS dst_port, max(ts) - min(t0) AS dur,
- CAST(count(*) FILTER (fwd) AS DOUBLE) AS fp, CAST(count(*) FILTER (NOT fwd) AS DOUBLE) AS bp,
- CAST(coalesce(sum(payload) FILTER (fwd), 0) AS DOUBLE) AS fb, CAST(coalesce(sum(payload) FILTER (NOT fwd), 0) AS DOUBLE) AS bb,
- round(avg(gap), 6) AS iatm, CAST(max(gap) AS DOUBLE) AS iatx, round(avg(ip_len), 6) AS plm,
- CAST(coalesce(any_value(retr), 0) AS DOUBLE) AS retr,
- CAST(count(*) FILTER (proto = 6 AND flags & 2 > 0) AS DOUBLE) AS syn, round(avg(ttl) FILTER (fwd), 6) AS ttl,
- CAST(arg_min(win, packet_no) FILTER (fwd AND proto = 6) AS DOUBLE) AS win
- FROM g LEFT JOIN rt USING (capture, client, fl) GROUP BY capture, client, fl""")
+ CAST(CASE WHEN bool_and(fup) THEN any_value(cport) ELSE 443 END AS DOUBLE) AS src_port, 'unlabeled' AS raw_label, 'Benign' AS stage
+ FROM g LEFT JOIN rt USING (capture, client, fl) GROUP BY capture, client, fl"""
+
+
+add("packet_idle_flows", *packet_flows(1800, 1_000_000_000))
+add("packet_flows", *packet_flows(21600, 86400))
 
 # ------------------------------------------------------------------------------------------------- splits
 PATTERN = text(O.split_parts)

@@ -140,9 +140,9 @@ def segment_extremes(spark, sf):
 def _flow_text(flows: DataFrame, time, protocol) -> DataFrame:
     return flows.select(
         "source", F.col("dst_port").cast("int").alias("Dst Port"), protocol.alias("Protocol"), time.alias("Timestamp"),
-        (F.col("dur") * 1e6).alias("Flow Duration"),
-        F.col("fp").alias("Tot Fwd Pkts"), F.col("bp").alias("Tot Bwd Pkts"), F.col("fb").alias("TotLen Fwd Pkts"),
-        F.col("bb").alias("TotLen Bwd Pkts"), F.coalesce("win", F.lit(-1.0)).alias("Init Fwd Win Byts"),
+        (F.col("flow_duration") * 1e6).alias("Flow Duration"),
+        F.col("fwd_packets").alias("Tot Fwd Pkts"), F.col("bwd_packets").alias("Tot Bwd Pkts"), F.col("fwd_bytes").alias("TotLen Fwd Pkts"),
+        F.col("bwd_bytes").alias("TotLen Bwd Pkts"), F.coalesce("win_fwd", F.lit(-1.0)).alias("Init Fwd Win Byts"),
         F.col("src_ip").alias("Src IP"), F.col("dst_ip").alias("Dst IP"), F.col("raw_label").alias("Label"))
 
 
@@ -153,7 +153,7 @@ def _ingested(spark: SparkSession, text: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/flow-csv-{uuid.uuid4().hex}"
     text.write.partitionBy("source").option("header", "true").csv(path)
     return tidy(read_flows(spark, path, Options()).groupBy("protocol", "stage").agg(
-        F.count("*").alias("flows"), F.sum("dur").alias("dur"), F.sum("fb").alias("fb"), F.sum("win").alias("win"),
+        F.count("*").alias("flows"), F.sum("flow_duration").alias("dur"), F.sum("fwd_bytes").alias("fb"), F.sum("win_fwd").alias("win"),
         F.countDistinct("src_ip").alias("sources"), F.min("timestamp").alias("first")))
 
 
@@ -211,14 +211,13 @@ def packet_decode(spark, sf):
 
 @query
 def packet_idle_flows(spark, sf):
-    flows = packets.packet_flows(_packets(spark, sf), idle=1800.0, active=1e9)
-    return tidy(flows.select("source", "timestamp", "src_ip", "dst_ip", "dst_port", "dur", "fp", "bp", "fb", "bb",
-                             "iatm", "iatx", "plm", "retr", "syn", "ttl", "win"))
+    return tidy(packets.packet_flows(_packets(spark, sf), idle=1800.0, active=1e9))
 
 
 @query
 def packet_flows(spark, sf):
-    return tidy(packets.packet_flows(_packets(spark, sf), idle=1800.0, active=7200.0))
+    """Conversations cut by silence and by length: some thirty flows in a session."""
+    return tidy(packets.packet_flows(_packets(spark, sf), idle=21600.0, active=86400.0))
 
 
 # ------------------------------------------------------------------------------------------------ splits

@@ -182,12 +182,12 @@ def canonical(rows: DataFrame, dialect: Dialect, fmt: str, options: Options) ->
 
     out = {
         "source": F.col("source"), "timestamp": parsed_time(raw("timestamp"), fmt), "dst_port": num("dst_port"),
-        "protocol": protocol, "dur": count("flow_duration", dialect.duration_divisor), "fp": count("fwd_packets"),
-        "bp": count("bwd_packets"), "fb": count("fwd_bytes"), "bb": count("bwd_bytes"),
-        "iatm": count("iat_mean", dialect.iat_divisor), "iats": count("iat_std", dialect.iat_divisor),
-        "iatx": count("iat_max", dialect.iat_divisor), "win": F.when(window >= 0, window),
-        "ttl": num("ttl", None), "retr": num("retransmissions", None), "plm": count("pktlen_mean"),
-        "pls": count("pktlen_std"), **{f: count(f) for f in ("syn", "ack", "rst", "fin", "psh", "urg")},
+        "protocol": protocol, "flow_duration": count("flow_duration", dialect.duration_divisor), "fwd_packets": count("fwd_packets"),
+        "bwd_packets": count("bwd_packets"), "fwd_bytes": count("fwd_bytes"), "bwd_bytes": count("bwd_bytes"),
+        "iat_mean": count("iat_mean", dialect.iat_divisor), "iat_std": count("iat_std", dialect.iat_divisor),
+        "iat_max": count("iat_max", dialect.iat_divisor), "win_fwd": F.when(window >= 0, window),
+        "ttl": num("ttl", None), "retransmissions": num("retransmissions", None), "pktlen_mean": count("pktlen_mean"),
+        "pktlen_std": count("pktlen_std"), **{f: count(f) for f in ("syn", "ack", "rst", "fin", "psh", "urg")},
         "src_ip": text("src_ip"), "dst_ip": text("dst_ip"), "src_port": num("src_port", None), "raw_label": label}
     header_again = F.coalesce(F.lower("raw_label") == "label", F.lit(False))
     problem = (F.when(F.col("extra").isNotNull(), "too many fields").when(header_again, "header")

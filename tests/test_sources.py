@@ -48,9 +48,9 @@ def test_messy_csv(spark, tmp_path):
     rows = read_flows(spark, str(tmp_path), O).orderBy("source", "timestamp").collect()
     assert [r["source"] for r in rows] == ["a.csv", "a.csv", "b.csv", "b.csv"]
     first, second = rows[:2]
-    assert first["timestamp"] == dt.datetime(2018, 2, 1, 8, 0, 1) and first["dur"] == 1.0
-    assert first["iatm"] is None and first["win"] is None and first["ttl"] is None
-    assert second["dur"] == 0 and second["stage"] == "Credential Access" and second["win"] == 8192
+    assert first["timestamp"] == dt.datetime(2018, 2, 1, 8, 0, 1) and first["flow_duration"] == 1.0
+    assert first["iat_mean"] is None and first["win_fwd"] is None and first["ttl"] is None
+    assert second["flow_duration"] == 0 and second["stage"] == "Credential Access" and second["win_fwd"] == 8192
     assert [r["protocol"] for r in rows[2:]] == [17, 0] and rows[2]["timestamp"] == dt.datetime(2018, 2, 19, 0, 26, 40)
     assert describe_files(spark, str(tmp_path), O).count() == 2
     state = window_states(read_flows(spark, str(tmp_path), O), O).where("source = 'b.csv'").first()
@@ -96,7 +96,7 @@ def test_unsw_headerless_equals_headed(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "u.csv").write_text(head + (",".join(line) + "\n") * 2)
     a, b = (read_flows(spark, str(tmp_path / n), O).collect() for n in ("plain", "headed"))
-    assert a == b and len(a) == 2 and a[0]["dur"] == 0.5 and a[0]["stage"] == "Command and Control"
+    assert a == b and len(a) == 2 and a[0]["flow_duration"] == 0.5 and a[0]["stage"] == "Command and Control"
 
 
 def test_state_tables(spark, sf, tmp_path):
@@ -173,9 +173,9 @@ def test_packet_flows_against_brute_force(spark, tmp_path):
                 flow["win"] = win if flow["win"] is None else flow["win"]
                 flow["seen"] += [(seq, payload, flags & 7)] if payload else []
     flows = packet_flows(read_captures(spark, str(tmp_path), range_bytes=20_000))
-    got = sorted((round(r["dur"], 4), r["src_ip"], r["src_port"], r["protocol"], r["fp"], r["bp"], r["fb"], r["bb"],
-                  r["retr"], round(r["ttl"], 6), round(r["iatm"], 5), round(r["iats"], 4),
-                  r["win"] if r["protocol"] == 6 else None) for r in flows.collect())
+    got = sorted((round(r["flow_duration"], 4), r["src_ip"], r["src_port"], r["protocol"], r["fwd_packets"], r["bwd_packets"], r["fwd_bytes"], r["bwd_bytes"],
+                  r["retransmissions"], round(r["ttl"], 6), round(r["iat_mean"], 5), round(r["iat_std"], 4),
+                  r["win_fwd"] if r["protocol"] == 6 else None) for r in flows.collect())
     want = []
     for f in expected:
         gaps = np.diff([f["times"][0], *f["times"]])
