@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from netstate.llm.languages import hash_order
 from netstate.llm.samples import held_out, stratified
 from netstate.llm.texts import documents
+from netstate.session import materialize
 
 FACTORS = 8
 #: Terms with a smaller log-likelihood ratio statistic between the labels are left out.
 SIGNIFICANT = 12.0
 #: At most about so many rows of either label are learned from.
 SAMPLE = 4000
+#: The ids drawn are sent to all tasks up to so many (16 bytes each), else joined by a shuffle.
+BROADCAST = 100_000
 THRESHOLD = 0.3
 WORDS = re.compile(r"[^\W\d_]+")
 CACHED = 300_000
@@ -124,7 +127,8 @@ class ToxicityModel:
         marks = labels.where(F.col("toxic").isNotNull() & ~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
             F.max(F.col("toxic").cast("int")).alias("toxic"))
         counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
-        chosen = stratified(marks, "toxic", most)
+        chosen = materialize(stratified(marks, "toxic", most), "toxic-sample")
+        chosen = F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen      # about ``most`` rows a label
 
         def features(batches):
             terms = Terms()
