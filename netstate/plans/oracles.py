@@ -166,6 +166,17 @@ add("packet_decode", PACKETS, """SELECT CAST(proto AS BIGINT) AS proto, CASE WHE
  CAST(CASE WHEN up THEN 443 ELSE cport END AS BIGINT) AS dport, count(*) AS packets, CAST(sum(payload) AS BIGINT) AS payload,
  CAST(sum(flags) AS BIGINT) AS flags, CAST(sum(win) AS BIGINT) AS win, CAST(sum(ttl) AS BIGINT) AS ttl,
  CAST(sum(seq) AS BIGINT) AS seq FROM pk GROUP BY 1, 2, 3""")
+add("capture_scan", """
+e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id % 5 AS u FROM events),
+fr AS (SELECT 'sensor-' || (user_id % 2) || '-' || ['eth', 'vlan', 'sll', 'raw'][CAST(event_id % 4 AS INT) + 1] || '.pcap' AS capture, event_id,
+   floor(epoch(ts)) AS ts, CASE u WHEN 4 THEN 17 WHEN 3 THEN 1 ELSE 6 END AS proto, k, u FROM e),
+nr AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY event_id) - 1 AS packet_no FROM fr)""",
+    """SELECT capture, CAST(proto AS BIGINT) AS proto, '10.0.0.' || (u + 1) AS src,
+ CAST(CASE proto WHEN 17 THEN 53 + k WHEN 6 THEN 443 ELSE 0 END AS BIGINT) AS dport, count(*) AS packets,
+ CAST(sum(packet_no) AS BIGINT) AS numbers, max(ts) AS last, CAST(sum(k) AS BIGINT) AS payload,
+ CAST(sum(CASE WHEN proto = 6 THEN k % 64 ELSE 0 END) AS BIGINT) AS flags, CAST(sum(CASE WHEN proto = 6 THEN 8192 + k ELSE 0 END) AS BIGINT) AS win,
+ CAST(sum(32 + k % 32) AS BIGINT) AS ttl, CAST(sum(CASE WHEN proto = 6 THEN k % 10 ELSE 0 END) AS BIGINT) AS seq,
+ (SELECT count(*) FROM fr) AS written FROM nr GROUP BY 1, 2, 3, 4""")
 
 
 def packet_flows(idle: int, active: int) -> tuple[str, str]:

@@ -209,6 +209,47 @@ def packet_decode(spark, sf):
         F.sum("win").alias("win"), F.sum("ttl").alias("ttl"), F.sum("seq").alias("seq"))
 
 
+def _frames(spark, sf) -> DataFrame:
+    """Ethernet, VLAN, Linux cooked and raw IP frames with TCP, UDP and ICMP, one capture for each sensor and link."""
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    k, u, link = F.get_json_object("props", "$.k").cast("int"), F.col("user_id") % 5, F.col("event_id") % 4
+
+    def hexed(value, digits):
+        return F.lpad(F.hex(value.cast("long")), digits, "0")
+
+    proto = F.when(u == 4, 17).when(u == 3, 1).otherwise(6)
+    l4 = (F.when(proto == 17, F.concat(hexed(40000 + u, 4), hexed(53 + k, 4), hexed(8 + k, 4), F.lit("0000")))
+          .when(proto == 1, F.lit("0800000000000000")).otherwise(F.concat(
+              hexed(40000 + u, 4), hexed(F.lit(443), 4), hexed(k % 10, 8), F.lit("0000000050"), hexed(k % 64, 2),
+              hexed(8192 + k, 4), F.lit("00000000"))))
+    ip = F.concat(F.lit("4500"), hexed(F.when(proto == 6, 40).otherwise(28) + k, 4), F.lit("00000000"), hexed(32 + k % 32, 2),
+                  hexed(proto, 2), F.lit("0000"), F.lit("0A0000"), hexed(u + 1, 2), F.lit("C0A80101"), l4,
+                  F.repeat(F.lit("5A"), k))
+    header = (F.when(link == 0, "1" * 24 + "0800").when(link == 1, "1" * 24 + "810000050800")
+              .when(link == 2, "00000001000602020202020200000800").otherwise(""))
+    name = F.element_at(F.array(*[F.lit(x) for x in ("eth", "vlan", "sll", "raw")]), link.cast("int") + 1)
+    return e.select(F.format_string("sensor-%d-%s.pcap", F.col("user_id") % 2, name).alias("capture"),
+                    F.col("event_id").alias("packet_no"), states.epoch_seconds(F.col("ts")).cast("double").alias("ts"),
+                    F.when(link < 2, 1).when(link == 2, 113).otherwise(101).alias("linktype"),
+                    F.unhex(F.concat(header, ip)).alias("frame"))
+
+
+@query
+def capture_scan(spark, sf):
+    """Frames written as captures and read back in ranges of 16 KiB."""
+    import uuid
+
+    from netstate.sources.captures import read_captures, write_captures
+    folder = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    written = write_captures(_frames(spark, sf), folder).agg(F.sum("packets").alias("written"))
+    total = written.first()[0] or 0
+    rows = packets.decode(read_captures(spark, folder, range_bytes=16 << 10))
+    return rows.groupBy("capture", "proto", "src", "dport").agg(
+        F.count("*").alias("packets"), F.sum("packet_no").alias("numbers"), F.max("ts").alias("last"),
+        F.sum("payload").alias("payload"), F.sum("flags").alias("flags"), F.sum("win").alias("win"),
+        F.sum("ttl").alias("ttl"), F.sum("seq").alias("seq")).withColumn("written", F.lit(total))
+
+
 @query
 def packet_idle_flows(spark, sf):
     return tidy(packets.packet_flows(_packets(spark, sf), idle=1800.0, active=1e9))

@@ -11,7 +11,8 @@ from netstate.functions.labels import simple_name, stage_of_label, unmapped_labe
 from netstate.operators.packets import packet_flows
 from netstate.operators.states import window_states
 from netstate.sources import history, tables
-from netstate.sources.captures import read_captures
+from netstate.sources import captures
+from netstate.sources.captures import read_captures, write_captures
 from netstate.sources.flow_csv import describe_files, read_flows, resolve_columns, row_report
 
 O = Options()
@@ -184,3 +185,63 @@ def test_packet_flows_against_brute_force(spark, tmp_path):
                      float(f["bytes"][1]), float(len(f["seen"]) - len(set(f["seen"]))), round(np.mean(f["fwd"]), 6),
                      round(gaps.mean(), 5), round(gaps.std(), 4), f["win"] if f["proto"] == 6 else None))
     assert got == sorted(want) and max(x[0] for x in want) > 590
+
+
+@pytest.mark.parametrize("order, magic, ticks", [("<", 0xA1B2C3D4, 10 ** 6), (">", 0xA1B23C4D, 10 ** 9)])
+def test_captures_in_byte_ranges(spark, tmp_path, order, magic, ticks):
+    """Payloads that look like records, packets longer than a range, a record that the file cuts off."""
+    rng, records = np.random.default_rng(7), []
+    decoy = struct.pack(order + "IIII", 1_700_000_000, 5, 4, 4) + b"abcd"
+    for i in range(400):
+        size = int(rng.choice([0, 1, 14, 60, 500, 5000], p=[.05, .05, .2, .4, .28, .02]))
+        body = b"e" * 60 if i == 399 else decoy * 40 if i % 17 == 0 else rng.integers(0, 256, size, dtype=np.uint8).tobytes()
+        records.append((1_700_000_000 + i, i % 1000, body))
+    data = struct.pack(order + "IHHiIII", magic, 2, 4, 0, 0, 65535, 101) + b"".join(
+        struct.pack(order + "IIII", s, f, len(b), max(1, len(b))) + b for s, f, b in records)
+    for name, cut in (("a.pcap", 0), ("b.pcap", 7), ("c.cap", len(data) - 24)):
+        (tmp_path / name).write_bytes(data[:len(data) - cut])
+    last = records[-1][2]
+    for range_bytes in (100, 1000, 1 << 20):
+        got = {}
+        for r in read_captures(spark, str(tmp_path), range_bytes=range_bytes).collect():
+            got.setdefault(r["capture"], {})[r["packet_no"]] = (round(r["ts"], 5), r["linktype"], bytes(r["frame"]))
+        assert set(got) == {"a.pcap", "b.pcap"}
+        for name, end in (("a.pcap", last), ("b.pcap", last[:-7])):
+            want = [(round(s + f / ticks, 5), 101, b) for s, f, b in records]
+            want[-1] = (*want[-1][:2], end)
+            assert [got[name][i] for i in range(len(records))] == want and len(got[name]) == len(records)
+
+
+def test_a_border_needs_a_run():
+    body = b"".join(struct.pack("<IIII", 1_700_000_000 + i, i, 20, 20) + b"x" * 20 for i in range(8))
+    assert captures._border(b"zz" + body, "<", 10 ** 6, False) == 2
+    assert captures._border(body[:100], "<", 10 ** 6, False) == -1
+    assert captures._border(b"\0" * 300, "<", 10 ** 6, True) == -1
+
+
+def test_captures_are_written_and_read_again(spark, tmp_path):
+    rows = [(f"{c}.pcap", i, 1.7e9 + i / 8, 1, bytes([i % 256] * (i % 50))) for c in "ab" for i in range(300)]
+    schema = "capture string, packet_no long, ts double, linktype int, frame binary"
+    written = write_captures(spark.createDataFrame(rows, schema), str(tmp_path)).collect()
+    assert sorted(map(tuple, written)) == [("a.pcap", 300), ("b.pcap", 300)]
+    got = sorted((r[0], r[1], r[2], r[3], bytes(r[4])) for r in read_captures(spark, str(tmp_path), range_bytes=777).collect())
+    assert got == rows
+
+
+def test_flows_are_cut_by_a_chain_of_timeouts(spark):
+    """Clocks that step back, equal times, exact borders."""
+    from netstate.operators.packets import with_flow
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for c in range(6):
+        t, begin, before = 1000.0, None, None
+        for i in range(400):
+            t += float(rng.choice([0, 1, 5, 30, -40, 100], p=[.2, .3, .3, .1, .05, .05]))
+            rows.append(("x", c * 1000 + i, t, 6, f"10.0.0.{c}", "10.1.1.1", 1, 2))
+            if before is None or t - before > 90 or t - begin[0] > 60:
+                begin = (t, c * 1000 + i)
+            want[c * 1000 + i] = begin[1]
+            before = t
+    packets = spark.createDataFrame(rows, "capture string, packet_no long, ts double, proto int, src string, dst string, sport int, dport int")
+    got = {r["packet_no"]: r["begin"]["packet_no"] for r in with_flow(packets, 90.0, 60.0).select("packet_no", "begin").collect()}
+    assert got == want and len(set(want.values())) > 100
