@@ -11,13 +11,15 @@ So an arc (s, u) never needs to be stored: it was copied from (s, first part of
 part of s, u), down to two bytes, and must not have been taken away by a merge older than the copy. ``Automaton.arc``
 looks it up in the tables ``parts`` and ``taken``, which the gadgets fill, and keeps what it has found in the transition table.
 
-A prefix of a word is spelled by exactly one path from the start, so encoding goes through the word from left to right, keeps the
-state at each position and follows the trie of token spellings from there. Arc labels along the path spell the text again.
+A prefix of a word is spelled by at most one path from the start. Encoding takes the longest token that is spelled at a place, then
+shorter ones until there is an arc to one, and steps back where there is none; a place left that way is never entered again, as the
+path to it is the only one. Arc labels along the path spell the text again.
 """
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,11 @@ class Automaton:
         for rank, merge in enumerate(spec["model"]["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(rank, ids[a], ids[b], ids[a + b])
+        self.shorter: dict[int, int] = {}
         self.trie = self._trie()
+        self.heads = {bytes((x, y, z)): (node, node.get(-1, two.get(-1, one[-1])))
+                      for x, one in self.trie.items() for y, two in one.items() if y >= 0 for z, node in two.items() if z >= 0}
+        self.size = {i: len(label) for i, label in self.labels.items()}
         self.table: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -64,13 +70,17 @@ class Automaton:
             self.parts[c] = (a, b)
 
     def _trie(self) -> dict:
-        """Nodes are dicts from byte to node; the token that ends at a node is under -1."""
+        """Nodes are dicts from byte to node; the token that ends at a node is under -1. ``shorter`` gets the longest token that
+        is a proper beginning of each token."""
         root: dict = {}
-        for token in self.born:
-            node = root
+        for token in sorted(self.born, key=lambda t: len(self.labels[t])):
+            node, begun = root, None
             for byte in self.labels[token]:
+                begun = node.get(-1, begun)
                 node = node.setdefault(byte, {})
             node[-1] = token
+            if begun is not None:
+                self.shorter[token] = begun
         return root
 
     def arc(self, s: int, u: int) -> bool:
@@ -98,27 +108,55 @@ class Automaton:
             else:
                 s, time = self.parts[s][1], bs
 
+    def _longest(self, raw: bytes, place: int) -> int:
+        """The longest token that is spelled at the place; every byte is one."""
+        node, found = self.heads.get(raw[place:place + 3]) or (None, -1)
+        rest = raw[place + 3:]
+        if node is None:
+            node, rest = self.trie, raw[place:place + 3]
+        for byte in rest:
+            node = node.get(byte)
+            if node is None:
+                break
+            found = node.get(-1, found)
+        return found
+
     def word(self, raw: bytes) -> list[int]:
         """Tokens of a pre-split word: the one path through the automaton that spells it."""
-        n, root, arc = len(raw), self.trie, self.arc
-        last = [-1] * (n + 1)
-        for i in range(n):
-            s = last[i]
-            if i and s < 0:
+        n, arc, size, shorter = len(raw), self.arc, self.size, self.shorter
+        out: list[int] = []
+        closed: set[int] = set()
+        place, u = 0, self._longest(raw, 0)
+        while place < n:
+            end = place + size[u]
+            if end not in closed and (not out or arc(out[-1], u)):
+                out.append(u)
+                place = end
+                if place < n:
+                    u = self._longest(raw, place)
                 continue
-            node = root
-            for j in range(i, n):
-                node = node.get(raw[j])
-                if node is None:
-                    break
-                u = node.get(-1)
-                if u is not None and last[j + 1] < 0 and (i == 0 or arc(s, u)):
-                    last[j + 1] = u
-        out, i = [], n
-        while i:
-            out.append(last[i])
-            i -= len(self.labels[last[i]])
-        return out[::-1]
+            while u not in shorter:                                 # no arc leads on from here
+                closed.add(place)
+                u = out.pop()
+                place -= size[u]
+            u = shorter[u]
+        return out
+
+
+@lru_cache(maxsize=1)
+def automaton(vocabulary: str) -> Automaton:
+    """One for each worker process."""
+    return Automaton(vocabulary)
+
+
+@lru_cache(maxsize=1)
+def spellings(vocabulary: str) -> list[bytes]:
+    """Label of each id, special tokens included; nothing is compiled."""
+    spec = json.loads(vocabulary)
+    byte_of = printable()
+    labels = {i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items() if all(c in byte_of for c in token)}
+    labels |= {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+    return [labels.get(i, b"") for i in range(max(labels) + 1)]
 
 
 class Encoder(dict):
@@ -175,7 +213,7 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(_vocabulary(docs, vocabulary))
 
     def run(batches):
-        encoder = Encoder(Automaton(held.value))
+        encoder = Encoder(automaton(held.value))
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 piece = batch.slice(k, 512)
@@ -193,8 +231,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     held = encoded.sparkSession.sparkContext.broadcast(_vocabulary(encoded, vocabulary))
 
     def run(batches):
-        labels = Automaton(held.value).labels
-        table = [labels.get(i, b"") for i in range(max(labels) + 1)]
+        table = spellings(held.value)
         for batch in batches:
             lists = batch.column("ids")
             ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
