@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how texts are split before merges apply, as published with the vocabulary.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED = 400_000
+CACHED, ARCS = 200_000, 1_000_000
 ENCODED = "doc_id bigint, part int, ids array<int>"
 
 
@@ -61,7 +61,7 @@ class Automaton:
         self.heads = {bytes((x, y, z)): (node, node.get(-1, two.get(-1, one[-1])))
                       for x, one in self.trie.items() for y, two in one.items() if y >= 0 for z, node in two.items() if z >= 0}
         self.size = {i: len(label) for i, label in self.labels.items()}
-        self.table: dict[tuple[int, int], bool] = {}
+        self.table: dict[int, bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
         self.taken.setdefault((a, b), rank)
@@ -85,9 +85,11 @@ class Automaton:
 
     def arc(self, s: int, u: int) -> bool:
         """Whether token u may follow token s."""
-        known = self.table.get((s, u))
+        known = self.table.get(s << 32 | u)
         if known is None:
-            known = self.table[s, u] = self._arc_at(s, u, len(self.taken) + 1)
+            if len(self.table) >= ARCS:                             # memory stays bounded; nothing depends on it
+                self.table.clear()
+            known = self.table[s << 32 | u] = self._arc_at(s, u, len(self.taken) + 1)
         return known
 
     def _arc_at(self, s: int, u: int, time: int) -> bool:
@@ -167,23 +169,22 @@ class Encoder(dict):
         import regex
         self.automaton = automaton
         self.split = regex.compile(SPLIT).findall
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         self.pieces = re.compile(r"(?= \S)").split
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") \
             if automaton.special else None
 
-    def __missing__(self, piece: str) -> list[int]:
-        out: list[int] = []
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        out: tuple[int, ...] = ()
         for word in self.split(piece):
             ids = self.words.get(word)
             if ids is None:
                 if len(self.words) >= CACHED:
                     self.words.clear()
-                ids = self.words[word] = self.automaton.word(word.encode())
+                ids = self.words[word] = tuple(self.automaton.word(word.encode()))
             out += ids
         if len(self) >= CACHED:                                    # memory stays bounded; nothing depends on it
             self.clear()
-            self.automaton.table.clear()
         self[piece] = out
         return out
 
