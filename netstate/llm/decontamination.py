@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netstate.llm.texts import documents
+from netstate.llm.texts import documents, packed, unpacked
 
 #: Offsets of the hashed tokens. The first leaves out every fifth position, the third every third. Any two substitutions in a
 #: stretch of 13 tokens leave a place for one of the four (tested).
@@ -88,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all their columns, that overlap no item."""
-    names = docs.columns
-    keyed = documents(docs, *[n for n in names if n not in ("doc_id", "text")])
+    keyed = documents(packed(docs), "user")
     found = overlaps(keyed, benchmark).select(F.col("doc_id").alias("_doc"), F.col("part").alias("_part")).distinct()
-    return keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part")), "left_anti").select(*names)
+    clean = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("part") == F.col("_part")), "left_anti")
+    return clean.select(*unpacked(docs.columns))

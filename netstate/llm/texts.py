@@ -5,7 +5,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -27,6 +27,21 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return narrow.withColumn("part", F.row_number().over(order) - 1)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` and ``user``: all other columns as one, so that no name of theirs meets one of an operator."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    fields = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
+    return docs.select("doc_id", "text", F.struct(F.lit(True).alias("there"), *fields).alias("user"))
+
+
+def unpacked(names: list[str], text: Column | None = None) -> list[Column]:
+    """The columns ``names`` of the table that was packed, in their order; ``text`` takes the place of the text."""
+    others = [c for c in names if c not in ("doc_id", "text")]
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("text") if text is None else text}
+    kept |= {c: F.col("user").getField(f"c{i}") for i, c in enumerate(others)}
+    return [kept[n].alias(n) for n in names]
+
+
 def blocks(batches: Iterator[pa.RecordBatch], most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, int, bytes]]]:
     """Lists of (doc_id, part, text in UTF-8) of at most ``most`` bytes, or one longer text."""
     rows, size = [], 0
@@ -94,7 +109,7 @@ class Block:
         self.bytes = np.frombuffer(b"".join(t for _, _, t in rows), dtype=np.uint8)
         self.offsets = np.zeros(len(rows) + 1, dtype=np.int64)
         np.cumsum([len(t) for _, _, t in rows], out=self.offsets[1:])
-        self.ids = np.array([i for i, _, _ in rows], dtype=np.int64)
+        self.ids = np.array([-1 if i is None else i for i, _, _ in rows], dtype=np.int64)
         self.parts = np.array([p for _, p, _ in rows], dtype=np.int64)
 
     def words(self, lower: bool = False) -> "Words":

@@ -318,3 +318,43 @@ def test_empty_tables(spark, tmp_path, name):
     for t in ("documents", "labels", "benchmark", "pages"):
         plans.table(spark, SF, t).limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert plans.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+ODD = "doc_id bigint, part string, text string, _raw string, _gone bigint, _doc string, user string, n_chars bigint, n_lines string"
+
+
+def test_user_columns_survive(spark):
+    """Names that operators use themselves, null and repeated ids, repeated rows."""
+    line = "one line that is long enough to be repeated here"
+    passage = plans.table(spark, SF, "benchmark").first()["text"]
+    rows = [(1, "p1", f"{line}\nalpha", "r", 5, "d", "u", 1, "n"), (2, "p2", f"{line}\nbeta", None, None, None, None, None, None),
+            (None, "p3", None, "r3", 6, "d", "u", 2, "n"), (None, "p4", f"gamma\n{line}", "r4", 7, "d", "u", 3, "n"),
+            (2, "p5", passage, "r", 8, "d", "u", 4, "n"), (1, "p1", f"{line}\nalpha", "r", 5, "d", "u", 1, "n")]
+    docs = spark.createDataFrame(rows, ODD)
+
+    def others(df):
+        return sorted((tuple(r[c] for c in df.columns if c not in ("text", "n_chars")) for r in df.collect()), key=str)
+
+    cleaned = corpus_pipeline.line_stage(spark, docs, SF)
+    assert cleaned.columns == docs.columns and others(cleaned) == others(docs)
+    assert sorted(r["text"] or "" for r in cleaned.collect()).count("alpha") == 1
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    assert others(kept) == others(docs)
+    clean = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert others(clean) == sorted((x for x in others(docs) if "p5" not in x), key=str)
+    assert others(corpus_pipeline.toxicity_stage(spark, docs, SF)) == others(docs)
+    assert lines.dedup_lines(docs).columns == [*docs.columns[:-1], "n_lines", "n_removed"]
+
+
+@pytest.mark.parametrize("name", ["op1_bpe", "op5_minhash_near_dedup", "op7_decontamination", "op8_fingerprints", "op9_line_dedup",
+                                  "op10_suffix_dedup", "op11_best_fit_packing", "op12_source_divergence", "op13_phrase_mining"])
+def test_null_and_repeated_ids(spark, tmp_path, name):
+    texts = ["the ring and the thing of it " * 8, None, "", "über alles\nand the thing"]
+    rows = [(i, t, lang, f"s{i}") for i in (None, 3, 3, 7) for t in texts for lang in ("en", None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    plans.table(spark, SF, "benchmark").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = plans.QUERIES[name](spark, str(tmp_path)).collect()
+    if name[:4] in ("op12", "op13"):
+        assert got
+    else:
+        assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == len(rows) // 4
