@@ -135,7 +135,7 @@ def _piece_maps(options: Options, most: int):
     Only stretches before the piece whose cooldown reaches into it can matter. They come with it, and whichever of their
     candidates opened, the state is among those collected here. Rows of one piece: those stretches, then its own.
     """
-    def run(keys, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(keys, rows):
         rows = rows.sort_values("stretch")
         own = list(rows[rows["home"] == rows["piece"]].itertuples(index=False))
         if not own:

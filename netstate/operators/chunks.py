@@ -129,17 +129,31 @@ def runs(df: DataFrame, keys: Sequence[str], order: str, size: int, max_gap: int
                    last={start: F.col("_begin")}).drop("_step", "_begin")
 
 
-def by_value_chunks(df: DataFrame, keys: Sequence[str], value: str, parts: int = 64) -> DataFrame:
-    """Add a chunk number that is monotone in ``value`` and about equally filled per key.
+#: Rows of a value range, and into how many ranges a range that holds more is cut.
+RANGE_ROWS, RANGE_PARTS = 1 << 16, 64
 
-    The cut points come from a mergeable sketch with ``parts`` entries per key; the sketch only balances the chunks,
-    results do not depend on it.
+
+def by_value_chunks(df: DataFrame, keys: Sequence[str], value: str, most: int | None = None) -> DataFrame:
+    """Add ``_vchunk``, monotone in ``value``: a number of a range that holds about ``most`` rows of a key at most.
+
+    Ranges are counted. One that is too full is cut by the quantiles of a mergeable sketch of its own values, and its parts are
+    counted again, until none is (equal values stay together). So the number of ranges follows the number of rows, whatever
+    their distribution. The sketches only balance, results do not depend on them. Counts run jobs: ``df`` should be cheap to read.
     """
-    cuts = F.percentile_approx(value, [i / parts for i in range(1, parts)], 1000)
-    position = F.size(F.filter("_cuts", lambda c: c < F.col(value))).cast("long")
-    if not keys:
-        return df.withColumn("_cuts", df.agg(cuts).scalar()).withColumn("_vchunk", position).drop("_cuts")
-    return df.join(df.groupBy(*keys).agg(cuts.alias("_cuts")), list(keys)).withColumn("_vchunk", position).drop("_cuts")
+    most = most or RANGE_ROWS
+    keys, out = list(keys), df.withColumn("_vchunk", F.lit(0).cast("long"))
+    cuts = F.percentile_approx(value, [i / RANGE_PARTS for i in range(1, RANGE_PARTS)], 1000)
+    while True:
+        ranges = out.groupBy(*keys, "_vchunk").agg(F.count("*").alias("_n"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        full = ranges.where((F.col("_n") > most) & (F.col("_lo") < F.col("_hi"))).select(*keys, "_vchunk")
+        if full.isEmpty():
+            return out
+        # RANGE_PARTS numbers for each full range, of which there is one in ``most`` rows at most
+        bounds = materialize(out.join(full, [*keys, "_vchunk"], "left_semi").groupBy(*keys, "_vchunk").agg(cuts.alias("_cuts")), "range-cuts")
+        # a value that is a bound has a range of its own, so a range of several values always gets smaller
+        inner = (F.size(F.filter("_cuts", lambda c: c < F.col(value))) + F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).cast("long")
+        out = out.join(bounds, [*keys, "_vchunk"], "left").withColumn(
+            "_vchunk", F.col("_vchunk") * (2 * RANGE_PARTS) + F.when(F.col("_cuts").isNull(), 0).otherwise(inner)).drop("_cuts")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:

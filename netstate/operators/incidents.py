@@ -98,7 +98,8 @@ def audit_rows(events: DataFrame) -> DataFrame:
 
 
 def audit_tail(audit: DataFrame, newest: int = 100) -> DataFrame:
-    return audit.orderBy(F.col("ts").desc()).limit(newest)
+    """The newest entries; of equal times those first whose text is."""
+    return audit.orderBy(F.col("ts").desc(), "action", "detail").limit(newest)
 
 
 def list_incidents(stored: DataFrame, source: str | None = None, statuses: list[str] | None = None,

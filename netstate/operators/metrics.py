@@ -48,8 +48,8 @@ def ranking_metrics(scores: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Equal scores are counted together first; cumulative counts then run over the distinct scores, in chunks.
     """
     keys = list(keys)
-    counted = scores.groupBy(*keys, "p").agg(F.count_if(F.col("y") > 0).alias("pos"),
-                                             F.count_if(F.col("y") <= 0).alias("neg"))
+    counted = materialize(scores.groupBy(*keys, "p").agg(F.count_if(F.col("y") > 0).alias("pos"),
+                                                         F.count_if(F.col("y") <= 0).alias("neg")), "score-counts")
     ranked = running(by_value_chunks(counted, keys, "p"), keys, ["p"], F.col("_vchunk"),
                      sums={"pos_upto": F.col("pos"), "neg_upto": F.col("neg")},
                      totals={"all_pos": F.col("pos"), "all_neg": F.col("neg")})

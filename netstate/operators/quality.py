@@ -1,20 +1,41 @@
 """Checks of incoming traffic, of a data set, and of stored files."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import os
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netstate.config import Options
-from netstate.operators.chunks import beside, neighbours
+from netstate.operators.chunks import beside, chunk_of, running
 from netstate.operators.scaling import Scaler, feature_report
 from netstate.operators.sequences import KEYS, has_history
+from netstate.operators.states import window_number
+from netstate.session import materialize
+from netstate.sources.files import list_files, open_file
+
+
+def order_violations(states: DataFrame, options: Options, keys: list[str] | None = None) -> DataFrame:
+    """Windows that do not come after the one before them in their segment, all or by ``keys``: ``bad``.
+
+    The order is that of the file a table was read from, where it has kept it in ``given``, else that of ``pos``.
+    """
+    order = "given" if "given" in states.columns else "pos"
+    rows = running(states.select(*KEYS, order, "timestamp"), KEYS, [order], chunk_of(order, options.chunk_windows),
+                   last={"_before": F.struct(order, "timestamp")}, before=True)
+    return rows.groupBy(*(keys or [])).agg(F.count_if(F.col("timestamp") <= F.col("_before.timestamp")).alias("bad"))
 
 
-def order_violations(states: DataFrame, options: Options) -> DataFrame:
-    """Number of windows that do not come after their predecessor in the segment (by ``pos``)."""
-    rows = neighbours(states.select(*KEYS, "pos", "timestamp"), KEYS, "pos", options.chunk_windows, 1, 0,
-                      lambda w: {"_before": F.lag("timestamp").over(w)})
-    return rows.agg(F.count_if(F.col("timestamp") <= F.col("_before")).alias("bad"))
+def stored_table_checks(states: DataFrame, options: Options) -> DataFrame:
+    """Per segment of a state table as it was stored: rows, windows missing inside, repeated windows, windows out of order."""
+    number = window_number(F.col("timestamp"), options)
+    seen = states.groupBy(*KEYS, number.alias("_win")).agg(F.count("*").alias("n"))
+    sizes = seen.groupBy(*KEYS).agg(F.sum("n").alias("rows"), (F.max("_win") - F.min("_win") + 1 - F.count("*")).alias("missing"),
+                                    F.sum(F.col("n") - 1).alias("repeated"))
+    return sizes.join(order_violations(states, options, KEYS), KEYS).select(*KEYS, "rows", "missing", "repeated", F.col("bad").alias("disordered"))
 
 
 def _check(name: str, status, detail):
@@ -88,21 +109,82 @@ def sanity_checks(states: DataFrame, scored: DataFrame) -> DataFrame:
         check("risk higher during attacks", gap > 0.1, gap))))
 
 
-def fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """One row: a hash over the hashes of all files below ``path``, and their number.
+FAN = 1024
 
-    File contents are hashed by the executors. Digests meet in two steps, so many files do not meet in one array.
-    """
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-             .select("path", F.sha2("content", 256).alias("digest")))
 
-    def combined(order):
-        entries = F.sort_array(F.collect_list(F.struct(order, "digest")))
-        return F.sha2(F.array_join(F.transform(entries, lambda e: e["digest"]), ""), 256)
+def _root(leaves: DataFrame, keys: list[str], place: str, fan: int) -> DataFrame:
+    """(keys, leaves, digest): the root of a tree of SHA-256 digests over ``leaves`` (keys, ``place``, digest).
 
-    buckets = files.groupBy(F.pmod(F.xxhash64("path"), F.lit(1024)).alias("bucket")).agg(
-        F.count("*").alias("n"), combined("path").alias("digest"))
-    return buckets.agg(F.sum("n").alias("files"), combined("bucket").alias("fingerprint"))
+    ``fan`` neighbours by ``place``, which counts from 0 but may have holes, are hashed together, level by level, until one is
+    left; no array holds more than ``fan`` digests.
+    """
+    top = leaves.agg(F.max(place)).first()[0] or 0
+    level = leaves.select(*keys, F.col(place).alias("_at"), "digest", F.lit(1).cast("long").alias("leaves"))
+    while True:
+        entries = F.sort_array(F.collect_list(F.struct("_at", "digest")))
+        level = level.withColumn("_up", F.floor(F.col("_at") / fan)).groupBy(*keys, "_up").agg(
+            F.sha2(F.array_join(F.transform(entries, lambda e: e["digest"]), ""), 256).alias("digest"),
+            F.sum("leaves").alias("leaves")).withColumnRenamed("_up", "_at")
+        if top < fan:
+            return level.drop("_at")
+        top //= fan
+
+
+def file_digests(spark: SparkSession, path: str, block_bytes: int = 8 << 20, fan: int = FAN) -> DataFrame:
+    """(path, length, blocks, digest) of every file below ``path``: blocks are hashed in parallel, their digests meet in a tree.
+
+    A file of any size is read by as many tasks as it has blocks; equal bytes have equal digests for the same block size.
+    """
+    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                with open_file(r.path) as f:
+                    f.seek(r.block * block_bytes)
+                    out.append((r.path, r.length, r.block, hashlib.sha256(f.read(min(block_bytes, r.length - r.block * block_bytes))).hexdigest()))
+            yield pd.DataFrame(out, columns=["path", "length", "block", "digest"])
+
+    last = F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0))
+    blocks = list_files(spark, path, "*").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = materialize(blocks.repartition(tasks, "path", "block").mapInPandas(
+        digests, "path string, length long, block long, digest string"), "block-digests")
+    return _root(leaves, ["path", "length"], "block", fan).select("path", "length", F.col("leaves").alias("blocks"), "digest")
+
+
+def fingerprint(spark: SparkSession, path: str, block_bytes: int = 8 << 20) -> DataFrame:
+    """One row: the root over the digests of all files below ``path`` in the order of their names, their number and bytes.
+
+    Names count from the folder on, so a copied folder keeps its fingerprint.
+    """
+    files = file_digests(spark, path, block_bytes)
+    common = files.agg(F.min("path"), F.max("path")).first()
+    if common[0] is None:
+        return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(F.lit(""), 256).alias("fingerprint"))
+    root = os.path.commonprefix([os.path.dirname(p) + "/" for p in common])
+    root = root[:root.rindex("/") + 1]
+    named = files.withColumn("name", F.substr("path", F.lit(len(root) + 1)))
+    # neighbours by name meet first: the order among at most some million names, each a short row
+    placed = named.withColumn("_n", F.row_number().over(Window.orderBy("name")) - 1).select(
+        "_n", "length", F.sha2(F.concat_ws(" ", "name", "digest"), 256).alias("digest"))
+    size = files.agg(F.sum("length").alias("bytes"))
+    return beside(_root(placed, [], "_n", FAN).select(F.col("leaves").alias("files"), F.col("digest").alias("fingerprint")), size)
+
+
+def table_digest(table: DataFrame, key: str, columns: list[str], block: int = 4096, fan: int = FAN) -> DataFrame:
+    """One row: the root over the rows of a table, in the order of the number ``key``: rows, digest.
+
+    A leaf holds the rows of ``block`` neighbouring keys. Columns count as their texts, null as an empty one; whatever file layout
+    holds the rows, equal rows have equal digests. Rows with the same key are put in the order of their digests.
+    """
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = table.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_key"), F.sha2(text, 256).alias("digest"))
+    low = rows.agg(F.min("_key").alias("_low"))
+    entries = F.sort_array(F.collect_list(F.struct("_key", "digest")))
+    leaves = rows.withColumn("_block", F.floor((F.col("_key") - low.scalar()) / block)).groupBy("_block").agg(
+        F.sha2(F.array_join(F.transform(entries, lambda e: e["digest"]), ""), 256).alias("digest"), F.count("*").alias("_rows"))
+    leaves = materialize(leaves, "row-digests")
+    return beside(_root(leaves, [], "_block", fan).select("digest"), leaves.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows")))
 
 
 def unchanged(before: DataFrame, after: DataFrame) -> bool:

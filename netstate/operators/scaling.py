@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,28 +112,30 @@ class Scaler:
             raise ValueError(f"{len(missing)} feature columns are missing: {missing[:8]}")
 
 
-def feature_report(states: DataFrame, scaler: Scaler, options: Options) -> DataFrame:
-    """Where a state table and a fitted scaler disagree: (kind, feature) rows.
+def feature_report(states: DataFrame, scaler: Scaler, options: Options, keys: Sequence[str] = ()) -> DataFrame:
+    """Where a state table and a fitted scaler disagree: (kind, feature) rows, for each of ``keys`` if there are any.
 
     kind: missing | extra | inactive | unavailable (the model uses it, the table has only zeros) | novel (the table has
     telemetry the model never saw).
     """
-    spark = states.sparkSession
     known = {*scaler.names, *STATE_LABELS, "timestamp", "source", "filled", "segment", "label", "pos", "seg_len", "row",
-             "source_rows"}
-    fixed = [("missing", n) for n in scaler.names if n not in states.columns]
+             "source_rows", "given"}
+    missing = [n for n in scaler.names if n not in states.columns]
+    fixed = [("missing", n) for n in missing]
     fixed += [("extra", c) for c in sorted(states.columns) if c not in known]
     fixed += [("inactive", n) for n, a in zip(scaler.names, scaler.active) if not a]
-    static = spark.createDataFrame(fixed, "kind string, feature string")
-    if any(k == "missing" for k, _ in fixed):
-        return static
-    used = states.agg(*[F.sum(F.abs(n)).alias(n) for n in scaler.names])
-    entries = []
+
+    def entry(kind: str, feature: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(feature).alias("feature"))
+
+    used = states.groupBy(*keys).agg(F.count("*").alias("_rows"), *[F.sum(F.abs(n)).alias(f"_u_{n}") for n in scaler.names if n not in missing])
+    entries = [entry(k, n) for k, n in fixed]
     for n, active in zip(scaler.names, scaler.active):
-        filled = F.coalesce(F.col(n), F.lit(0.0)) > 0
-        if active:
-            entries.append(F.when(~filled, F.struct(F.lit("unavailable").alias("kind"), F.lit(n).alias("feature"))))
-        elif n in OPTIONAL_FEATURES:
-            entries.append(F.when(filled, F.struct(F.lit("novel").alias("kind"), F.lit(n).alias("feature"))))
-    found = used.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
-    return static.unionByName(found)
+        filled = F.coalesce(F.col(f"_u_{n}"), F.lit(0.0)) > 0
+        if active and not missing:
+            entries.append(F.when(~filled, entry("unavailable", n)))
+        elif n in OPTIONAL_FEATURES and not missing:
+            entries.append(F.when(filled, entry("novel", n)))
+    none = F.array().cast("array<struct<kind:string,feature:string>>")
+    found = F.filter(F.array(*entries), lambda e: e.isNotNull()) if entries else none
+    return used.select(*keys, F.inline(found))

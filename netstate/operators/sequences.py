@@ -1,6 +1,8 @@
 """Splits, sample spans, history and future of a window."""
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,28 @@ def with_split(states: DataFrame, options: Options) -> DataFrame:
     """Add ``split``: train / val / test / gap."""
     if options.split_strategy != "chronological":
         return states.withColumn("split", split_at(F.col("row"), F.col("source_rows"), options))
-    # one time line over all sources: rank by (window, source) with a carry per chunk of time
-    timed = states.withColumn("_win", window_number(F.col("timestamp"), options))
-    ranked = running(timed, [], ["_win", "source"], chunk_of("_win", options.chunk_windows),
-                     sums={"_rank": F.lit(1).cast("long")}, totals={"_all": F.lit(1).cast("long")})
-    return (ranked.withColumn("split", split_at(F.col("_rank") - 1, F.col("_all"), options))
-            .drop("_win", "_rank", "_all"))
+    # One time line over all sources, ranked by (window, source) in two levels: counts per window and group of sources, one
+    # short row each, are added up over time; inside such a group rows are ranked by source.
+    timed = states.withColumns({"_win": window_number(F.col("timestamp"), options), "_part": source_part(states, options)})
+    counts = timed.groupBy("_win", "_part").agg(F.count("*").alias("_n"))
+    placed = running(counts, [], ["_win", "_part"], chunk_of("_win", options.chunk_windows),
+                     sums={"_upto": F.col("_n")}, totals={"_all": F.col("_n")})
+    inside = F.row_number().over(Window.partitionBy("_win", "_part").orderBy("source"))
+    ranked = timed.withColumn("_rank", inside).join(placed, ["_win", "_part"])
+    place = F.col("_upto") - F.col("_n") + F.col("_rank") - 1
+    return (ranked.withColumn("split", split_at(place, F.col("_all"), options))
+            .drop("_win", "_part", "_rank", "_n", "_upto", "_all"))
+
+
+def source_part(states: DataFrame, options: Options) -> Column:
+    """A beginning of the source name, ordered as the names are: empty while the sources of a window fit in one task.
+
+    Beyond that it is what all names have in common and two more characters.
+    """
+    few = states.agg(F.approx_count_distinct("source").alias("n"), F.min("source").alias("low"), F.max("source").alias("high")).first()
+    if few["n"] <= options.chunk_windows:
+        return F.lit("")
+    return F.substr("source", F.lit(1), F.lit(len(os.path.commonprefix([few["low"], few["high"]])) + 2))
 
 
 def full_span(options: Options) -> Column:

@@ -27,8 +27,8 @@ def window_number(ts: Column, options: Options) -> Column:
     return F.floor(epoch_seconds(ts) / F.lit(options.window_seconds)).cast("long")
 
 
-def with_measures(flows: DataFrame, options: Options) -> DataFrame:
-    """Per-flow quantities that the window aggregation adds up."""
+def with_measures(flows: DataFrame, options: Options, *more: Column) -> DataFrame:
+    """Per-flow quantities that the window aggregation adds up, and the columns ``more``."""
     def known(c):
         return F.coalesce(F.col(c), F.lit(0.0))
 
@@ -50,7 +50,7 @@ def with_measures(flows: DataFrame, options: Options) -> DataFrame:
         flag(proto == 6).alias("tcp"), flag(proto == 17).alias("udp"), flag(proto == 1).alias("icmp"),
         flag(~proto.isin(1, 6, 17)).alias("other_protocol"),
         *[flag(port == p).alias(f"port_{p}") for p in options.port_buckets],
-        flag(~port.isin(list(options.port_buckets))).alias("port_other"))
+        flag(~port.isin(list(options.port_buckets))).alias("port_other"), *more)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -135,6 +135,38 @@ def window_states(flows: DataFrame, options: Options) -> DataFrame:
     return finish_states(sums.join(distincts, ["source", "timestamp"], "left"), options)
 
 
+#: Base 2 logarithm of the registers of a distinct-count sketch: a standard error of 1.04 / 2^(12 / 2), or 1.6 %.
+SKETCH_BITS = 12
+
+
+def partial_states(flows: DataFrame, options: Options, bits: int = SKETCH_BITS) -> DataFrame:
+    """State rows that can be put together: sums, maxima, and a sketch for each distinct count, per (source, window).
+
+    Stored once for short windows, they give the states of any longer window by :func:`roll_up` without the flows; rows of the
+    same window from different loads add up too. One scan, and one row a window in the shuffle.
+    """
+    both = F.col("src_ip").isNotNull() & F.col("dst_ip").isNotNull()
+    values = [F.col("dst_port").cast("long"), F.col("src_port").cast("long"), F.when(both, F.col("src_ip")), F.when(both, F.col("dst_ip")),
+              F.when(both, F.concat_ws(" ", "src_ip", "dst_ip"))]
+    rows = with_measures(flows, options, *[v.alias(f"d_{n}") for n, v in zip(DISTINCT, values)])
+    start = window_start(F.col("timestamp"), options).alias("timestamp")
+    return rows.groupBy("source", start).agg(*sum_columns(options), *[F.hll_sketch_agg(f"d_{n}", bits).alias(n) for n in DISTINCT])
+
+
+def roll_up(partials: DataFrame, options: Options) -> DataFrame:
+    """Partial states of the windows of ``options``, from those of windows that divide them."""
+    how = {**{n: F.hll_union_agg(n) for n in DISTINCT}, "x_iat_max": F.max("x_iat_max")}
+    start = window_start(F.col("timestamp"), options).alias("timestamp")
+    names = [c for c in partials.columns if c not in ("source", "timestamp")]
+    return partials.groupBy("source", start).agg(*[how.get(c, F.sum(c)).alias(c) for c in names])
+
+
+def rolled_states(partials: DataFrame, options: Options) -> DataFrame:
+    """Window states of partial ones: all features exact but the distinct counts and what is made of them, which are estimates."""
+    rolled = roll_up(partials, options)
+    return finish_states(rolled.withColumns({n: F.hll_sketch_estimate(n) for n in DISTINCT}), options)
+
+
 def finish_states(sums: DataFrame, options: Options) -> DataFrame:
     """Turn sums and distinct counts into the feature row."""
     n = F.col("n")

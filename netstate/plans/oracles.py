@@ -129,13 +129,18 @@ add("window_states", window_states(3600), f"SELECT {STATE_OUT}, false AS filled
 add("window_distincts", FLOWS, f"""SELECT source, {bucket(600)} AS timestamp, count(DISTINCT dst_port) AS unique_dst_ports,
  count(DISTINCT src_port) AS unique_src_ports, count(DISTINCT src_ip) AS unique_src_ips,
  count(DISTINCT dst_ip) AS unique_dst_ips, count(DISTINCT (src_ip, dst_ip)) AS pairs FROM f GROUP BY 1, 2""")
-add("flow_measures", FLOWS, f"""SELECT source, round(sum(least((fp + bp) / sec, 1e6)), 6) AS packet_rate,
- round(sum(least((fb + bb) / sec, 1e6)), 6) AS byte_rate, sum(fb + bb) AS payload,
- CAST(count(*) FILTER (bp = 0) AS DOUBLE) AS failed, CAST(count(*) FILTER (fp + bp <= 3) AS DOUBLE) AS small,
- CAST(count(*) FILTER (dst_port IN {tuple(O.port_buckets)}) AS DOUBLE) AS well_known,
- CAST(count(*) FILTER (protocol NOT IN (1, 6, 17)) AS DOUBLE) AS other_protocol,
- CAST(count(*) FILTER (dst_port = 443) AS DOUBLE) AS port_443,
- CAST(count(*) FILTER (dst_port NOT IN {tuple(O.port_buckets)}) AS DOUBLE) AS port_other FROM f GROUP BY 1""")
+MEASURES = {
+    "fwd_packets": "fp", "bwd_packets": "bp", "fwd_bytes": "fb", "bwd_bytes": "bb", "flow_duration": "dur", "iat_mean": "iatm",
+    "iat_std": "iats", "iat_max": "iatx", "retransmissions": "retr", "pktlen_mean": "plm", "pktlen_std": "pls",
+    **{x: x for x in ("syn", "ack", "rst", "fin", "psh", "urg", "ttl")}, "win_fwd": "win", "packets": "fp + bp", "payload": "fb + bb",
+    "packet_rate": "least((fp + bp) / sec, 1e6)", "byte_rate": "least((fb + bb) / sec, 1e6)",
+    "failed": "CAST(bp = 0 AS INT)", "small": "CAST(fp + bp <= 3 AS INT)", "well_known": f"CAST(dst_port IN {tuple(O.well_known_ports)} AS INT)",
+    "tcp": "CAST(protocol = 6 AS INT)", "udp": "CAST(protocol = 17 AS INT)", "icmp": "CAST(protocol = 1 AS INT)",
+    "other_protocol": "CAST(protocol NOT IN (1, 6, 17) AS INT)", **{f"port_{p}": f"CAST(dst_port = {p} AS INT)" for p in O.port_buckets},
+    "port_other": f"CAST(dst_port NOT IN {tuple(O.port_buckets)} AS INT)"}
+NEVER_NULL = {"retransmissions"}
+add("flow_measures", FLOWS, "SELECT source, " + ", ".join(
+    f"round(CAST(sum({f'coalesce({x}, 0)' if n in NEVER_NULL else x}) AS DOUBLE) + 1e-9, 6) AS {n}" for n, x in MEASURES.items()) + " FROM f GROUP BY 1")
 add("label_stages", FLOWS, "SELECT raw_label, stage, count(*) AS flows FROM f GROUP BY 1, 2")
 add("unmapped_label_report", FLOWS,
     "SELECT raw_label, count(*) AS flows FROM f WHERE raw_label = 'Totally New Attack' GROUP BY 1")
@@ -155,6 +160,34 @@ for name in ("csv_ingest", "csv_ingest_mixed"):
     add(name, FLOWS, """SELECT protocol, stage, count(*) AS flows, round(sum(dur), 6) AS dur, sum(fb) AS fb,
  sum(win) AS win, count(DISTINCT src_ip) AS sources, min(date_trunc('second', timestamp)) AS first FROM f GROUP BY 1, 2""")
 
+
+def spoilt() -> str:
+    """The flows with what is wrong with their lines; a header line counts before a time, that before a port."""
+    return FLOWS + """,
+sp AS (SELECT *, CASE WHEN round(dur * 1e6) % 13 = 0 THEN 'header' WHEN CAST(src_port AS BIGINT) % 97 = 0 THEN 'time'
+   WHEN round(dur * 1e6) % 11 = 0 THEN 'port' END AS problem FROM f)"""
+
+
+REJECTED = """count(*) AS rows, count(*) FILTER (problem IS NULL) AS flows, 0 AS too_many_fields,
+ count(*) FILTER (problem = 'header') AS header_again, count(*) FILTER (problem = 'time') AS no_time, count(*) FILTER (problem = 'port') AS no_port"""
+add("rejected_rows", spoilt(), f"SELECT {REJECTED} FROM sp")
+add("ingest_report", spoilt() + f""",
+w AS (SELECT DISTINCT CAST(floor(epoch(timestamp) / 3600) AS BIGINT) AS wn FROM sp WHERE problem IS NULL),
+g AS (SELECT wn, sum(CASE WHEN d IS NULL OR d > 7 THEN 1 ELSE 0 END) OVER (ORDER BY wn) AS g FROM (SELECT wn, wn - lag(wn) OVER (ORDER BY wn) AS d FROM w)),
+sg AS (SELECT g, count(*) AS n, max(wn) - min(wn) + 1 AS len FROM g GROUP BY 1),
+rp AS (SELECT {REJECTED}, (SELECT sum(n) FROM sg) AS windows, (SELECT count(*) FROM sg) AS segments,
+  (SELECT coalesce(sum(n), 0) FROM sg WHERE len < 19) AS windows_dropped, (SELECT count(*) FROM sg WHERE len < 19) AS segments_dropped,
+  (SELECT coalesce(sum(len), 0) FROM sg WHERE len >= 19) AS states, (SELECT coalesce(sum(len - n), 0) FROM sg WHERE len >= 19) AS filled FROM sp)""",
+    "SELECT measure, CAST(value AS BIGINT) AS value FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM rp) ON COLUMNS(*) INTO NAME measure VALUE value)")
+add("file_checks", FLOWS + ", fc AS (SELECT count(*) AS n FROM f)", """SELECT * FROM (SELECT 'good' AS folder, 'ok' AS status, NULL AS problem, n AS rows, n AS flows FROM fc
+ UNION ALL SELECT 'untimed', 'fail', 'no usable record', n, 0 FROM fc
+ UNION ALL SELECT 'portless', 'fail', 'missing fields: dst_port', NULL, NULL FROM fc
+ UNION ALL SELECT 'other', 'fail', 'unsupported kind', NULL, NULL FROM fc)""")
+ROLLED = ["flow_count", "packets_total", "bytes_total", "duration_std", "iat_max", "payload_std", "syn_count", "failed_flow_ratio", "dst_port_443"]
+KINDS = ["unique_dst_ports", "unique_src_ports", "unique_src_ips", "unique_dst_ips"]
+add("rolled_up_states", window_states(3600), "SELECT source, t AS timestamp, " + ", ".join(f"round({n} + 1e-9, 6) AS {n}" for n in ROLLED)
+    + ", stage, is_attack, " + ", ".join(f"CAST({k} AS BIGINT) AS exact_{k}, true AS near_{k}" for k in KINDS) + " FROM ws")
+
 # ----------------------------------------------------------------------------------------------- packets
 PACKETS = """
 e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, user_id % 5 AS u FROM events),
@@ -306,15 +339,15 @@ add("scaled_states", SCALE, f"SELECT {KEY}, " + ", ".join(f"round({z(f)}, 6) AS
 add("flat_sequences", SCALE + f", zz AS (SELECT {KEY}, " + " + ".join(f"({z(f)})" for f in FEATURES) + " AS total FROM sl, sc)",
     f"""SELECT * FROM (SELECT {KEY}, CAST(720 AS INT) AS length, round(sum(total) OVER (PARTITION BY source, segment ORDER BY pos ROWS 11 PRECEDING), 6) AS total FROM zz)
  WHERE pos >= 11""")
-UNSCALED = ["flow_count", "bytes_total", "scan_score", "ttl_var"]
+UNSCALED = FEATURES
 add("unscaled_states", SCALE, f"SELECT {KEY}, " + ", ".join(
-    "round(" + (f"sign(v_{f}) * (exp(abs(v_{f})) - 1)" if f in LOG_FEATURES else f"v_{f}") + f", 6) AS {f}" for f in UNSCALED)
+    "round(" + (f"sign(v_{f}) * (exp(abs(v_{f})) - 1)" if f in LOG_FEATURES else f"v_{f}") + f" + 1e-9, 6) AS {f}" for f in UNSCALED)
     + f" FROM (SELECT {KEY}, " + ", ".join(f"({z(f)}) * (CASE WHEN s_{f} > 1e-8 THEN s_{f} ELSE 1 END) + m_{f} AS v_{f}" for f in UNSCALED) + " FROM sl, sc)")
-add("feature_report", SCALE + ", us AS (SELECT " + ", ".join(f"sum(abs({f})) AS u_{f}" for f in FEATURES) + " FROM sl WHERE source = 'sensor-1')",
+add("feature_report", SCALE + ", us AS (SELECT source, " + ", ".join(f"sum(abs({f})) AS u_{f}" for f in FEATURES) + " FROM sl GROUP BY 1)",
     " UNION ALL ".join(
-        [f"SELECT 'inactive' AS kind, '{f}' AS feature FROM sc WHERE NOT s_{f} > 1e-8" for f in FEATURES]
-        + [f"SELECT 'unavailable', '{f}' FROM sc, us WHERE s_{f} > 1e-8 AND NOT u_{f} > 0" for f in FEATURES]
-        + [f"SELECT 'novel', '{f}' FROM sc, us WHERE NOT s_{f} > 1e-8 AND u_{f} > 0" for f in OPTIONAL_FEATURES]))
+        [f"SELECT source, 'inactive' AS kind, '{f}' AS feature FROM sc, us WHERE NOT s_{f} > 1e-8" for f in FEATURES]
+        + [f"SELECT source, 'unavailable', '{f}' FROM sc, us WHERE s_{f} > 1e-8 AND NOT u_{f} > 0" for f in FEATURES]
+        + [f"SELECT source, 'novel', '{f}' FROM sc, us WHERE NOT s_{f} > 1e-8 AND u_{f} > 0" for f in OPTIONAL_FEATURES]))
 
 # ----------------------------------------------------------------------------------------------- forecast
 PS = [f"p{k}" for k in range(1, 7)]
@@ -462,8 +495,9 @@ add("incident_queue", UPSERT, """SELECT count(*) AS queue, count(*) FILTER (seve
  count(*) FILTER (status = 'False positive') AS false_positives FROM up""")
 add("incident_triage", INC, """SELECT id, CASE WHEN confirmed = 0 THEN 'False positive' ELSE 'Investigating' END AS status,
  CASE WHEN confirmed = 0 THEN 'no attack' ELSE 'look' END AS note FROM ii""")
-add("audit_tail", INC, """SELECT DISTINCT opened_time AS ts, 'incident_update' AS action FROM ii WHERE confirmed = 0
- ORDER BY ts DESC LIMIT 10""")
+add("audit_tail", INC, """SELECT opened_time AS ts, 'incident_update' AS action, id || ' -> ' || status AS detail FROM (
+ SELECT opened_time, id, 'Investigating' AS status FROM ii UNION ALL SELECT opened_time, id, 'False positive' FROM ii WHERE confirmed = 0)
+ ORDER BY ts DESC, action, detail LIMIT 25""")
 
 
 # ------------------------------------------------------------------------------------------------ metrics
@@ -743,3 +777,44 @@ ORACLES["stream_window_states"] = ORACLES["window_states"]
 add("stream_regular_states", REG, f"""SELECT timestamp, {VALUES}, stage, is_attack, source, filled, segment, pos,
  CAST(0 AS BIGINT) AS late FROM st""")
 ORACLES["stream_alert_events"] = ORACLES["alert_events"]
+
+
+# ------------------------------------------------------------------------------------------------- fingerprints
+def tree(table: str, key: str, columns: list[str]) -> str:
+    """CTEs <table>_n: the nodes of a digest tree with 64 keys a leaf and 16 nodes below a node; the root is marked done."""
+    text_of = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"""{table}_r AS (SELECT {key} AS k, sha256(concat_ws('|', {text_of})) AS d FROM {table}),
+{table}_l AS (SELECT (k - (SELECT min(k) FROM {table}_r)) // 64 AS ix, sha256(string_agg(d, '' ORDER BY k, d)) AS d FROM {table}_r GROUP BY 1),
+{table}_n(lv, ix, d, top, done) AS (SELECT 0, ix, d, (SELECT max(ix) FROM {table}_l), false FROM {table}_l
+  UNION ALL SELECT lv + 1, ix // 16, sha256(string_agg(d, '' ORDER BY ix)), any_value(top // 16), any_value(top < 16) FROM {table}_n
+  WHERE NOT done GROUP BY lv, ix // 16)"""
+
+
+TREES = {"events": ("event_id", ["event_id", "user_id", "event_type", "props"]),
+         "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
+         "documents": ("doc_id", ["doc_id", "text", "lang", "source", "n_chars"]), "pages": ("page_id", ["page_id", "url", "html"])}
+add("table_fingerprint", ",\n".join(tree(t, *x) for t, x in TREES.items()), " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", (SELECT count(*) FROM {t}_r) AS rows, d AS digest FROM {t}_n WHERE done""" for t in TREES))
+
+
+# ------------------------------------------------------------------------------------------------- stored tables, analyses
+SPOILT = R300 + """,
+sd AS (SELECT source, segment, pos, timestamp FROM st WHERE pos % 50 <> 7 UNION ALL SELECT source, segment, pos, timestamp FROM st WHERE pos % 40 = 5)"""
+add("stored_table_checks", SPOILT + """,
+od AS (SELECT *, lag(timestamp) OVER (PARTITION BY source, segment ORDER BY timestamp + CASE WHEN pos % 30 = 11 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END, pos) AS b FROM sd)""",
+    """SELECT source, segment, count(*) AS rows, CAST((epoch(max(timestamp)) - epoch(min(timestamp))) / 300 + 1 AS BIGINT) - count(DISTINCT timestamp) AS missing,
+ count(*) - count(DISTINCT timestamp) AS repeated, count(*) FILTER (timestamp <= b) AS disordered FROM od GROUP BY 1, 2""")
+add("stored_table_positions", SPOILT + """,
+sn AS (SELECT source, segment, count(*) AS n FROM sd GROUP BY 1, 2),
+cu AS (SELECT *, sum(n) OVER (PARTITION BY source ORDER BY segment) AS upto, sum(n) OVER (PARTITION BY source) AS rows FROM sn)""",
+    """SELECT source, segment, 0 AS low, n - 1 AS high, n AS places, n AS seg_len, CAST(upto - n AS BIGINT) AS first_row,
+ CAST(upto - 1 AS BIGINT) AS last_row, CAST(rows AS BIGINT) AS source_rows FROM cu""")
+add("analysis_summary", INC, f"""SELECT source, count(*) AS windows, count(*) FILTER (is_attack) AS attack_windows,
+ (SELECT count(*) FROM tl WHERE tl.source = s.source) AS scored, (SELECT count(*) FROM tl WHERE tl.source = s.source AND risk >= {THR}) AS flagged,
+ (SELECT round(max(risk), 6) FROM tl WHERE tl.source = s.source) AS peak_risk, (SELECT count(*) FROM al WHERE al.source = s.source) AS alerts,
+ (SELECT count(*) FROM al WHERE al.source = s.source AND status = 'OPEN') AS open,
+ (SELECT count(*) FROM ii WHERE ii.source = s.source AND severity = 'Critical') AS critical,
+ (SELECT count(*) FROM ii WHERE ii.source = s.source AND confirmed = 1) AS confirmed FROM st s GROUP BY source""")
+add("stream_packet_flows", packet_flows(21600, 86400)[0], """SELECT capture, CAST(any_value(proto) AS BIGINT) AS proto, client || ':' || any_value(cport) AS client,
+ fl AS first_packet, min(t0) AS first_ts, arg_max(ts, packet_no) AS last_ts, count(*) AS packets, CAST(sum(payload) AS BIGINT) AS bytes
+ FROM g GROUP BY capture, client, fl""")

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from netstate.functions import knowledge as know
 from netstate.functions.labels import unmapped_labels
 from netstate.functions.levels import display_level, incident_level, level_of
 from netstate.operators import alerts as al
-from netstate.operators import chunks, drift, evaluation, explain, forecast, grid, incidents, logistic, metrics, packets
+from netstate.operators import analysis, chunks, drift, evaluation, explain, forecast, grid, incidents, logistic, metrics, packets
 from netstate.operators import quality, scaling, scenarios, sequences, states, views
 from netstate.operators.sequences import KEYS
 from netstate.plans.events import event_flows, flows_of_events
@@ -97,10 +97,9 @@ def window_distincts(spark, sf):
 
 @query
 def flow_measures(spark, sf):
+    """Every per-flow quantity, added up by source."""
     m = states.with_measures(event_flows(spark, sf), T3600)
-    return tidy(m.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("packet_rate", "byte_rate", "payload", "failed",
-                                                                      "small", "well_known", "other_protocol",
-                                                                      "port_443", "port_other")]))
+    return tidy(m.groupBy("source").agg(*[F.sum(c).alias(c) for c, t in m.dtypes if t == "double"]), NUDGE)
 
 
 @query
@@ -175,6 +174,69 @@ def csv_ingest_mixed(spark, sf):
             F.date_format("timestamp", "dd/MM/yyyy HH:mm:ss")), F.when(late, F.coalesce(name, number)).otherwise(number)))
 
 
+def _spoilt(spark, sf) -> DataFrame:
+    """Flow lines of which some lack a time or a port, and some are header lines once more."""
+    flows = event_flows(spark, sf)
+    n = F.col("src_port").cast("long")
+    text = _flow_text(flows.withColumn("_n", n), F.when(n % 97 == 0, "no time").otherwise(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
+                      F.col("protocol").cast("int").cast("string"))
+    k = F.round(F.col("Flow Duration"))                              # lines are spoilt by what they hold
+    return text.withColumns({"Dst Port": F.when(k % 11 == 0, "none").otherwise(F.col("Dst Port").cast("string")),
+                             "Label": F.when(k % 13 == 0, "Label").otherwise(F.col("Label"))})
+
+
+def _flow_folder(spark, text: DataFrame) -> str:
+    import uuid
+    path = f"{shared_folder(spark)}/flow-csv-{uuid.uuid4().hex}"
+    text.write.partitionBy("source").option("header", "true").csv(path)
+    return path
+
+
+@query
+def ingest_report(spark, sf):
+    """What is read, left out, dropped and filled on the way from spoilt flow files to regular states."""
+    from netstate.sources.flow_csv import read_rows
+    path = _flow_folder(spark, _spoilt(spark, sf).repartition(1, "source"))
+    rows = read_rows(spark, path, T3600)
+    return analysis.ingest_report(rows.withColumn("source", F.lit("all")), T3600)
+
+
+@query
+def rejected_rows(spark, sf):
+    """Rows, flows and rows that are none by their problem, over all files."""
+    from netstate.sources.flow_csv import row_report
+    report = row_report(spark, _flow_folder(spark, _spoilt(spark, sf)), T3600)
+    return report.agg(*[F.sum(c).alias(c) for c in report.columns if c != "source"])
+
+
+@query
+def file_checks(spark, sf):
+    """A file that can be read, one without times, one without ports and one of another kind."""
+    import uuid
+
+    from netstate.sources import flow_csv
+    path = f"{shared_folder(spark)}/flow-csv-{uuid.uuid4().hex}"
+    text = _flow_text(event_flows(spark, sf), F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.col("protocol").cast("int").cast("string")).drop("source")
+    for folder, rows in {"good": text, "untimed": text.withColumn("Timestamp", F.lit("never")), "portless": text.drop("Dst Port")}.items():
+        rows.coalesce(1).write.option("header", "true").csv(f"{path}/{folder}")
+    text.select("Label").coalesce(1).write.json(f"{path}/other")
+    checks = flow_csv.file_checks(spark, path, T3600)
+    return checks.withColumn("folder", F.element_at(F.split("path", "/"), -2)).drop("path")
+
+
+@query
+def rolled_up_states(spark, sf):
+    """Hours out of stored ten-minute partial states: sums as they are, estimated distinct counts against exact ones."""
+    flows = event_flows(spark, sf)
+    rolled = states.rolled_states(materialize(states.partial_states(flows, G600), "partial-states"), T3600)
+    kinds = states.DISTINCT[:4]
+    exact = states.window_distincts(flows, T3600).select("source", "timestamp", *[F.col(k).cast("long").alias(f"exact_{k}") for k in kinds])
+    near = [(F.abs(F.col(k) - F.col(f"exact_{k}")) <= 1 + 0.05 * F.col(f"exact_{k}")).alias(f"near_{k}") for k in kinds]
+    sums = ["flow_count", "packets_total", "bytes_total", "duration_std", "iat_max", "payload_std", "syn_count", "failed_flow_ratio", "dst_port_443"]
+    return tidy(rolled.join(exact, ["source", "timestamp"]).select("source", "timestamp", *sums, "stage", "is_attack",
+                                                                 *[f"exact_{k}" for k in kinds], *near), NUDGE)
+
+
 def _packets(spark, sf) -> DataFrame:
     """TCP and UDP frames built from the events, five conversations per sensor."""
     e = spark.read.parquet(f"{sf}/events.parquet")
@@ -380,14 +442,12 @@ def scaled_states(spark, sf):
 @query
 def unscaled_states(spark, sf):
     s = scaler(spark, sf)
-    used = ["flow_count", "bytes_total", "scan_score", "ttl_var"]
-    return tidy(s.inverse(s.transform(regular(spark, sf))).select(*KEYS, "pos", *used))
+    return tidy(s.inverse(s.transform(regular(spark, sf))).select(*KEYS, "pos", *feature_names(T3600)), NUDGE)
 
 
 @query
 def feature_report(spark, sf):
-    quiet = regular(spark, sf).where("source = 'sensor-1'")
-    return scaling.feature_report(quiet, scaler(spark, sf), T3600)
+    return scaling.feature_report(regular(spark, sf), scaler(spark, sf), T3600, ["source"])
 
 
 # ---------------------------------------------------------------------------------------------- forecast
@@ -538,8 +598,7 @@ def incident_triage(spark, sf):
 
 @query
 def audit_tail(spark, sf):
-    events = incidents.audit_rows(_triage(spark, sf).where("seq = 2"))
-    return incidents.audit_tail(events.dropDuplicates(["ts"]), 10).select("ts", "action")
+    return incidents.audit_tail(incidents.audit_rows(_triage(spark, sf)), 25)
 
 
 # ------------------------------------------------------------------------------------------------- metrics
@@ -870,9 +929,46 @@ def sanity_checks(spark, sf):
     return tidy(quality.sanity_checks(regular(spark, sf), scored(spark, sf)))
 
 
+@query
+def stored_table_checks(spark, sf):
+    """A stored state table with windows taken out, repeated and put in another place."""
+    import uuid
+
+    from netstate.sources import tables
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    table = regular(spark, sf, G300).drop("row", "source_rows", "seg_len")
+    kept = table.where("pos % 50 <> 7")
+    repeated = kept.union(table.where("pos % 40 = 5"))
+    place = F.when(F.col("pos") % 30 == 11, F.col("timestamp") + F.expr("interval 1 hour")).otherwise(F.col("timestamp"))
+    repeated.orderBy(place, "source", "segment", "pos").drop("pos").coalesce(1).write.parquet(folder)
+    return quality.stored_table_checks(tables.read_states(spark, folder, G300), G300)
+
+
+@query
+def stored_table_positions(spark, sf):
+    """Positions count the rows of a stored table, so holes and repeats leave every row its place."""
+    table = regular(spark, sf, G300)
+    spoilt = table.where("pos % 50 <> 7").union(table.where("pos % 40 = 5"))
+    placed = grid.index_states(spoilt, G300)
+    return placed.groupBy(*KEYS).agg(F.min("pos").alias("low"), F.max("pos").alias("high"), F.countDistinct("pos").alias("places"),
+                                     F.max("seg_len").alias("seg_len"), F.min("row").alias("first_row"), F.max("row").alias("last_row"),
+                                     F.max("source_rows").alias("source_rows"))
+
+
+@query
+def analysis_summary(spark, sf):
+    """States -> forecasts -> alerts -> incidents -> summary in one call."""
+    return tidy(analysis.run_analysis(regular(spark, sf), scorer(spark, sf), THRESHOLD, T3600).summary)
+
+
 @query
 def table_fingerprint(spark, sf):
-    return quality.fingerprint(spark, f"{sf}/events.parquet")
+    """Digests of the rows of four tables, whatever files hold them."""
+    wanted = {"events": ("event_id", ["event_id", "user_id", "event_type", "props"]), "orders": ("o_orderkey", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
+              "documents": ("doc_id", ["doc_id", "text", "lang", "source", "n_chars"]), "pages": ("page_id", ["page_id", "url", "html"])}
+    parts = [quality.table_digest(spark.read.parquet(f"{sf}/{t}.parquet"), key, columns, 64, 16).select(F.lit(t).alias("table"), "rows", "digest")
+             for t, (key, columns) in wanted.items()]
+    return reduce(DataFrame.union, parts)
 
 
 # ------------------------------------------------------------------- trained forecasters (iterative, no SQL form)
@@ -947,6 +1043,21 @@ def stream_window_states(spark, sf):
     return tidy(st.run_to_table(st.stream_window_states(flows_of_events(events), T3600, ANY_ORDER), folder), NUDGE)
 
 
+@query
+def stream_packet_flows(spark, sf):
+    """Flows of a stream of packets by both timeouts, the newest file first."""
+    from netstate.streaming import states as st
+    st.use_rocksdb(spark)
+    folder = _stream_folder(spark)
+    table = materialize(packets.decode(_packets(spark, sf)), "packets")
+    _as_files(table, "ts", f"{folder}/in", newest_first=True)
+    st.closing_file(spark, f"{folder}/in", table.schema, "ts", table.agg(F.max("ts")).first()[0] + 3000 * 86400.0)
+    stream = st.replay_files(spark, f"{folder}/in", table.schema)
+    rows = st.run_to_table(st.stream_packet_flows(stream, 21600.0, 86400.0, ANY_ORDER), folder)
+    return rows.select("capture", "proto", F.when(F.col("low").startswith("192."), F.col("high")).otherwise(F.col("low")).alias("client"),
+                       "first_packet", "first_ts", "last_ts", "packets", "bytes")
+
+
 def _streamed_grid(spark, sf, folder: str) -> DataFrame:
     """Window states, newest file first -> pruned regular states of a streaming grid."""
     from netstate.streaming import states as st

@@ -7,16 +7,18 @@ later in the file, or spell protocols in another way, are read as well.
 from __future__ import annotations
 
 import csv
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netstate.config import BENIGN, COLUMN_ALIASES, PROTOCOL_NUMBERS, Options
 from netstate.functions.labels import simple_name, stage_of_label
 from netstate.schema import FLOW_SCHEMA
-from netstate.sources.files import file_heads, find_flow_files
+from netstate.sources.files import file_heads, file_kind, find_flow_files, list_files
 
 REQUIRED = ["timestamp", "dst_port", "protocol"]
 OPTIONAL = ["src_ip", "dst_ip", "src_port", "ttl", "retransmissions", "label"]
@@ -89,16 +91,40 @@ def dialect_of(header_line: str, options: Options) -> Dialect:
 
 
 def describe_files(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:
-    """One row per file: number of columns, missing required fields, optional fields present."""
-    heads = file_heads(find_flow_files(spark, path, pattern), 0).select("path", "header").collect()
-    rows = []
-    for r in heads:
-        header = next(csv.reader([r["header"]]), [])
-        fields = resolve_columns(header)
-        rows.append((r["path"], len(header), [f for f in REQUIRED if f not in fields],
-                     [f for f in OPTIONAL if f in fields]))
-    return spark.createDataFrame(rows, "path string, columns int, missing_required array<string>, "
-                                       "optional_present array<string>")
+    """One row per file: number of columns, missing required fields, optional fields present. Headers are read in tasks."""
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, line in zip(batch["path"], batch["header"]):
+                fields = dialect_of(line, options).fields if line else {}
+                rows.append((path, len(next(csv.reader([line]), [])), [f for f in REQUIRED if f not in fields],
+                             [f for f in OPTIONAL if f in fields]))
+            yield pd.DataFrame(rows, columns=["path", "columns", "missing_required", "optional_present"])
+
+    heads = file_heads(find_flow_files(spark, path, pattern), 0).select("path", "header")
+    return heads.mapInPandas(describe, "path string, columns int, missing_required array<string>, optional_present array<string>")
+
+
+def file_checks(spark: SparkSession, path: str, options: Options) -> DataFrame:
+    """(path, status, problem, rows, flows) of every file below ``path``: what keeps it from being read is a ``fail`` row.
+
+    Problems: unsupported kind, missing fields (by name), no usable record. Captures and Parquet tables are passed by their kind.
+    Empty files are not listed by Spark.
+    """
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    every = list_files(spark, path, "*").select("path", file_kind(name).alias("kind"), F.regexp_extract(name, r"\.([a-z0-9]+)$", 1).alias("ending"))
+    known = (F.col("kind") != "text") | F.col("ending").isin("csv", "txt")
+    described = describe_files(spark, path, options, "*").select("path", F.col("missing_required").alias("missing"))
+    counted = _rows(spark, path, options, "*.{csv,txt}", skip=True, named="file_path")
+    if counted is None:
+        counts = described.select("path", F.lit(0).alias("rows"), F.lit(0).alias("flows")).limit(0)
+    else:
+        counts = counted.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("rows"), F.count_if(F.col("problem").isNull()).alias("flows"))
+    joined = every.join(described, "path", "left").join(counts, "path", "left")
+    problem = (F.when(~known, "unsupported kind").when(F.col("kind") != "text", None)
+               .when(F.size("missing") > 0, F.concat(F.lit("missing fields: "), F.array_join("missing", ", ")))
+               .when(F.coalesce("flows", F.lit(0)) == 0, "no usable record"))
+    return joined.select("path", F.when(problem.isNull(), "ok").otherwise("fail").alias("status"), problem.alias("problem"), "rows", "flows")
 
 
 # --------------------------------------------------------------------------------------------- elections
@@ -147,11 +173,11 @@ def _columns(dialect: Dialect) -> str:
     return ", ".join([f"c{i} string" for i in range(len(dialect.header))] + ["extra string"])
 
 
-def scan(spark: SparkSession, paths: list[str], dialect: Dialect) -> DataFrame:
+def scan(spark: SparkSession, paths: list[str], dialect: Dialect, named: str = "file_name") -> DataFrame:
     """All text columns of files with one header; ``extra`` isn't null in lines with too many fields."""
     reader = spark.read.schema(_columns(dialect)).option("header", str(dialect.has_header).lower())
     rows = reader.option("mode", "PERMISSIVE").option("enforceSchema", "true").csv(paths)
-    return rows.withColumn("source", F.col("_metadata.file_name"))
+    return rows.withColumn("source", F.col(f"_metadata.{named}"))
 
 
 def canonical(rows: DataFrame, dialect: Dialect, fmt: str, options: Options) -> DataFrame:
@@ -196,16 +222,19 @@ def canonical(rows: DataFrame, dialect: Dialect, fmt: str, options: Options) ->
     return flows.select(*FLOW_SCHEMA.names, problem.alias("problem"))
 
 
-def _rows(spark: SparkSession, path: str, options: Options, pattern: str) -> DataFrame:
+def _rows(spark: SparkSession, path: str, options: Options, pattern: str, skip: bool = False, named: str = "file_name") -> DataFrame | None:
+    """Canonical rows with ``problem``. ``skip``: files without the required fields are passed over, None if no file has them."""
     heads = file_heads(find_flow_files(spark, path, pattern))
     listed = heads.select("path", "header").collect()          # the file listing, as any reader keeps it
-    if not listed:
+    if not listed and not skip:
         raise ValueError(f"no flow files below {path}")
     by_dialect: dict[Dialect, list[str]] = {}
     for r in listed:
         by_dialect.setdefault(dialect_of(r["header"], options), []).append(r["path"])
     parts = []
     for dialect, paths in sorted(by_dialect.items(), key=lambda e: e[1]):
+        if dialect.missing and skip:
+            continue
         if dialect.missing:
             raise ValueError(f"{paths[0]}: required fields {dialect.missing} not found; a flow file needs {REQUIRED}")
         lines = F.col("sample") if dialect.has_header else F.concat(F.array("header"), "sample")
@@ -217,9 +246,14 @@ def _rows(spark: SparkSession, path: str, options: Options, pattern: str) -> Dat
         for r in elect(sampled, options).collect():
             groups.setdefault(r["fmt"], []).append(r["path"])
         empty = [p for p in paths if not any(p in g for g in groups.values())]
-        parts += [canonical(scan(spark, sorted(files), dialect), dialect, fmt, options)
+        parts += [canonical(scan(spark, sorted(files), dialect, named), dialect, fmt, options)
                   for fmt, files in sorted(({**groups, "mixed": groups.get("mixed", []) + empty} if empty else groups).items())]
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def read_rows(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:
+    """As :func:`read_flows`, with the rows that are no flows: ``problem`` says why."""
+    return _rows(spark, path, options, pattern)
 
 
 def read_flows(spark: SparkSession, path: str, options: Options, pattern: str = "*.csv") -> DataFrame:

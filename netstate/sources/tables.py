@@ -27,7 +27,10 @@ def is_state_header(columns: list[str], options: Options) -> bool:
 
 
 def read_states(spark: SparkSession, path: str, options: Options) -> DataFrame:
-    """A state table (Parquet or CSV); metadata columns a file lacks get their defaults."""
+    """A state table (Parquet or CSV); metadata columns a file lacks get their defaults.
+
+    ``given`` is the place of a row: rows of a file come in its order, whatever their times.
+    """
     first = path.rstrip("/").lower()
     if first.endswith((".csv", ".csv.gz")) or list_files(spark, path, "*.parquet").isEmpty():
         header = spark.read.option("header", "true").csv(path).columns
@@ -37,6 +40,7 @@ def read_states(spark: SparkSession, path: str, options: Options) -> DataFrame:
                             for c in header])
     else:
         rows = spark.read.parquet(path)
+    rows = rows.withColumn("given", F.monotonically_increasing_id())
     defaults = {"stage": F.lit(BENIGN), "is_attack": F.lit(False), "source": F.lit("states"),
                 "segment": F.lit(0), "filled": F.lit(False), "attack_flows": F.lit(0.0),
                 "attack_fraction": F.lit(0.0)}

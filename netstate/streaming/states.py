@@ -59,6 +59,79 @@ def packet_sessions(packets: DataFrame, idle: str = "120 seconds", late: str = "
         F.max("ts").alias("last_ts"))
 
 
+PACKET_FLOWS = T.StructType([
+    T.StructField("capture", T.StringType()), T.StructField("proto", T.LongType()), T.StructField("low", T.StringType()),
+    T.StructField("high", T.StringType()), T.StructField("first_packet", T.LongType()), T.StructField("first_ts", T.DoubleType()),
+    T.StructField("last_ts", T.DoubleType()), T.StructField("packets", T.LongType()), T.StructField("bytes", T.LongType())])
+
+
+class FlowProcessor(StatefulProcessor):
+    """Flows of one conversation, cut by silence and by length, from packets in any order within the watermark delay.
+
+    Packets wait until the watermark has passed them and are then taken in order. Timers do both: one at the oldest waiting packet,
+    else one where the silence of the open flow gets too long. State are the waiting packets and one row for the open flow.
+    """
+
+    def __init__(self, idle: float, active: float):
+        self.idle, self.active = round(idle * 1e6), round(active * 1e6)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "micros bigint, packet bigint", "payload bigint")
+        self.open = handle.getValueState("flow", "first bigint, begin bigint, last bigint, packets bigint, bytes bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for micros, packet, payload in zip(frame["micros"], frame["packet_no"], frame["payload"]):
+                if pd.isna(packet):                                 # a closing mark moves the clock only
+                    continue
+                self.waiting.updateValue((int(micros), int(packet)), (int(payload),))
+                self.handle.registerTimer(-(-int(micros) // 1000))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000       # a timer set here for a time before that would never fire
+        ready = sorted((k, v[0]) for k, v in self.waiting.iterator() if k[0] <= passed)
+        flow, out = self.open.get(), []
+        flow = tuple(flow) if flow else None
+
+        def closed():
+            out.append((*key, flow[0], flow[1] / 1e6, flow[2] / 1e6, flow[3], flow[4]))
+
+        for (micros, packet), payload in ready:
+            self.waiting.removeKey((micros, packet))
+            if flow and (micros - flow[2] > self.idle or micros - flow[1] > self.active):
+                closed()
+                flow = None
+            first, begin, _, packets, size = flow or (packet, micros, micros, 0, 0)
+            flow = (first, begin, micros, packets + 1, size + payload)
+        if flow and passed - flow[2] > self.idle:
+            closed()
+            self.open.clear()
+        elif flow and ready:
+            self.open.update(flow)
+            self.handle.registerTimer((flow[2] + self.idle) // 1000 + 1)
+        if out:
+            yield pd.DataFrame(out, columns=PACKET_FLOWS.names)
+
+    def close(self) -> None:
+        pass
+
+
+def stream_packet_flows(packets: DataFrame, idle: float = 120.0, active: float = 600.0, late: str = "10 minutes") -> DataFrame:
+    """Flows of a stream of decoded packets by both timeouts, as :func:`netstate.operators.packets.with_flow` cuts them.
+
+    A flow comes out once a packet of the next one, or enough silence, has been passed by the watermark.
+    """
+    here, there = F.concat_ws(":", "src", "sport"), F.concat_ws(":", "dst", "dport")
+    timed = packets.select(
+        "capture", F.col("proto").cast("long").alias("proto"), F.least(here, there).alias("low"), F.greatest(here, there).alias("high"),
+        F.round(F.col("ts") * 1e6).cast("long").alias("micros"), F.col("packet_no").cast("long").alias("packet_no"),
+        F.col("payload").cast("long").alias("payload"), F.timestamp_seconds("ts").alias("time")).withWatermark("time", late)
+    return timed.groupBy("capture", "proto", "low", "high").transformWithStateInPandas(
+        FlowProcessor(idle, active), outputStructType=PACKET_FLOWS, outputMode="append", timeMode="EventTime")
+
+
 class GridProcessor(StatefulProcessor):
     """Regular grid of one source from windows in any order: fills short gaps, starts a segment after a long one, drops segments
     that stay too short, keeps the last L vectors.

@@ -1,8 +1,12 @@
-"""Window states, grid, splits, scaling."""
+"""Window states, grid, splits, scaling, ranges, digests."""
+import shutil
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from netstate.config import Options
+from netstate.operators import chunks
 from netstate.operators.grid import index_states, regular_states
 from netstate.operators.scaling import Scaler
 from netstate.operators.sequences import with_samples, with_split
@@ -109,3 +113,66 @@ def test_scaler(spark, table):
     assert abs(z["m"]) < 1e-9 and abs(z["d"] - 1) < 1e-9 and z["u"] == 0
     with pytest.raises(ValueError):
         s.transform(table.drop("flow_count"))
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_one_time_line_over_all_sources(spark, chunk):
+    """Two levels give the rank of a plain sort, with one group of sources or several."""
+    rows = [(f"host-{s:02d}", 0, i, moment(3600 * i)) for s in range(17) for i in range(40) if (s * 7 + i) % 5]
+    states = spark.createDataFrame(rows, "source string, segment int, pos long, timestamp timestamp_ntz")
+    options = Options(window_seconds=3600, split_strategy="chronological", chunk_windows=chunk)
+    got = {(r["source"], r["pos"]): r["split"] for r in with_split(states, options).collect()}
+    line = sorted(rows, key=lambda r: (r[3], r[0]))
+    span, n = options.history + options.horizon, len(line)
+    train, val = int(n * options.train_fraction), int(n * (options.train_fraction + options.val_fraction))
+    want = {(r[0], r[2]): "train" if i < train else "val" if train + span <= i < val else "test" if i >= val + span else "gap"
+            for i, r in enumerate(line)}
+    assert got == want
+
+
+def test_value_ranges_are_bounded(spark):
+    """Ranges of a skewed distribution hold at most so many rows, in the order of the values; equal ones stay together."""
+    rng = np.random.default_rng(2)
+    values = [(k, float(v)) for k in "ab" for v in np.exp(rng.normal(0, 6, 3000))] + [("a", 1e6 + i * 1e-9) for i in range(2000)] + [("b", 7.0)] * 500
+    df = spark.createDataFrame(values, "k string, v double")
+    rows = chunks.by_value_chunks(df, ["k"], "v", most=100).collect()
+    by_range = {}
+    for r in rows:
+        by_range.setdefault((r["k"], r["_vchunk"]), []).append(r["v"])
+    assert len(rows) == len(values) and len(by_range) > 60
+    assert all(len(v) <= 100 or len(set(v)) == 1 for v in by_range.values())
+    for k in "ab":
+        edges = [(min(v), max(v)) for (key, _), v in sorted(by_range.items()) if key == k]
+        assert all(x[1] < y[0] for x, y in zip(edges, edges[1:]))
+    whole = chunks.by_value_chunks(df, ["k"], "v")
+    assert whole.agg(F.countDistinct("_vchunk")).first()[0] == 1
+
+
+def test_file_digests(spark, tmp_path):
+    import hashlib
+
+    from netstate.operators import quality
+    rng = np.random.default_rng(4)
+    sizes = {"a/one.bin": 1, "a/two.bin": 10, "b.bin": 1000, "c/d/e.bin": 5000}
+    for name, size in sizes.items():
+        (tmp_path / "x" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "x" / name).write_bytes(rng.bytes(size))
+
+    def node(parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def root(leaves, fan):
+        while True:
+            leaves = [node(leaves[i:i + fan]) for i in range(0, len(leaves), fan)]
+            if len(leaves) == 1:
+                return leaves[0]
+    got = {r["path"].split("/x/")[-1]: r for r in quality.file_digests(spark, str(tmp_path / "x"), 100, 4).collect()}
+    for name, size in sizes.items():
+        data = (tmp_path / "x" / name).read_bytes()
+        blocks = [hashlib.sha256(data[i:i + 100]).hexdigest() for i in range(0, max(1, size), 100)]
+        assert (got[name]["length"], got[name]["blocks"], got[name]["digest"]) == (size, len(blocks), root(blocks, 4))
+    shutil.copytree(tmp_path / "x", tmp_path / "y")
+    first, copy = (quality.fingerprint(spark, str(tmp_path / d)) for d in "xy")
+    assert quality.unchanged(first, copy) and first.first()["files"] == 4 and first.first()["bytes"] == 6011
+    (tmp_path / "y" / "b.bin").write_bytes(b"other")
+    assert not quality.unchanged(first, quality.fingerprint(spark, str(tmp_path / "y")))

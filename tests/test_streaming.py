@@ -2,6 +2,7 @@
 import uuid
 from datetime import timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from netstate.config import Options
@@ -93,3 +94,27 @@ def test_packet_sessions(spark, tmp_path):
     out = st.run_to_table(st.packet_sessions(st.replay_files(spark, str(tmp_path / "in"), df.schema), "120 seconds"),
                           str(tmp_path / "out"))
     assert [(r["first_ts"], r["packets"]) for r in out.orderBy("first_ts").collect()] == [(0, 3), (400, 2), (9000, 1)]
+
+
+def test_packet_flows_by_both_timeouts(spark, tmp_path):
+    """Out of order within the delay, in five files: what the batch cuts."""
+    from netstate.operators.packets import with_flow
+    st.use_rocksdb(spark)
+    rng, rows, t = np.random.default_rng(5), [], 1.7e9
+    for i in range(600):
+        t += float(rng.choice([0.5, 3, 20, 150], p=[.4, .4, .17, .03]))
+        c = int(rng.integers(0, 3))
+        rows.append(("x", i, "10.0.0.9" if i % 3 else f"10.0.0.{c}", f"10.0.0.{c}" if i % 3 else "10.0.0.9", 7, 7, 6, t, i % 9))
+    schema = "capture string, packet_no long, src string, dst string, sport long, dport long, proto long, ts double, payload long"
+    df = spark.createDataFrame(rows, schema)
+    for i in range(5):                                               # neighbours in time are in different files
+        part = df.where((F.col("packet_no") >= i * 120 - 9 * (i % 2)) & (F.col("packet_no") < (999 if i == 4 else (i + 1) * 120 - 9 * ((i + 1) % 2))))
+        part.orderBy(F.desc("packet_no")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.limit(1).withColumns({"ts": F.lit(t + 1e6), "capture": F.lit("end")}).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = st.replay_files(spark, str(tmp_path / "in"), df.schema)
+    got = st.run_to_table(st.stream_packet_flows(stream, 100.0, 300.0, "1000 seconds"), str(tmp_path / "out"))
+    want = with_flow(df, 100.0, 300.0).groupBy("capture", F.col("begin.packet_no").alias("first_packet")).agg(
+        F.count("*").alias("packets"), F.sum("payload").alias("bytes"), F.max("ts").alias("last_ts"))
+    names = ["capture", "first_packet", "packets", "bytes"]
+    assert sorted(map(tuple, got.select(*names).collect())) == sorted(map(tuple, want.select(*names).collect()))
+    assert want.count() > 20
