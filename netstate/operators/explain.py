@@ -57,8 +57,22 @@ def _top(rows: DataFrame, scaler: Scaler, weights: np.ndarray, gain: Column, ste
 
 
 def history_at(states: DataFrame, origins: DataFrame, scaler: Scaler, options: Options) -> DataFrame:
-    """Scaled history of the given origins (source, segment, pos and whatever else they carry)."""
-    return origins.join(history_of(states, origins, scaler.vector(), options), [*KEYS, "pos"])
+    """Scaled history of the given origins (source, segment, pos and whatever else they carry, in narrow columns)."""
+    return history_of(states, origins, scaler.vector(), options).join(origins, [*KEYS, "pos"])
+
+
+def histories(states: DataFrame, origins: DataFrame, scaler: Scaler, options: Options) -> DataFrame:
+    """As :func:`history_at` where most windows are origins: what they carry meets the states before histories are collected.
+
+    So the arrays of L vectors stay in the stage that makes them and are never shuffled.
+    """
+    carried = [c for c in origins.columns if c not in (*KEYS, "pos")]
+    rows = scaler.with_vector(states).select(*KEYS, "pos", "z").join(
+        origins.withColumn("_mark", F.lit(True)), [*KEYS, "pos"], "left")
+    L = options.history
+    return neighbours(rows, KEYS, "pos", options.chunk_windows, L - 1, 0,
+                      lambda w: {"history": F.collect_list("z").over(w.rowsBetween(1 - L, 0))},
+                      where=F.col("_mark") & (F.col("pos") >= L - 1)).select(*KEYS, "pos", "history", *carried)
 
 
 def attributions(origins: DataFrame, scaler: Scaler, weights: np.ndarray, top_k: int = 10,

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netstate.config import Options
@@ -18,18 +18,23 @@ from netstate.session import materialize
 
 # Inverse regularisation strength, iteration limit and sample cap of the baseline.
 STRENGTH, ITERATIONS, SAMPLE_CAP = 0.05, 300, 40_000
+COEFFICIENTS = "step int, class int, window int, feature string, weight double"
+ABOUT = "scaler string, stages array<string>, history int, horizon int, window_seconds int"
 
 
 def training_rows(states: DataFrame, scaler: Scaler, vocab: list[str], options: Options, label: str = "train",
                   cap: int = SAMPLE_CAP) -> DataFrame:
     """Samples of one split: ``flat`` history vector, future attack flags, future stage ids.
 
-    The cap takes the first samples by a seeded hash of their key; only those gather their history.
+    Of more than ``cap`` samples about so many are drawn by a seeded hash of their key, each task by itself; only those gather
+    their history.
     """
     samples = with_samples(with_future(states, options, vocab), options).where("is_sample").where(
         F.col("split") == label).select(*KEYS, "pos", "future_attack", "future_stage")
-    picked = samples.orderBy(F.xxhash64(F.lit(options.seed), *KEYS, "pos"), *KEYS, "pos").limit(cap)
-    picked = materialize(picked, "picked-samples")
+    samples = materialize(samples, "samples")
+    share = cap / max(samples.count(), 1)
+    draw = F.pmod(F.xxhash64(F.lit(options.seed), *KEYS, "pos"), F.lit(1 << 32)) / float(1 << 32)
+    picked = samples if share >= 1 else materialize(samples.where(draw < share), "picked-samples")
     found = history_of(states, picked, scaler.vector(), options, few=True)
     return found.select(*KEYS, "pos", F.flatten("history").alias("flat")).join(picked, [*KEYS, "pos"])
 
@@ -95,6 +100,49 @@ class LogisticScorer:
         rows.unpersist()
         return LogisticScorer(scaler, options, list(vocab), attack, bias, stage, stage_bias)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(step, class, window, feature, weight): coefficients that aren't 0, and biases as window -1. Class 0 is the attack flag."""
+        rows = [(h, 0, -1, None, b) for h, b in enumerate(self.attack_bias) if b is not None]
+        rows += [(h, c + 1, -1, None, float(b)) for (h, c), b in np.ndenumerate(self.stage_bias) if b]
+        rows += [(h, 0, w, self.scaler.names[f], float(x)) for (h, w, f), x in np.ndenumerate(self.attack) if x]
+        rows += [(h, c + 1, w, self.scaler.names[f], float(x)) for (h, c, w, f), x in np.ndenumerate(self.stage) if x]
+        return spark.createDataFrame(rows, COEFFICIENTS)
+
+    @staticmethod
+    def from_table(table: DataFrame, scaler: Scaler, vocab: list[str], options: Options) -> "LogisticScorer":
+        """The scorer of a coefficient table: at most steps x (1 + stages) x windows x features rows."""
+        H, L, size, S = options.horizon, options.history, len(scaler.names), len(vocab)
+        at = {n: i for i, n in enumerate(scaler.names)}
+        out = LogisticScorer(scaler, options, list(vocab), np.zeros((H, L, size)), [None] * H, np.zeros((H, S, L, size)), np.zeros((H, S)))
+        for r in table.collect():
+            step, kind, window, weight = r["step"], r["class"], r["window"], r["weight"]
+            if window < 0 and kind == 0:
+                out.attack_bias[step] = weight
+            elif window < 0:
+                out.stage_bias[step, kind - 1] = weight
+            elif kind == 0:
+                out.attack[step, window, at[r["feature"]]] = weight
+            else:
+                out.stage[step, kind - 1, window, at[r["feature"]]] = weight
+        return out
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Coefficients as Parquet, and one row with the scaler, the stages and the shape they belong to."""
+        self.table(spark).coalesce(1).write.mode("error").parquet(f"{path}/coefficients")
+        about = [(self.scaler.to_json(), self.stages, self.options.history, self.options.horizon, self.options.window_seconds)]
+        spark.createDataFrame(about, ABOUT).coalesce(1).write.mode("error").parquet(f"{path}/about")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, options: Options) -> "LogisticScorer":
+        """A saved scorer; options of another history, horizon or window are an error."""
+        about = spark.read.parquet(f"{path}/about").first()
+        stored = {n: about[n] for n in ("history", "horizon", "window_seconds")}
+        wanted = {n: getattr(options, n) for n in stored}
+        if stored != wanted:
+            raise ValueError(f"{path} was trained for {stored}, not {wanted}")
+        table = spark.read.schema(COEFFICIENTS).parquet(f"{path}/coefficients")
+        return LogisticScorer.from_table(table, Scaler.from_json(about["scaler"]), list(about["stages"]), options)
+
     def score(self, states: DataFrame) -> DataFrame:
         """Each row is multiplied with all coefficients once; a forecast sums what its L rows contribute.
 

@@ -132,16 +132,17 @@ def history_of(states: DataFrame, origins: DataFrame, value: Column, options: Op
                few: bool = False) -> DataFrame:
     """(source, segment, pos, ``into``) for chosen origins only: their last L values of ``value``, oldest first.
 
-    Only the windows the origins look back on are touched, and ``value`` is worked out for those. ``few``: the origins
-    are bounded by a sample size, so they are sent to the states instead of the other way round.
+    Only the windows the origins look back on are touched, and ``value`` is worked out for those. They are dealt out by stretches of
+    positions, and histories are collected where the rows lie: a value is shuffled once, not once for each origin that sees it.
+    ``few``: the origins are bounded by a sample size, so they are sent to the states instead of the other way round.
     """
     L = options.history
-    wanted = origins.select(*KEYS, F.col("pos").alias("_origin"),
-                            F.explode(F.sequence(F.col("pos") - (L - 1), F.col("pos"))).alias("pos"))
-    rows = states.join(F.broadcast(wanted) if few else wanted, [*KEYS, "pos"])
-    packed = rows.select(*KEYS, "_origin", F.struct("pos", value.alias("v")).alias("_e")).groupBy(*KEYS, "_origin").agg(
-        F.transform(F.sort_array(F.collect_list("_e")), lambda e: e["v"]).alias(into))
-    return packed.withColumnRenamed("_origin", "pos")
+    marks = origins.select(*KEYS, "pos").distinct()
+    seen = marks.select(*KEYS, F.explode(F.sequence(F.col("pos") - (L - 1), F.col("pos"))).alias("pos"), (F.col("pos")).alias("_origin"))
+    wanted = seen.groupBy(*KEYS, "pos").agg(F.bool_or(F.col("pos") == F.col("_origin")).alias("_mark"))
+    rows = states.join(F.broadcast(wanted) if few else wanted, [*KEYS, "pos"]).select(*KEYS, "pos", "_mark", value.alias("_v"))
+    return neighbours(rows, KEYS, "pos", options.chunk_windows, L - 1, 0,
+                      lambda w: {into: F.collect_list("_v").over(w.rowsBetween(1 - L, 0))}, where=F.col("_mark")).select(*KEYS, "pos", into)
 
 
 def with_future_values(df: DataFrame, column: str, options: Options, into: str = "future") -> DataFrame:

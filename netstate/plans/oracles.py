@@ -818,3 +818,13 @@ add("analysis_summary", INC, f"""SELECT source, count(*) AS windows, count(*) FI
 add("stream_packet_flows", packet_flows(21600, 86400)[0], """SELECT capture, CAST(any_value(proto) AS BIGINT) AS proto, client || ':' || any_value(cport) AS client,
  fl AS first_packet, min(t0) AS first_ts, arg_max(ts, packet_no) AS last_ts, count(*) AS packets, CAST(sum(payload) AS BIGINT) AS bytes
  FROM g GROUP BY capture, client, fl""")
+
+LINEAR = " + ".join(f"({(f * 7) % 11 - 5} / 40.0::DOUBLE) * ({z(n)})" for f, n in enumerate(FEATURES) if (f * 7) % 11 != 5)
+add("linear_scores", SCALE + f""",
+dt AS (SELECT source, segment, pos, {LINEAR} AS dot FROM sl, sc),
+hs AS (SELECT source, segment, pos, {" + ".join(f"power(0.9::DOUBLE, {b}) * lag(dot, {b}) OVER w" for b in range(12))} AS h FROM dt
+       WINDOW w AS (PARTITION BY source, segment ORDER BY pos))""",
+    "SELECT source, segment, pos, " + ", ".join(
+        f"round(1 / (1 + exp(-({(h + 1) / 6!r}::DOUBLE * 0.5 * h + {0.1 * h - 0.5!r}::DOUBLE))), 6) AS p{h + 1}, "
+        f"round(1 / (1 + exp({(h + 1) / 6!r}::DOUBLE * (0.2::DOUBLE - -0.1::DOUBLE) * h + 0.2::DOUBLE)), 6) AS d{h + 1}" for h in range(6))
+    + " FROM hs WHERE pos >= 11")

@@ -752,10 +752,9 @@ def drift_against_background(spark, sf):
 
 # ------------------------------------------------------------------------------------------------- explain
 def _origins(spark, sf) -> DataFrame:
-    """Every scored window as an origin: histories come from bounded frames, not from a join."""
-    z = scaler(spark, sf).with_vector(regular(spark, sf)).select(*KEYS, "pos", "z")
+    """Every scored window as an origin."""
     rows = scored(spark, sf).select(*KEYS, "pos", "attack_prob")
-    return sequences.with_history(z, "z", T3600).select(*KEYS, "pos", "history").join(rows, [*KEYS, "pos"])
+    return explain.histories(regular(spark, sf), rows, scaler(spark, sf), T3600)
 
 
 @query
@@ -972,6 +971,11 @@ def table_fingerprint(spark, sf):
 
 
 # ------------------------------------------------------------------- trained forecasters (iterative, no SQL form)
+def linear_weight(step: int, kind: int, window: int, feature: int) -> float:
+    """A coefficient that is a product of one number for each index."""
+    return (step + 1) / 6 * (0.5 - 0.3 * kind) * 0.9 ** (11 - window) * ((feature * 7) % 11 - 5) / 40
+
+
 @lru_cache(maxsize=None)
 def _logistic(spark, sf) -> logistic.LogisticScorer:
     return logistic.LogisticScorer.fit(regular(spark, sf), scaler(spark, sf), forecast.CLOSED_FORM_STAGES, T3600)
@@ -982,6 +986,23 @@ def logistic_timeline(spark, sf):
     return tidy(forecast.timeline(regular(spark, sf), _logistic(spark, sf), 0.5, T3600))
 
 
+@query
+def linear_scores(spark, sf):
+    """Forecasts of a saved and loaded linear scorer whose coefficients follow a rule."""
+    import uuid
+
+    fitted, options = scaler(spark, sf), T3600
+    rows = [(h, k, w, n, linear_weight(h, k, w, f)) for h in range(options.horizon) for k in range(3) for w in range(options.history)
+            for f, n in enumerate(fitted.names)]
+    rows += [(h, k, -1, None, 0.1 * h - 0.2 * k - 0.5) for h in range(options.horizon) for k in range(3)]
+    table = spark.createDataFrame(rows, logistic.COEFFICIENTS)
+    path = f"{shared_folder(spark)}/scorer-{uuid.uuid4().hex}"
+    logistic.LogisticScorer.from_table(table, fitted, ["Benign", "Impact"], options).save(spark, path)
+    found = logistic.LogisticScorer.load(spark, path, options).score(regular(spark, sf))
+    return tidy(found.select(*KEYS, "pos", *[F.element_at("attack_prob", k).alias(f"p{k}") for k in range(1, 7)],
+                             *[F.element_at(F.element_at("stage_prob", k), 2).alias(f"d{k}") for k in range(1, 7)]))
+
+
 @query
 def forecaster_comparison(spark, sf):
     return tidy(evaluation.compare_scorers(regular(spark, sf), {

@@ -115,3 +115,17 @@ def test_incidents_keep_triage(spark):
     assert incidents.incidents(alerts(line, 0.5, O), unlabelled, O).first()["confirmed"] == -1
     with pytest.raises(ValueError):
         incidents.triage_event(spark, "INC-1", "Closed", "", moment(0), 1)
+
+
+def test_a_saved_forecaster_scores_alike(spark, sf, tmp_path):
+    from netstate.operators.logistic import LogisticScorer
+    from netstate.plans import registry as q
+    table, o = q.regular(spark, sf), q.T3600
+    fitted = LogisticScorer.fit(table, q.scaler(spark, sf), ["Benign", "Impact"], o, iterations=3, cap=200)
+    fitted.save(spark, str(tmp_path / "m"))
+    loaded = LogisticScorer.load(spark, str(tmp_path / "m"), o)
+    names = ["source", "segment", "pos", "attack_prob", "stage_prob"]
+    a, b = (x.score(table).select(*names) for x in (fitted, loaded))
+    assert a.exceptAll(b).isEmpty() and a.count() > 0
+    with pytest.raises(ValueError):
+        LogisticScorer.load(spark, str(tmp_path / "m"), q.G300)
