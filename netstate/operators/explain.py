@@ -13,7 +13,7 @@ from netstate.functions.knowledge import driver_sentence, with_feature_labels
 from netstate.operators.chunks import neighbours
 from netstate.operators.forecast import CLOSED_FORM_WEIGHTS, ClosedFormScorer
 from netstate.operators.scaling import Scaler
-from netstate.operators.sequences import KEYS, history_of
+from netstate.operators.sequences import KEYS, history_of, with_samples
 
 
 def closed_form_weights(scorer: ClosedFormScorer) -> np.ndarray:
@@ -109,6 +109,22 @@ def background_mean(background: DataFrame, options: Options, features: int) -> n
     return mean
 
 
+def train_mean(states: DataFrame, scaler: Scaler, options: Options) -> np.ndarray:
+    """Mean (window, feature) over the histories of all training samples, without gathering one.
+
+    A row knows from flags ahead of it in which samples it is, and at which window; means by window are combined map-side.
+    """
+    L = options.history
+    marked = with_samples(states, options).withColumn("_in", F.col("is_sample") & (F.col("split") == "train"))
+    rows = neighbours(scaler.with_vector(marked).select(*KEYS, "pos", "_in", "z"), KEYS, "pos", options.chunk_windows, 0, L - 1,
+                      lambda w: {"_at": F.array(*[F.when(F.lead("_in", k).over(w) if k else F.col("_in"), L - 1 - k) for k in range(L)])})
+    held = rows.select(F.explode(F.filter("_at", lambda x: x.isNotNull())).alias("l"), "z")
+    mean = np.zeros((L, len(scaler.names)))
+    for r in held.groupBy("l").agg(F.array(*[F.avg(F.get("z", F.lit(f))) for f in range(len(scaler.names))]).alias("m")).collect():
+        mean[r["l"]] = r["m"]
+    return mean
+
+
 def linear_shap(origins: DataFrame, scaler: Scaler, weights: np.ndarray, centre: np.ndarray, step: int = 1,
                 top_k: int = 10) -> DataFrame:
     """Exact SHAP values of a linear logit: weight x (value - background mean)."""

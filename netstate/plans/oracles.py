@@ -828,3 +828,17 @@ hs AS (SELECT source, segment, pos, {" + ".join(f"power(0.9::DOUBLE, {b}) * lag(
         f"round(1 / (1 + exp(-({(h + 1) / 6!r}::DOUBLE * 0.5 * h + {0.1 * h - 0.5!r}::DOUBLE))), 6) AS p{h + 1}, "
         f"round(1 / (1 + exp({(h + 1) / 6!r}::DOUBLE * (0.2::DOUBLE - -0.1::DOUBLE) * h + 0.2::DOUBLE)), 6) AS d{h + 1}" for h in range(6))
     + " FROM hs WHERE pos >= 11")
+
+AGAINST = SCALE + ", lv AS (" + " UNION ALL ".join(
+    f"SELECT '{f}' AS feature, '{k}' AS split, round({z(f)}, 9) AS v FROM sl, sc WHERE s_{f} > 1e-8" + (" AND split = 'train'" if k == "train" else "")
+    for f in FEATURES for k in ("train", "test")) + ")" + DRIFT[DRIFT.index(",\ned AS"):]
+add("drift_against_background", AGAINST, """SELECT feature, round(psi, 6) AS psi, round(mean_shift, 6) AS mean_shift,
+ CASE WHEN psi >= 0.25 THEN 'significant' WHEN psi >= 0.10 THEN 'moderate' ELSE 'stable' END AS level FROM dr""")
+add("linear_shap", FC + f""",
+ce AS (SELECT avg({z('flow_count')}) AS mf, avg({z('failed_flow_ratio')}) AS mr FROM sl, sc WHERE is_sample AND split = 'train'),
+c2 AS (SELECT {KEY}, {z('flow_count')} AS zf, {z('failed_flow_ratio')} AS zr, mf, mr FROM fc, sc, ce),
+pz AS (SELECT *, 1.5 * (zf - mf) AS cf, 1.0 * (zr - mr) AS cr FROM c2),
+sh AS (SELECT {KEY}, 'flow_count' AS feature, cf AS v, abs(cf) / (abs(cf) + abs(cr)) AS share, zf AS z FROM pz UNION ALL
+  SELECT {KEY}, 'failed_flow_ratio', cr, abs(cr) / (abs(cf) + abs(cr)), zr FROM pz)""",
+    f"""SELECT {KEY}, CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY abs(v) DESC, feature DESC) AS INT) AS rank, feature,
+ round(v, 6) AS shap_value, round(share, 6) AS share, round(z, 6) AS current_z FROM sh""")

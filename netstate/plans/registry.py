@@ -747,7 +747,8 @@ def drift_against_background(spark, sf):
     s = scaler(spark, sf)
     active = [n for n, a in zip(s.names, s.active) if a]
     train = sequences.with_split(regular(spark, sf), T3600).where("split = 'train'")
-    return tidy(drift.drift_table(drift.long_values(train, active, s.scaled), drift.long_values(regular(spark, sf), active, s.scaled)))
+    old, new = (drift.long_values(t, active, lambda n: F.round(s.scaled(n), 9)) for t in (train, regular(spark, sf)))
+    return tidy(drift.drift_table(old, new))
 
 
 # ------------------------------------------------------------------------------------------------- explain
@@ -772,7 +773,7 @@ def attribution_by_window(spark, sf):
 @query
 def linear_shap(spark, sf):
     s = scaler(spark, sf)
-    centre = explain.background_mean(drift.train_histories(regular(spark, sf), s, T3600), T3600, len(s.names))
+    centre = explain.train_mean(regular(spark, sf), s, T3600)
     top = explain.linear_shap(_origins(spark, sf), s, explain.closed_form_weights(scorer(spark, sf)), centre, 1, 2)
     return tidy(top)
 
