@@ -181,6 +181,9 @@ def _settled_chains(chained: DataFrame, options: Options, most: int = MOST_STATE
     """
     size = options.chunk_windows
     placed = chained.withColumn("at", F.coalesce("before_pos", F.lit(-1))).withColumn("home", chunk_of("at", size))
+    spread = placed.groupBy(*KEYS, "chain").agg((F.min("home") < F.max("home")).alias("long")).where("long")
+    if spread.isEmpty():                                            # every chain is one piece
+        return fold_sorted(chained, [*KEYS, "chain"], "stretch", _settle(options), RESOLVED)
     first, last = chunk_of("end_pos", size), chunk_of(F.col("end_pos") + options.cooldown_windows, size)
     reached = F.when(F.col("end_pos").isNotNull(), F.filter(F.sequence(first, last), lambda p: p > F.col("home")))
     pieces = placed.withColumn("piece", F.explode(F.concat(F.array("home"), F.coalesce(reached, F.array().cast("array<bigint>")))))

@@ -252,13 +252,15 @@ def false_alerts(found: DataFrame, raised: DataFrame, options: Options) -> DataF
 
 
 def lead_time(scored: DataFrame, states: DataFrame, threshold: float, options: Options,
-              dense: bool = True) -> dict[str, DataFrame]:
+              dense: bool = True, found: DataFrame | None = None) -> dict[str, DataFrame]:
     """``episodes``: outcome per episode; ``summary``: one row of counts, coverage, lead times, false alerts.
 
-    ``scored`` is the time line the alerts run on, ``states`` carries the labels to judge by.
+    ``scored`` is the time line the alerts run on, ``states`` carries the labels to judge by, ``found`` the alerts where they are
+    there already.
     """
     # both are small and read several times
-    raised = materialize(alerts(scored, threshold, options, dense=dense).select(*KEYS, "opened_pos"), "alert-openings")
+    found = alerts(scored, threshold, options, dense=dense) if found is None else found
+    raised = materialize(found.select(*KEYS, "opened_pos"), "alert-openings")
     found = materialize(episodes(states, options), "episodes")
     first = scored.groupBy(*KEYS).agg(F.min("pos").alias("first_pos"))
     outcome = episode_outcomes(found, raised, first, options)

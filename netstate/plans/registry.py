@@ -672,7 +672,7 @@ def episodes(spark, sf):
 
 
 def _lead(spark, sf) -> dict[str, DataFrame]:
-    return metrics.lead_time(scored(spark, sf), regular(spark, sf), THRESHOLD, T3600)
+    return metrics.lead_time(scored(spark, sf), regular(spark, sf), THRESHOLD, T3600, found=raised(spark, sf))
 
 
 @query
