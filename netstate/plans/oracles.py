@@ -618,7 +618,18 @@ OUT = FC + f""", fx AS (SELECT fc.source, fc.segment, fc.pos, list(st.stage ORDE
   (risk >= {THR}) = (list_max(aa) > 0) AS correct FROM fc JOIN fx USING (source, segment, pos) WHERE pos + 6 < seg_len)"""
 add("window_outcomes", OUT, "SELECT * FROM ot")
 add("wrong_outcomes", OUT, "SELECT predicted_stage, actual_stage, count(*) AS windows FROM ot WHERE NOT correct GROUP BY 1, 2")
-add("file_validation", f"{FC}, {onsets('pos + 6 < seg_len')}, {binary(thr=0.99, undefined='NULL', brier=False)}", "SELECT * FROM bm")
+
+
+def judged(rows: str, **how) -> str:
+    """Binary and ranking metrics of the score rows ``rows``, as a subquery with CTEs of its own."""
+    return f"(WITH {rows}, {binary(**how)}, {ranking(how.get('keys', ''))} SELECT bm.*, roc_auc, pr_auc FROM bm{' JOIN rk USING (step)' if 'keys' in how else ', rk'})"
+
+
+FULL = STEPS.replace("WHERE is_sample AND split = 'test'", "WHERE pos >= 11 AND pos + 6 < seg_len")
+add("file_validation", FC, f"""SELECT 'forecast' AS part, * FROM {judged(FULL, thr=0.99, undefined='NULL')}
+ UNION ALL SELECT 'onset', * FROM {judged(onsets('pos + 6 < seg_len'), thr=0.99, undefined='NULL')}""")
+add("holdout_report", FC, f"""SELECT 'forecast' AS part, * FROM {judged(STEPS)} UNION ALL SELECT 'onset', * FROM {judged(ONSET_TEST)}
+ UNION ALL SELECT 'step ' || step, * EXCLUDE (step) FROM {judged(STEP_KEY, keys='step')}""")
 
 # -------------------------------------------------------------------------------------------------- drift
 DRIFT = SCALE + ", lv AS (" + " UNION ALL ".join(

@@ -37,7 +37,7 @@ def tidy(df: DataFrame, nudge: float = 0.0) -> DataFrame:
 
 
 # ---------------------------------------------------------------- tables several queries start from, written once
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def _regular(spark: SparkSession, sf: str, seconds: int) -> DataFrame:
     options = Options(window_seconds=seconds)
     return materialize(grid.build_states(event_flows(spark, sf, options), options), "states")
@@ -47,7 +47,7 @@ def regular(spark, sf, options: Options = T3600) -> DataFrame:
     return _regular(spark, sf, options.window_seconds)
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def scaler(spark, sf) -> scaling.Scaler:
     train = sequences.with_split(regular(spark, sf), T3600).where("split = 'train'")
     return scaling.Scaler.fit(train, T3600)
@@ -57,7 +57,7 @@ def scorer(spark, sf) -> forecast.ClosedFormScorer:
     return forecast.ClosedFormScorer(scaler(spark, sf), T3600)
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def scored(spark, sf) -> DataFrame:
     """Forecast of every window with a full history, with the windows' own columns and what followed."""
     model = scorer(spark, sf)
@@ -70,7 +70,7 @@ def samples(spark, sf, split="test") -> DataFrame:
     return scored(spark, sf).where(F.col("is_sample") & (F.col("split") == split))
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def raised(spark, sf) -> DataFrame:
     return al.alerts(scored(spark, sf), THRESHOLD, T3600)
 
@@ -79,7 +79,7 @@ def found_incidents(spark, sf) -> DataFrame:
     return incidents.incidents(raised(spark, sf), regular(spark, sf), T3600)
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def background(spark, sf) -> DataFrame:
     return materialize(drift.background_sample(regular(spark, sf), scaler(spark, sf), T3600), "background")
 
@@ -709,10 +709,23 @@ def wrong_outcomes(spark, sf):
         F.count("*").alias("windows"))
 
 
+def _parts(rows: dict[str, DataFrame]) -> DataFrame:
+    return tidy(reduce(DataFrame.unionByName, [r.select(F.lit(k).alias("part"), "*") for k, r in rows.items()]))
+
+
 @query
 def file_validation(spark, sf):
-    s = metrics.onset_scores(scored(spark, sf).where(sequences.full_span(T3600)))
-    return tidy(metrics.binary_metrics(s, 0.99, undefined=None).drop("brier"))
+    """All windows of a file against its own labels: steps and onsets at a threshold so high that ratios can be undefined."""
+    out = evaluation.validate_file(regular(spark, sf), scorer(spark, sf), 0.99, T3600)
+    return _parts({k: out[k] for k in ("forecast", "onset")})
+
+
+@query
+def holdout_report(spark, sf):
+    """Steps together, each step, and onsets of the hold-out split."""
+    out = evaluation.evaluate(regular(spark, sf), scorer(spark, sf), scaler(spark, sf), THRESHOLD, T3600)
+    steps = out["per_horizon"].withColumn("part", F.format_string("step %d", "step")).drop("step")
+    return _parts({k: out[k] for k in ("forecast", "onset")}).unionByName(tidy(steps))
 
 
 @query
@@ -977,7 +990,7 @@ def linear_weight(step: int, kind: int, window: int, feature: int) -> float:
     return (step + 1) / 6 * (0.5 - 0.3 * kind) * 0.9 ** (11 - window) * ((feature * 7) % 11 - 5) / 40
 
 
-@lru_cache(maxsize=None)
+@lru_cache(maxsize=16)
 def _logistic(spark, sf) -> logistic.LogisticScorer:
     return logistic.LogisticScorer.fit(regular(spark, sf), scaler(spark, sf), forecast.CLOSED_FORM_STAGES, T3600)
 

@@ -1,8 +1,8 @@
 """Flow CSV files of any dialect -> canonical flows.
 
-Files are grouped by header and by the timestamp format that their first lines show. Every group is one plain CSV scan with
-one static projection, so column pruning works. The format found is only the first that a row tries: rows that change it
-later in the file, or spell protocols in another way, are read as well.
+Files are grouped by header and by the timestamp format that most of their rows have: one pass over the time column counts what
+times look like. Every group is then one plain CSV scan with one static projection, so column pruning works. The format found is
+only the first that a row tries: rows that change it, or spell protocols in another way, are read as well.
 """
 from __future__ import annotations
 
@@ -148,21 +148,34 @@ def parsed_time(text: Column, fmt: str) -> Column:
     return F.coalesce(*([*written, epoch] if stated else [epoch, *written]))
 
 
-def elect(samples: DataFrame, options: Options) -> DataFrame:
-    """(path, fmt) from (path, ts) sample rows: the format of time that rows of a file try first.
+def time_shapes(rows: DataFrame) -> DataFrame:
+    """(path, ts, n): what the times of a file look like, from (path, ts) rows of any number.
 
-    All values numeric: seconds or, beyond 1e11, milliseconds. Else the format that fits most rows, the earlier one
+    The date stays and every digit of the clock becomes a 1, so a file has some shapes a day; epoch numbers are 1e9 or, beyond
+    1e11, 1e12. Shapes are counted map-side.
+    """
+    text, value = F.trim("ts"), number(F.col("ts"))
+    cut = F.locate(" ", text)
+    clock = F.when(cut > 0, F.concat(F.substr(text, F.lit(1), cut), F.regexp_replace(F.substr(text, cut + 1), "[0-9]", "1"))).otherwise(text)
+    shape = F.when(value.isNotNull(), F.when(F.abs(value) > 1e11, "1000000000000").otherwise("1000000000")).otherwise(clock)
+    return rows.select("path", shape.alias("ts")).groupBy("path", "ts").agg(F.count("*").alias("n"))
+
+
+def elect(shapes: DataFrame, options: Options) -> DataFrame:
+    """(path, fmt) from :func:`time_shapes` over all rows: the format of time that rows of a file try first.
+
+    All values numeric: seconds or, if most are beyond 1e11, milliseconds. Else the format that fits most rows, the earlier one
     of equals, and an early one at once if it fits more than 98 %; below one half each row picks its own format.
     """
-    fits = [F.avg(F.try_to_timestamp(F.trim("ts"), F.lit(f)).isNotNull().cast("double")) for f in TIMESTAMP_FORMATS]
-    per = samples.groupBy("path").agg(
-        F.array(*fits).alias("fits"), F.bool_and(number(F.col("ts")).isNotNull() | F.col("ts").isNull()).alias("numeric"),
-        # at most 2000 sample rows per file
-        F.median(F.abs(number(F.col("ts")))).alias("size"))
+    n, some = F.col("n"), F.col("ts").isNotNull()
+    fits = [F.sum(F.when(F.try_to_timestamp(F.trim("ts"), F.lit(f)).isNotNull(), n).otherwise(0)) / F.sum(n) for f in TIMESTAMP_FORMATS]
+    per = shapes.groupBy("path").agg(
+        F.array(*fits).alias("fits"), F.bool_and(number(F.col("ts")).isNotNull() | ~some).alias("numeric"),
+        (2 * F.sum(F.when(number(F.col("ts")) > 1e11, n).otherwise(0)) > F.sum(F.when(some, n).otherwise(0))).alias("fine"))
     early = F.array_position(F.transform("fits", lambda x: x > 0.98), True)
     best = F.when(early > 0, early).otherwise(F.array_position("fits", F.array_max("fits"))).cast("int")
     formats = F.array(*[F.lit(f) for f in TIMESTAMP_FORMATS])
-    fmt = (F.when(F.col("numeric"), F.when(F.col("size") > 1e11, "ms").otherwise("s"))
+    fmt = (F.when(F.col("numeric"), F.when(F.col("fine"), "ms").otherwise("s"))
            .when(F.array_max("fits") >= 0.5, F.element_at(formats, best)).otherwise("mixed"))
     chosen = F.lit(options.timestamp_format) if options.timestamp_format else fmt
     return per.select("path", chosen.alias("fmt"))
@@ -224,7 +237,7 @@ def canonical(rows: DataFrame, dialect: Dialect, fmt: str, options: Options) ->
 
 def _rows(spark: SparkSession, path: str, options: Options, pattern: str, skip: bool = False, named: str = "file_name") -> DataFrame | None:
     """Canonical rows with ``problem``. ``skip``: files without the required fields are passed over, None if no file has them."""
-    heads = file_heads(find_flow_files(spark, path, pattern))
+    heads = file_heads(find_flow_files(spark, path, pattern), 0)
     listed = heads.select("path", "header").collect()          # the file listing, as any reader keeps it
     if not listed and not skip:
         raise ValueError(f"no flow files below {path}")
@@ -237,13 +250,10 @@ def _rows(spark: SparkSession, path: str, options: Options, pattern: str, skip:
             continue
         if dialect.missing:
             raise ValueError(f"{paths[0]}: required fields {dialect.missing} not found; a flow file needs {REQUIRED}")
-        lines = F.col("sample") if dialect.has_header else F.concat(F.array("header"), "sample")
-        mine = heads if len(by_dialect) == 1 else heads.where(F.col("path").isin(paths))
-        sampled = mine.select("path", F.explode(lines).alias("line")).select(
-            "path", F.from_csv("line", _columns(dialect)).alias("r")).select(
-            "path", F.col(f"r.c{dialect.fields['timestamp']}").alias("ts"))
+        times = scan(spark, sorted(paths), dialect, "file_path").select(
+            F.col("source").alias("path"), F.col(f"c{dialect.fields['timestamp']}").alias("ts"))
         groups: dict[str, list[str]] = {}
-        for r in elect(sampled, options).collect():
+        for r in elect(time_shapes(times), options).collect():        # one row a file, as the listing has
             groups.setdefault(r["fmt"], []).append(r["path"])
         empty = [p for p in paths if not any(p in g for g in groups.values())]
         parts += [canonical(scan(spark, sorted(files), dialect, named), dialect, fmt, options)

@@ -245,3 +245,16 @@ def test_flows_are_cut_by_a_chain_of_timeouts(spark):
     packets = spark.createDataFrame(rows, "capture string, packet_no long, ts double, proto int, src string, dst string, sport int, dport int")
     got = {r["packet_no"]: r["begin"]["packet_no"] for r in with_flow(packets, 90.0, 60.0).select("packet_no", "begin").collect()}
     assert got == want and len(set(want.values())) > 100
+
+
+def test_all_rows_elect_the_format(spark, tmp_path):
+    """The first 2 500 rows could be day-first or month-first; those after them tell."""
+    def lines(stamps):
+        return "".join(f"80,6,{t},1000000,1,1,10,10,1,1,1,100,Benign\n" for t in stamps)
+    month = [f"03/04/2018 08:{i // 60 % 60:02d}:{i % 60:02d}" for i in range(2500)] + [f"04/{13 + i % 15}/2018 10:00:00" for i in range(600)]
+    (tmp_path / "a.csv").write_text(HEADER + lines(month))
+    (tmp_path / "b.csv").write_text(HEADER + lines(["03/04/2018 08:00:00 AM", "13/04/2018 11:30:00 PM"] * 5))
+    (tmp_path / "c.csv").write_text(HEADER + lines([1517472000000 + i for i in range(5)]))
+    got = {r["source"]: r["t"] for r in read_flows(spark, str(tmp_path), O).groupBy("source").agg(F.min("timestamp").alias("t")).collect()}
+    assert got == {"a.csv": dt.datetime(2018, 3, 4, 8, 0, 0), "b.csv": dt.datetime(2018, 4, 3, 8, 0, 0), "c.csv": dt.datetime(2018, 2, 1, 8, 0, 0)}
+    assert read_flows(spark, str(tmp_path), O).count() == 3115
