@@ -4,7 +4,8 @@ A difference cover modulo 73 has 9 residues such that any two positions of the c
 takes both into the cover. So of two equal strings of 100 bytes, equal strings of 28 bytes begin at a covered position at the
 same shift. First the covered suffixes are grouped by their 28 bytes: that is the cover's rank as far as it matters here, and
 it leaves only suffixes near covered positions whose class has several members. Then those suffixes are ordered by their first
-100 bytes, one bucket of suffixes after the other, so that what is held and shuffled at a time is a bucket and not the corpus.
+100 bytes, one bucket of suffixes (by their first three bytes) after the other, so that what is held and shuffled at a time is a
+bucket and not the corpus.
 Within a bucket, order and ties are settled by 80-bit fingerprints of the 100 bytes instead of a walk through long common
 prefixes; all that is asked of the order is that equal strings are neighbours and the first occurrence comes first.
 """
@@ -49,6 +50,14 @@ def _sample_postings(length: int):
     return run
 
 
+def _first_bytes(raw: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of the suffix at each position, by its first three bytes: equal strings are in one bucket."""
+    lead = np.zeros(len(raw) + 2, dtype=np.uint32)
+    lead[:len(raw)] = raw
+    mark = (lead[:-2] << np.uint32(16) | lead[1:-1] << np.uint32(8) | lead[2:]) * np.uint32(0x9E3779B1)
+    return (mark >> np.uint32(16)) % np.uint32(buckets)
+
+
 def _suffix_postings(length: int, bucket: int, buckets: int):
     span = length - COVER_PERIOD + 1
 
@@ -66,13 +75,11 @@ def _suffix_postings(length: int, bucket: int, buckets: int):
                     np.add.at(near, base + np.maximum(hits - (length - span), 0), 1)
                     np.add.at(near, base + hits + 1, -1)
                 at_row += len(rows)
-                starts = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                row = np.repeat(np.arange(len(rows)), np.diff(block.offsets))[starts]
+                starts = np.flatnonzero((np.cumsum(near[:-1]) > 0) & (_first_bytes(block.bytes, buckets) == bucket))
+                row = np.searchsorted(block.offsets, starts, "right") - 1
                 fits = starts + length <= block.offsets[row + 1]
                 starts, row = starts[fits], row[fits]
                 key = Rolling(BYTE_VALUES[block.bytes]).windows(starts, length)
-                mine = key % U64(buckets) == bucket
-                starts, row, key = starts[mine], row[mine], key[mine]
                 yield {"key": key, "key2": (Rolling(BYTE_VALUES2[block.bytes], ODD2).windows(starts, length) >> np.uint32(16)).astype(np.uint16),
                        "doc": block.ids[row],
                        "place": (block.parts[row] << postings.PLACE_BITS) | (starts - block.offsets[row])}
