@@ -11,7 +11,7 @@ from netstate.operators.drift import background_sample, drift_report
 from netstate.operators.forecast import PersistenceScorer, Scorer, decoded, state_persistence_error
 from netstate.operators.logistic import LogisticScorer, training_rows
 from netstate.operators.metrics import (binary_metrics, choose_threshold, lead_time, onset_scores, stage_confusion,
-                                        stage_metrics, stage_pairs, stage_report, step_scores, window_outcomes,
+                                        stage_metrics, stage_pairs, stage_report, stage_support, step_scores, window_outcomes,
                                         with_ranking)
 from netstate.operators.scaling import Scaler
 from netstate.operators.sequences import (KEYS, full_span, new_stages, with_future,
@@ -43,7 +43,7 @@ def _binary(scores: DataFrame, threshold: float, keys=(), undefined=0.0) -> Data
 
 def evaluate(states: DataFrame, scorer: Scorer, scaler: Scaler, threshold: float, options: Options,
              label: str | None = "test") -> dict[str, DataFrame]:
-    """forecast, per_horizon, onset, stage, per_class, confusion, state_persistence, lead_time, episodes."""
+    """forecast, per_horizon, onset, stage, per_class, support, confusion, state_persistence, lead_time, episodes."""
     keep = [*KEYS, "pos", "row", "timestamp", "is_attack", "attack_prob", "future_attack", "future_stage", "risk",
             "stage_idx", "headline_stage"]
     samples = materialize(scored_samples(states, scorer, threshold, options, label).select(*keep), "samples")
@@ -53,7 +53,7 @@ def evaluate(states: DataFrame, scorer: Scorer, scaler: Scaler, threshold: float
     lead = lead_time(samples, judged, threshold, options, dense=False)
     return {"forecast": _binary(steps, threshold), "per_horizon": _binary(steps, threshold, ["step"]),
             "onset": _binary(onset_scores(samples), threshold), "stage": stage_metrics(pairs, scorer.stages),
-            "per_class": stage_report(pairs, scorer.stages), "confusion": stage_confusion(pairs, scorer.stages),
+            "per_class": stage_report(pairs, scorer.stages), "support": stage_support(pairs, scorer.stages), "confusion": stage_confusion(pairs, scorer.stages),
             "state_persistence": state_persistence_error(states, scaler, options, label),
             "lead_time": lead["summary"], "episodes": lead["episodes"]}
 

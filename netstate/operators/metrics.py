@@ -114,6 +114,20 @@ def stage_report(pairs: DataFrame, vocab: list[str]) -> DataFrame:
                       _over(2.0 * F.col("hit"), F.col("claimed") + F.col("support"), 0.0).alias("f1"), "support")
 
 
+def stage_support(pairs: DataFrame, vocab: list[str]) -> DataFrame:
+    """Every stage of the vocabulary: how often it was true and how often forecast; ``scored`` is false where it never was true.
+
+    Stages without support take no part in averages; this tells which ones these are.
+    """
+    sides = pairs.where("actual_id >= 0").select(F.inline(F.array(
+        F.struct(F.col("actual_id").cast("int").alias("id"), F.col("n").alias("support"), F.lit(0).cast("long").alias("claimed")),
+        F.struct(F.col("predicted_id").cast("int").alias("id"), F.lit(0).cast("long").alias("support"), F.col("n").alias("claimed")))))
+    counts = sides.groupBy("id").agg(F.sum("support").alias("support"), F.sum("claimed").alias("claimed"))
+    stages = pairs.sparkSession.createDataFrame(list(enumerate(vocab)), "id int, stage string")
+    both = stages.join(counts, "id", "left").fillna(0, ["support", "claimed"])
+    return both.select("stage", "support", "claimed", (F.col("support") > 0).alias("scored"))
+
+
 def stage_metrics(pairs: DataFrame, vocab: list[str]) -> DataFrame:
     """Accuracy, balanced accuracy and macro averages over the classes that occur; accuracy given an attack."""
     actual, same = F.col("actual_id"), F.col("actual_id") == F.col("predicted_id")

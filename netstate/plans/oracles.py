@@ -156,9 +156,14 @@ add("segment_prune", R300, """SELECT source, segment, count(*) AS windows, min(t
 add("segment_extremes", R300 + """, z AS (SELECT source, segment, count(*) AS windows FROM st GROUP BY 1, 2)""",
     """(SELECT *, 'shortest' AS "end" FROM z ORDER BY windows, source, segment LIMIT 10) UNION ALL
 (SELECT *, 'longest' AS "end" FROM z ORDER BY windows DESC, source, segment LIMIT 5)""")
+FLOW_SUMS = {"dst_port": "dst_port", "flow_duration": "dur", "fwd_packets": "fp", "bwd_packets": "bp", "fwd_bytes": "fb", "bwd_bytes": "bb",
+             "iat_mean": "iatm", "iat_std": "iats", "iat_max": "iatx", "win_fwd": "win", "ttl": "ttl", "retransmissions": "retr",
+             "pktlen_mean": "plm", "pktlen_std": "pls", **{x: x for x in ("syn", "ack", "rst", "fin", "psh", "urg", "src_port")}}
 for name in ("csv_ingest", "csv_ingest_mixed"):
-    add(name, FLOWS, """SELECT protocol, stage, count(*) AS flows, round(sum(dur), 6) AS dur, sum(fb) AS fb,
- sum(win) AS win, count(DISTINCT src_ip) AS sources, min(date_trunc('second', timestamp)) AS first FROM f GROUP BY 1, 2""")
+    add(name, FLOWS, "SELECT protocol, stage, raw_label, count(*) AS flows, " + ", ".join(
+        f"round(sum({x}) + 1e-9, 6) AS {n}" for n, x in FLOW_SUMS.items()) + """, count(DISTINCT src_ip) AS sources,
+ count(DISTINCT dst_ip) AS targets, min(date_trunc('second', timestamp)) AS first, max(date_trunc('second', timestamp)) AS last
+ FROM f GROUP BY 1, 2, 3""")
 
 
 def spoilt() -> str:
@@ -553,6 +558,8 @@ PAIRS = FC + f""", pa AS (SELECT t, q, count(*) AS n FROM (SELECT unnest(ss) AS
  rp AS (SELECT {VOCAB}[i + 1] AS stage, CASE WHEN cl > 0 THEN hit / cl ELSE 0 END AS precision, hit / sup AS recall,
    2.0 * hit / (cl + sup) AS f1, CAST(sup AS BIGINT) AS support FROM kl WHERE sup > 0)"""
 add("stage_confusion", PAIRS, f"SELECT {VOCAB}[t + 1] AS true_stage, {VOCAB}[q + 1] AS predicted_stage, n FROM pa WHERE t >= 0")
+add("stage_support", PAIRS, f"""SELECT {VOCAB}[i + 1] AS stage, CAST(sup AS BIGINT) AS support, CAST(cl AS BIGINT) AS claimed, sup > 0 AS scored FROM kl
+ UNION ALL SELECT 'Exfiltration', 0, 0, false""")
 add("stage_report", PAIRS, "SELECT stage, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM rp")
 add("stage_metrics", PAIRS, """SELECT round(sum(n) FILTER (t = q) / sum(n) FILTER (t >= 0), 6) AS accuracy,
  CAST(coalesce(sum(n) FILTER (t < 0), 0) AS BIGINT) AS unseen_stage_samples,

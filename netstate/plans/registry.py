@@ -16,7 +16,7 @@ from netstate.operators import analysis, chunks, drift, evaluation, explain, for
 from netstate.operators import quality, scaling, scenarios, sequences, states, views
 from netstate.operators.sequences import KEYS
 from netstate.plans.events import event_flows, flows_of_events
-from netstate.schema import feature_names
+from netstate.schema import FLOW_NUMBERS, feature_names
 from netstate.session import materialize, shared_folder
 
 T3600, G600, G300 = (Options(window_seconds=s) for s in (3600, 600, 300))
@@ -137,23 +137,30 @@ def segment_extremes(spark, sf):
 
 
 def _flow_text(flows: DataFrame, time, protocol) -> DataFrame:
+    """Every field of a flow under the column names of a flow CSV; times in microseconds, missing windows as -1."""
+    named = {"fwd_packets": "Tot Fwd Pkts", "bwd_packets": "Tot Bwd Pkts", "fwd_bytes": "TotLen Fwd Pkts", "bwd_bytes": "TotLen Bwd Pkts",
+             "pktlen_mean": "Pkt Len Mean", "pktlen_std": "Pkt Len Std", "ttl": "TTL", "retransmissions": "Retransmission Count",
+             "src_ip": "Src IP", "dst_ip": "Dst IP", "src_port": "Src Port", "raw_label": "Label",
+             **{f: f"{f.upper()} Flag Cnt" for f in states.FLAGS}}
+    micros = {"flow_duration": "Flow Duration", "iat_mean": "Flow IAT Mean", "iat_std": "Flow IAT Std", "iat_max": "Flow IAT Max"}
     return flows.select(
         "source", F.col("dst_port").cast("int").alias("Dst Port"), protocol.alias("Protocol"), time.alias("Timestamp"),
-        (F.col("flow_duration") * 1e6).alias("Flow Duration"),
-        F.col("fwd_packets").alias("Tot Fwd Pkts"), F.col("bwd_packets").alias("Tot Bwd Pkts"), F.col("fwd_bytes").alias("TotLen Fwd Pkts"),
-        F.col("bwd_bytes").alias("TotLen Bwd Pkts"), F.coalesce("win_fwd", F.lit(-1.0)).alias("Init Fwd Win Byts"),
-        F.col("src_ip").alias("Src IP"), F.col("dst_ip").alias("Dst IP"), F.col("raw_label").alias("Label"))
+        *[(F.col(c) * 1e6).alias(n) for c, n in micros.items()], *[F.col(c).alias(n) for c, n in named.items()],
+        F.coalesce("win_fwd", F.lit(-1.0)).alias("Init Fwd Win Byts"))
 
 
 def _ingested(spark: SparkSession, text: DataFrame) -> DataFrame:
+    """Sums of every number that comes back, with the addresses and times next to them."""
     import uuid
 
     from netstate.sources.flow_csv import read_flows
     path = f"{shared_folder(spark)}/flow-csv-{uuid.uuid4().hex}"
     text.write.partitionBy("source").option("header", "true").csv(path)
-    return tidy(read_flows(spark, path, Options()).groupBy("protocol", "stage").agg(
-        F.count("*").alias("flows"), F.sum("flow_duration").alias("dur"), F.sum("fwd_bytes").alias("fb"), F.sum("win_fwd").alias("win"),
-        F.countDistinct("src_ip").alias("sources"), F.min("timestamp").alias("first")))
+    sums = [c for c in FLOW_NUMBERS if c != "protocol"]
+    return tidy(read_flows(spark, path, Options()).groupBy("protocol", "stage", "raw_label").agg(
+        F.count("*").alias("flows"), *[F.sum(c).alias(c) for c in [*sums, "src_port"]],
+        F.countDistinct("src_ip").alias("sources"), F.countDistinct("dst_ip").alias("targets"),
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), NUDGE)
 
 
 @query
@@ -637,6 +644,12 @@ def stage_report(spark, sf):
     return tidy(metrics.stage_report(metrics.stage_pairs(samples(spark, sf)), forecast.CLOSED_FORM_STAGES))
 
 
+@query
+def stage_support(spark, sf):
+    """With a stage that never occurs and is never forecast."""
+    return metrics.stage_support(metrics.stage_pairs(samples(spark, sf)), [*forecast.CLOSED_FORM_STAGES, "Exfiltration"])
+
+
 @query
 def stage_metrics(spark, sf):
     return tidy(metrics.stage_metrics(metrics.stage_pairs(samples(spark, sf)), forecast.CLOSED_FORM_STAGES))

@@ -117,6 +117,12 @@ def test_incidents_keep_triage(spark):
         incidents.triage_event(spark, "INC-1", "Closed", "", moment(0), 1)
 
 
+def test_stages_without_support_are_named(spark):
+    pairs = spark.createDataFrame([(0, 0, 1), (0, 1, 1), (1, 1, 2), (-1, 1, 4)], "actual_id int, predicted_id int, n long")
+    got = {r["stage"]: tuple(r)[1:] for r in metrics.stage_support(pairs, ["Benign", "Initial Access", "Impact"]).collect()}
+    assert got == {"Benign": (2, 1, True), "Initial Access": (2, 3, True), "Impact": (0, 0, False)}
+
+
 def test_a_saved_forecaster_scores_alike(spark, sf, tmp_path):
     from netstate.operators.logistic import LogisticScorer
     from netstate.plans import registry as q
