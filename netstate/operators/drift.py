@@ -25,12 +25,6 @@ def background_sample(states: DataFrame, scaler: Scaler, options: Options, size:
     return history_of(states, picked, scaler.vector(), options, few=True)
 
 
-def train_histories(states: DataFrame, scaler: Scaler, options: Options) -> DataFrame:
-    """Every train history in model space (source, segment, pos, history)."""
-    picked = with_samples(states, options).where("is_sample and split = 'train'").select(*KEYS, "pos")
-    return history_of(states, picked, scaler.vector(), options)
-
-
 def long_values(states: DataFrame, names: list[str], value) -> DataFrame:
     """(feature, value) rows."""
     return states.select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), value(n).alias("value"))

@@ -106,12 +106,16 @@ def score_other_data(other: DataFrame, train: DataFrame, scorer: Scorer, scaler:
     return out
 
 
+#: Old samples that are replayed: as many as there are new ones, within these bounds.
+REPLAY_LEAST, REPLAY_MOST = 2_000, 20_000
+
+
 def retrain(new: DataFrame, old: DataFrame, current: Scorer, scaler: Scaler, threshold: float, options: Options,
             iterations: int = 300, min_windows: int = 600) -> dict:
     """Candidate forecaster from new labelled data with replayed old samples, next to the current one.
 
     The scaler stays; the vocabulary grows by new stages; the threshold is the mean of the old and a newly calibrated
-    one. Returns the candidate, its threshold and a comparison on the hold-outs of the new and the old data.
+    one. Old samples are drawn, ``REPLAY_LEAST`` to ``REPLAY_MOST`` of them. Returns the candidate, its threshold and a comparison on the hold-outs of the new and the old data.
     """
     size = new.agg(F.count("*").alias("n"), F.count_if("is_attack").alias("a")).first()
     if size["a"] == 0:
@@ -120,9 +124,9 @@ def retrain(new: DataFrame, old: DataFrame, current: Scorer, scaler: Scaler, thr
         raise ValueError(f"at least {min_windows} labelled windows are needed, got {size['n']}")
     added = [r["stage"] for r in new_stages(new, current.stages, options).orderBy("id").collect()]
     vocab = [*current.stages, *added]
-    n_new = training_rows(new, scaler, vocab, options).count()
-    replay = training_rows(old, scaler, vocab, options, cap=min(max(n_new, 2000), 20_000))
-    candidate = LogisticScorer.fit(new, scaler, vocab, options, iterations, extra=replay)
+    rows = materialize(training_rows(new, scaler, vocab, options), "new-rows")
+    replay = training_rows(old, scaler, vocab, options, cap=min(max(rows.count(), REPLAY_LEAST), REPLAY_MOST))
+    candidate = LogisticScorer.fit(new, scaler, vocab, options, iterations, rows=rows.unionByName(replay))
     chosen = calibrate(new, candidate, options, fallback=threshold).first()
     mixed = (chosen["threshold"] + threshold) / 2
     own = threshold if chosen["method"] == "fallback" else min(max(mixed, 0.05), 0.95)

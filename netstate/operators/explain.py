@@ -100,15 +100,6 @@ def window_shares(origins: DataFrame, weights: np.ndarray, step: int = 1) -> Dat
             .select(*KEYS, "pos", (F.col("_i") - (L - 1)).alias("offset"), (F.col("_m") / F.col("_total")).alias("share")))
 
 
-def background_mean(background: DataFrame, options: Options, features: int) -> np.ndarray:
-    """Mean (window, feature) of background histories, however many."""
-    long = background.select(F.posexplode("history").alias("l", "z")).select("l", F.posexplode("z").alias("f", "v"))
-    mean = np.zeros((options.history, features))
-    for r in long.groupBy("l", "f").agg(F.avg("v").alias("v")).collect():
-        mean[r["l"], r["f"]] = r["v"]
-    return mean
-
-
 def train_mean(states: DataFrame, scaler: Scaler, options: Options) -> np.ndarray:
     """Mean (window, feature) over the histories of all training samples, without gathering one.
 

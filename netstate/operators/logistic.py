@@ -65,11 +65,9 @@ class LogisticScorer:
 
     @staticmethod
     def fit(states: DataFrame, scaler: Scaler, vocab: list[str], options: Options, iterations: int = ITERATIONS,
-            cap: int = SAMPLE_CAP, with_stages: bool = True, extra: DataFrame | None = None) -> "LogisticScorer":
-        """``extra``: more training rows of the same shape, for example replayed old samples."""
-        rows = training_rows(states, scaler, vocab, options, cap=cap)
-        if extra is not None:
-            rows = rows.unionByName(extra)
+            cap: int = SAMPLE_CAP, with_stages: bool = True, rows: DataFrame | None = None) -> "LogisticScorer":
+        """``rows``: training rows that are there already, for example with replayed old samples."""
+        rows = training_rows(states, scaler, vocab, options, cap=cap) if rows is None else rows
         rows = materialize(rows, "training-rows").withColumn("x", array_to_vector("flat")).cache()
         H, L, size, S = options.horizon, options.history, len(scaler.names), len(vocab)
         counts = rows.agg(F.count("*").alias("n"), *[F.sum(F.element_at("future_attack", k)).alias(f"p{k}")

@@ -128,15 +128,20 @@ def with_history(df: DataFrame, column: str, options: Options, into: str = "hist
                       lambda w: {into: F.collect_list(column).over(w.rowsBetween(1 - L, 0))})
 
 
+#: Up to so many origins are sent to all tasks, each with the windows that it looks back on.
+FEW = 50_000
+
+
 def history_of(states: DataFrame, origins: DataFrame, value: Column, options: Options, into: str = "history",
                few: bool = False) -> DataFrame:
     """(source, segment, pos, ``into``) for chosen origins only: their last L values of ``value``, oldest first.
 
     Only the windows the origins look back on are touched, and ``value`` is worked out for those. They are dealt out by stretches of
     positions, and histories are collected where the rows lie: a value is shuffled once, not once for each origin that sees it.
-    ``few``: the origins are bounded by a sample size, so they are sent to the states instead of the other way round.
+    ``few``: the origins are a sample; if there are at most ``FEW``, they are sent to the states instead of the other way round.
     """
     L = options.history
+    few = few and origins.count() <= FEW
     marks = origins.select(*KEYS, "pos").distinct()
     seen = marks.select(*KEYS, F.explode(F.sequence(F.col("pos") - (L - 1), F.col("pos"))).alias("pos"), (F.col("pos")).alias("_origin"))
     wanted = seen.groupBy(*KEYS, "pos").agg(F.bool_or(F.col("pos") == F.col("_origin")).alias("_mark"))

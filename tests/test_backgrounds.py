@@ -1,7 +1,8 @@
 """Registered drift, SHAP and trained queries use all training data and the operators' own settings."""
+import numpy as np
 import pytest
 
-from netstate.operators import drift, logistic, sequences
+from netstate.operators import explain, logistic, sequences
 from netstate.plans import registry as q
 
 
@@ -10,8 +11,11 @@ def test_references_are_the_whole_train_split(spark, sf, monkeypatch):
         raise AssertionError("a bounded sample was taken")
     monkeypatch.setattr(q, "background", no_sample)
     assert q.drift_against_background(spark, sf).count() > 0 and q.linear_shap(spark, sf).count() > 0
-    rows = sequences.with_samples(q.regular(spark, sf), q.T3600).where("is_sample and split = 'train'")
-    assert drift.train_histories(q.regular(spark, sf), q.scaler(spark, sf), q.T3600).count() == rows.count() > 100
+    table, fitted, L = q.regular(spark, sf), q.scaler(spark, sf), q.T3600.history
+    z = {tuple(r)[:3]: r["z"] for r in fitted.with_vector(table).select(*q.KEYS, "pos", "z").collect()}
+    ends = [tuple(r) for r in sequences.with_samples(table, q.T3600).where("is_sample and split = 'train'").select(*q.KEYS, "pos").collect()]
+    want = np.mean([[z[a, b, p - L + 1 + k] for k in range(L)] for a, b, p in ends], axis=0)
+    assert len(ends) > 100 and np.allclose(explain.train_mean(table, fitted, q.T3600), want)
 
 
 def test_trained_queries_keep_the_defaults(spark, sf, monkeypatch):
