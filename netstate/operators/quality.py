@@ -113,21 +113,24 @@ FAN = 1024
 
 
 def _root(leaves: DataFrame, keys: list[str], place: str, fan: int) -> DataFrame:
-    """(keys, leaves, digest): the root of a tree of SHA-256 digests over ``leaves`` (keys, ``place``, digest).
+    """(keys, leaves, digest): the root of a tree of SHA-256 digests over ``leaves`` (keys, ``place``, digest), one for each key.
 
     ``fan`` neighbours by ``place``, which counts from 0 but may have holes, are hashed together, level by level, until one is
-    left; no array holds more than ``fan`` digests.
+    left; no array holds more than ``fan`` digests. The depth of a tree depends on its own leaves only.
     """
-    top = leaves.agg(F.max(place)).first()[0] or 0
-    level = leaves.select(*keys, F.col(place).alias("_at"), "digest", F.lit(1).cast("long").alias("leaves"))
+    tops = leaves.groupBy(*keys).agg(F.max(place).alias("_top"))
+    highest = tops.agg(F.max("_top")).first()[0] or 0
+    with_top = leaves.join(tops, keys) if keys else leaves.withColumn("_top", F.lit(highest))
+    level = with_top.select(*keys, F.col(place).alias("_at"), "digest", F.lit(1).cast("long").alias("leaves"), "_top", F.lit(False).alias("_done"))
     while True:
         entries = F.sort_array(F.collect_list(F.struct("_at", "digest")))
-        level = level.withColumn("_up", F.floor(F.col("_at") / fan)).groupBy(*keys, "_up").agg(
-            F.sha2(F.array_join(F.transform(entries, lambda e: e["digest"]), ""), 256).alias("digest"),
-            F.sum("leaves").alias("leaves")).withColumnRenamed("_up", "_at")
-        if top < fan:
-            return level.drop("_at")
-        top //= fan
+        node = F.sha2(F.array_join(F.transform(entries, lambda e: e["digest"]), ""), 256)
+        level = level.groupBy(*keys, F.floor(F.col("_at") / fan).alias("_up")).agg(
+            F.when(F.bool_or("_done"), F.max("digest")).otherwise(node).alias("digest"), F.sum("leaves").alias("leaves"),
+            F.floor(F.max("_top") / fan).alias("_top"), (F.bool_or("_done") | (F.max("_top") < fan)).alias("_done")).withColumnRenamed("_up", "_at")
+        if highest < fan:
+            return level.select(*keys, "leaves", "digest")
+        highest //= fan
 
 
 def file_digests(spark: SparkSession, path: str, block_bytes: int = 8 << 20, fan: int = FAN) -> DataFrame:
