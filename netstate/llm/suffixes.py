@@ -4,7 +4,7 @@ A difference cover modulo 73 has 9 residues such that any two positions of the c
 takes both into the cover. So of two equal strings of 100 bytes, equal strings of 28 bytes begin at a covered position at the
 same shift. First the covered suffixes are grouped by their 28 bytes: that is the cover's rank as far as it matters here, and
 it leaves only suffixes near covered positions whose class has several members. Then those suffixes are ordered by their first
-100 bytes, one bucket of suffixes (by their first three bytes) after the other, so that what is held and shuffled at a time is a
+100 bytes, one bucket of suffixes (by their first two bytes) after the other, so that what is held and shuffled at a time is a
 bucket and not the corpus.
 Within a bucket, order and ties are settled by 80-bit fingerprints of the 100 bytes instead of a walk through long common
 prefixes; all that is asked of the order is that equal strings are neighbours and the first occurrence comes first.
@@ -51,11 +51,11 @@ def _sample_postings(length: int):
 
 
 def _first_bytes(raw: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of the suffix at each position, by its first three bytes: equal strings are in one bucket."""
-    lead = np.zeros(len(raw) + 2, dtype=np.uint32)
-    lead[:len(raw)] = raw
-    mark = (lead[:-2] << np.uint32(16) | lead[1:-1] << np.uint32(8) | lead[2:]) * np.uint32(0x9E3779B1)
-    return (mark >> np.uint32(16)) % np.uint32(buckets)
+    """Bucket of the suffix at each position, by its first two bytes: equal strings are in one bucket."""
+    table = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(16)) % np.uint32(buckets)).astype(np.uint8)
+    lead = raw.astype(np.uint16) << np.uint16(8)
+    lead[:-1] |= raw[1:]
+    return table[lead]
 
 
 def _suffix_postings(length: int, bucket: int, buckets: int):

@@ -358,3 +358,29 @@ def test_null_and_repeated_ids(spark, tmp_path, name):
         assert got
     else:
         assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == len(rows) // 4
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Planted pairs that are just alike enough, of texts of several lengths: none may be lost to bands or estimates."""
+    draw = random.Random(11)
+    rows, pairs = [], []
+
+    def shingles(w):
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    for n in (40, 120, 400, 1500):
+        while len([p for p in pairs if p[2] == n]) < 60:
+            base = [f"w{draw.randrange(10 ** 6)}" for _ in range(n)]
+            near = list(base)
+            while True:                                              # edits as long as the pair stays a link
+                tried = list(near)
+                tried[draw.randrange(n)] = f"x{draw.randrange(10 ** 6)}"
+                a, b = shingles(base), shingles(tried)
+                if 100 * len(a & b) < 85 * len(a | b):
+                    break
+                near = tried
+            pairs.append((len(rows), len(rows) + 1, n))
+            rows += [" ".join(base), " ".join(near)]
+    got = {r.doc_id: r.component_id for r in neardups.near_digest(docs_of(spark, rows)).collect()}
+    assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
+    assert len(set(got.values())) == len(pairs)
