@@ -156,14 +156,18 @@ def by_value_chunks(df: DataFrame, keys: Sequence[str], value: str, most: int |
             "_vchunk", F.col("_vchunk") * (2 * RANGE_PARTS) + F.when(F.col("_cuts").isNull(), 0).otherwise(inner)).drop("_cuts")
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """A written table (keys, value, ``_n``) of the values that aren't null."""
+    return materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")), "value-counts")
+
+
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
-    """Exact linear-interpolated quantiles per key: (keys, i, q), ``i`` numbering ``probabilities`` from 0.
+    """Exact linear-interpolated quantiles per key: (keys, i, q), ``i`` numbering ``probabilities`` from 0."""
+    return counted_quantiles(value_counts(df, keys, value), keys, value, probabilities)
 
-    Values are counted first and the counts written, as three steps read them; they are ranked with :func:`running`, and
-    only the rows that hold a wanted rank go on.
-    """
-    counted = materialize(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n")),
-                          "value-counts")
+
+def counted_quantiles(counted: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """As :func:`quantiles`, of :func:`value_counts`: ranked with :func:`running`, and only rows that hold a wanted rank go on."""
     ranked = running(by_value_chunks(counted, keys, value), keys, [value], F.col("_vchunk"),
                      sums={"_upto": F.col("_n")}, totals={"_all": F.col("_n")})
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_all") - 1)).alias("at"))

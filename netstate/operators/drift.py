@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netstate.config import Options
-from netstate.operators.chunks import quantiles
+from netstate.operators.chunks import counted_quantiles, value_counts
 from netstate.operators.scaling import Scaler
 from netstate.operators.sequences import KEYS, history_of, with_samples
 from netstate.session import materialize
@@ -35,28 +35,35 @@ def _level(psi: Column) -> Column:
     return F.when(psi >= 0.25, "significant").when(psi >= 0.10, "moderate").otherwise("stable")
 
 
-def reference_edges(reference: DataFrame) -> DataFrame:
-    """Distinct decile edges, size and mean per feature of a (feature, value) table of any size; one row per feature."""
-    deciles = quantiles(reference, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
+def reference_edges(counted: DataFrame) -> DataFrame:
+    """Distinct decile edges, size and mean per feature, from counted (feature, value, _n) rows; one row per feature."""
+    deciles = counted_quantiles(counted, ["feature"], "value", [i / BINS for i in range(BINS + 1)])
     edges = deciles.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("q"))).alias("edges"))
-    stats = reference.groupBy("feature").agg(F.avg("value").alias("ref_mean"), F.count("value").alias("ref_n"))
-    return edges.join(stats, "feature")
+    return edges.join(_totals(counted, "ref_mean", "ref_n"), "feature")
 
 
-def _histogram(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+def _totals(counted: DataFrame, mean: str, n: str) -> DataFrame:
+    return counted.groupBy("feature").agg((F.sum(F.col("value") * F.col("_n")) / F.sum("_n")).alias(mean), F.sum("_n").alias(n))
+
+
+def _histogram(counted: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """Counts per (feature, bin); the outer bins are open."""
     inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    return (rows.join(F.broadcast(edges), "feature")
-            .select("feature", F.size(F.filter(inner, lambda e: e <= F.col("value"))).alias("bin"))
-            .groupBy("feature", "bin").agg(F.count("*").alias(name)))
+    return (counted.join(F.broadcast(edges), "feature")
+            .select("feature", "_n", F.size(F.filter(inner, lambda e: e <= F.col("value"))).alias("bin"))
+            .groupBy("feature", "bin").agg(F.sum("_n").alias(name)))
 
 
 def drift_table(reference: DataFrame, new: DataFrame) -> DataFrame:
-    """Population stability index and mean shift per feature of two (feature, value) tables, with a level."""
+    """Population stability index and mean shift per feature of two (feature, value) tables, with a level.
+
+    Either table is read once: its values are counted, and edges, means and bins come from the counts.
+    """
+    reference, new = (value_counts(side, ["feature"], "value") for side in (reference, new))
     edges = materialize(reference_edges(reference), "drift-edges")
     bins = edges.select("feature", F.explode(F.sequence(F.lit(0), F.greatest(F.size("edges") - 2, F.lit(0)))
                                              ).alias("bin"))
-    totals = new.groupBy("feature").agg(F.avg("value").alias("new_mean"), F.count("value").alias("new_n"))
+    totals = _totals(new, "new_mean", "new_n")
     joined = (bins.join(_histogram(reference, edges, "r"), ["feature", "bin"], "left")
               .join(_histogram(new, edges, "x"), ["feature", "bin"], "left")
               .join(edges, "feature").join(totals, "feature"))
