@@ -16,12 +16,11 @@ BINS = 10
 def background_sample(states: DataFrame, scaler: Scaler, options: Options, size: int = 100) -> DataFrame:
     """A fixed-size sample of train histories in model space (source, segment, pos, history).
 
-    Rows are picked by a seeded hash of their key, so the choice does not depend on partitioning; only the picked
-    positions gather their history.
+    Rows are picked by the MD5 of the seed and their key, so the choice depends on neither partitioning nor engine; only the
+    picked positions gather their history.
     """
-    picked = (with_samples(states, options).where("is_sample and split = 'train'")
-              .orderBy(F.xxhash64(F.lit(options.seed), *KEYS, "pos"), *KEYS, "pos").limit(size)
-              .select(*KEYS, "pos"))
+    draw = F.md5(F.concat_ws("|", F.lit(str(options.seed)), *[F.col(k).cast("string") for k in (*KEYS, "pos")]))
+    picked = with_samples(states, options).where("is_sample and split = 'train'").orderBy(draw).limit(size).select(*KEYS, "pos")
     return history_of(states, picked, scaler.vector(), options, few=True)
 
 

@@ -860,3 +860,5 @@ sh AS (SELECT {KEY}, 'flow_count' AS feature, cf AS v, abs(cf) / (abs(cf) + abs(
   SELECT {KEY}, 'failed_flow_ratio', cr, abs(cr) / (abs(cf) + abs(cr)), zr FROM pz)""",
     f"""SELECT {KEY}, CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY abs(v) DESC, feature DESC) AS INT) AS rank, feature,
  round(v, 6) AS shap_value, round(share, 6) AS share, round(z, 6) AS current_z FROM sh""")
+add("background_sample", SPLIT, f"""SELECT source, segment, pos, 12 AS windows FROM sl WHERE is_sample AND split = 'train'
+ ORDER BY md5('{O.seed}|' || source || '|' || segment || '|' || pos) LIMIT 100""")
