@@ -11,7 +11,8 @@ registers of a union are the larger ones of the two (mergeable), equal registers
 3. The joint estimate drops what is far below the threshold; the rest is confirmed on the full sets; components follow.
 4. Buckets that still hold several components: members outside the largest one are compared with the members of others that
    have enough shingles in common with anybody: shingles that no other member has are in no intersection, which bounds every
-   similarity of a member from above. So no pair of different components that shares enough buckets and can reach the
+   similarity of a member from above. How much of a member is in the set of its bucket's centre is counted, one pair a member,
+   and bounds a pair more tightly: edited copies of a text that share no edits are sorted out without being compared. So no pair of different components that shares enough buckets and can reach the
    threshold is left out, a bucket of thousands of copies costs one row a copy, and edited copies that are like nothing else
    cost nothing.
 
@@ -160,31 +161,37 @@ def _plausible(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame:
-    """Pairs (a, b) of class representatives with 100 x intersection >= percent x union of their full sets."""
+def _intersections(pairs: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """(a, b, n_a, n_b, same) of pairs of class representatives: sizes of their full sets and of the intersection."""
     def sets_of(batches):
         for rows in blocks(batches):
             yield pa.record_batch({"doc_id": pa.array([r[0] for r in rows], pa.int64()),
                                    "shingles": pa.array([s.tobytes() for s in shingle_sets(rows, shingle)], pa.binary())})
 
-    def check(batches):
+    def meet(batches):
         for batch in batches:
-            ok = []
+            counts = []
             for x, y in zip(batch.column("x"), batch.column("y")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=U64) for v in (x, y))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+                counts.append((len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))))
+            found = [pa.array(c, pa.int64()) for c in zip(*counts)] or [pa.array([], pa.int64())] * 3
+            yield pa.record_batch([*batch.select(["a", "b"]).columns, *found], names=["a", "b", "n_a", "n_b", "same"])
 
     needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(reps.select("rep", "part"), "rep")
     sets = materialize(docs.select("doc_id", "part", "text").join(needed.toDF("doc_id", "part"), ["doc_id", "part"])
                        .mapInArrow(sets_of, "doc_id bigint, shingles binary"), "shingle-sets")
     both = (pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y"))
-    out = materialize(both.mapInArrow(check, "a bigint, b bigint"), "near-links")
+    out = materialize(both.mapInArrow(meet, "a bigint, b bigint, n_a bigint, n_b bigint, same bigint"), "near-links")
     discard(sets)
     return out
 
 
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Pairs (a, b) of class representatives with 100 x intersection >= percent x union of their full sets."""
+    found = _intersections(pairs, docs, reps, shingle)
+    return found.where(f"100 * same >= {percent} * (n_a + n_b - same)").select("a", "b")
+
+
 def _private(members: DataFrame, docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
     """(rep, private): how many shingles of a member no other of ``members`` has; those without any are left out."""
     def run(batches):
@@ -224,8 +231,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     same = own.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
     links = _confirmed(materialize(_plausible(tested, classes, percent), "plausible"), docs, classes, percent, shingle)
     root = materialize(components(links), "roots")
-    placed = members.select("band", "rep").join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
-        "band", "rep", F.coalesce("root", "rep").alias("root"))
+    placed = members.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
+        "band", "rep", "a", F.coalesce("root", "rep").alias("root"))
     count = placed.groupBy("band", "root").count().groupBy("band").agg(
         F.max_by("root", F.struct("count", "root")).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
     several = materialize(placed.join(count.drop("kinds"), "band"), "mixed-bands")
@@ -233,15 +240,22 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle: int = SHINGLE)
     shared = classes.select("rep", F.col("n_shingles").alias("n")).join(private, "rep", "left").select(
         "rep", "n", (F.col("n") - F.coalesce("private", F.lit(0))).alias("common"))
     open_bands = materialize(several.join(shared.where(f"100 * common >= {percent} * n"), "rep"), "open-bands")
+    # Of a pair's intersection, what lies in the set of the bucket's centre is at most what either has of it, and the rest
+    # at most what either shares with others outside it. (The centre is a member, so what it holds is shared.)
+    meets = _intersections(open_bands.where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), docs, classes, shingle)
+    inner = open_bands.join(meets.select("a", F.col("b").alias("rep"), "same"), ["a", "rep"], "left").withColumn(
+        "inner", F.coalesce("same", "n")).withColumn("outer", F.col("common") - F.col("inner"))
     # A pair comes out once, in the first bucket that it shares and in one order: all of its buckets are among these, since
     # a bucket of two components is open to both.
-    side = open_bands.join(classes.select("rep", "bands"), "rep")
+    side = inner.join(classes.select("rep", "bands"), "rep")
     both_in = F.array_intersect("bands_x", "bands_y")
-    x = side.where("root <> top").select("band", "top", *[F.col(c).alias(f"{c}_x") for c in ("rep", "root", "n", "common", "bands")])
-    y = side.select("band", *[F.col(c).alias(f"{c}_y") for c in ("rep", "root", "n", "common", "bands")])
+    most = "(least(inner_x, inner_y) + least(outer_x, outer_y))"
+    held = ("rep", "root", "n", "inner", "outer", "bands")
+    x = side.where("root <> top").select("band", "top", *[F.col(c).alias(f"{c}_x") for c in held])
+    y = side.select("band", *[F.col(c).alias(f"{c}_y") for c in held])
     cross = (x.join(y, "band")
              .where("root_x <> root_y and (root_y = top or rep_x < rep_y)")
-             .where(f"100 * least(common_x, common_y) >= {percent} * (n_x + n_y - least(common_x, common_y))")
+             .where(f"100 * {most} >= {percent} * (n_x + n_y - {most})")
              .where((F.array_min(both_in) == F.col("band")) & (F.size(both_in) >= least_bands(percent)))
              .select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
              .join(tested, ["a", "b"], "left_anti"))

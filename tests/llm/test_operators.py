@@ -384,3 +384,29 @@ def test_pairs_at_the_threshold_are_found(spark):
     got = {r.doc_id: r.component_id for r in neardups.near_digest(docs_of(spark, rows)).collect()}
     assert [p for p in pairs if got[p[0]] != got[p[1]]] == []
     assert len(set(got.values())) == len(pairs)
+
+
+def test_family_of_edited_copies_is_not_compared_in_pairs(spark, monkeypatch):
+    """Copies too far from their text share an edit with one other each, so they aren't alone; only few pairs may be like enough."""
+    base = [f"w{i}" for i in range(150)]
+
+    def with_edits(*edits):
+        return " ".join({k: name for k, name in edits}.get(i, w) for i, w in enumerate(base))
+
+    texts = [" ".join(base)] + [with_edits((3 * i + 10, f"near{i}")) for i in range(40)]
+    for i in range(5):
+        shared = (20, f"both{i}")
+        texts += [with_edits(shared, (50 + i, f"one{i}"), (90 + i, f"two{i}")), with_edits(shared, (60 + i, f"three{i}"), (110 + i, f"four{i}"))]
+    alike = len(texts)
+    texts += [with_edits((30, "same"), (60, "as"), (90, "here")), with_edits((30, "same"), (60, "as"), (120, "there"))]
+    asked = []
+
+    def counted(pairs, reps, percent, plausible=neardups._plausible):
+        asked.append(pairs.count())
+        return plausible(pairs, reps, percent)
+
+    monkeypatch.setattr(neardups, "_plausible", counted)
+    got = {r.doc_id: r.component_id for r in neardups.near_digest(docs_of(spark, texts)).collect()}
+    assert [got[d] for d in range(41)] == [0] * 41 and got[alike + 1] == alike
+    assert all(got[d] == d for d in range(41, alike + 1))
+    assert len(asked) == 2 and asked[1] <= 100
