@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -125,24 +126,32 @@ class Automaton:
 
     def word(self, raw: bytes) -> list[int]:
         """Tokens of a pre-split word: the one path through the automaton that spells it."""
-        n, arc, size, shorter = len(raw), self.arc, self.size, self.shorter
+        n, table, size, longest = len(raw), self.table, self.size, self._longest
         out: list[int] = []
         closed: set[int] = set()
-        place, u = 0, self._longest(raw, 0)
-        while place < n:
+        place, last, u = 0, -1, longest(raw, 0)
+        while True:
             end = place + size[u]
-            if end not in closed and (not out or arc(out[-1], u)):
+            if closed and end in closed:
+                known = False
+            elif last < 0:
+                known = True
+            else:
+                known = table.get(last << 32 | u)
+                if known is None:
+                    known = self.arc(last, u)
+            if known:
                 out.append(u)
-                place = end
-                if place < n:
-                    u = self._longest(raw, place)
+                if end == n:
+                    return out
+                place, last, u = end, u, longest(raw, end)
                 continue
-            while u not in shorter:                                 # no arc leads on from here
+            while u not in self.shorter:                            # no arc leads on from here
                 closed.add(place)
                 u = out.pop()
                 place -= size[u]
-            u = shorter[u]
-        return out
+                last = out[-1] if out else -1
+            u = self.shorter[u]
 
 
 @lru_cache(maxsize=1)
@@ -162,42 +171,75 @@ def spellings(vocabulary: str) -> list[bytes]:
 
 
 class Encoder(dict):
-    """Texts to ids. Pieces between a blank and the next are looked up here; a missing one is split into words and encoded."""
+    """Texts to ids. Pieces between a blank and the next are looked up here; a missing one is split into words and encoded.
+
+    Keys are pieces less the blank that they begin with, values their ids as bytes of 32-bit numbers. Of two generations the
+    older one is dropped when the younger is full, so memory stays bounded and what comes again is kept; nothing depends on it.
+    """
 
     def __init__(self, automaton: Automaton):
         super().__init__()
         import regex
         self.automaton = automaton
         self.split = regex.compile(SPLIT).findall
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.pieces = re.compile(r"(?= \S)").split
+        self.uneven = re.compile(r" (?!\S)").search
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(automaton.special, key=len, reverse=True))) + ")") \
             if automaton.special else None
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        out: tuple[int, ...] = ()
-        for word in self.split(piece):
-            ids = self.words.get(word)
-            if ids is None:
-                if len(self.words) >= CACHED:
-                    self.words.clear()
-                ids = self.words[word] = tuple(self.automaton.word(word.encode()))
-            out += ids
-        if len(self) >= CACHED:                                    # memory stays bounded; nothing depends on it
+    def __missing__(self, key: str) -> bytes:
+        out = self.older.get(key)
+        if out is None:
+            out = self._piece(" " + key)
+        if 2 * len(self) >= CACHED:
+            self.older = dict(self)
             self.clear()
-        self[piece] = out
+        self[key] = out
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece[1:].isalpha() and piece[0] == " ":
+            return self._word(piece)                               # one word by the first rule for letters
+        words = self.split(piece)
+        if len(words) == 1:
+            return self._word(piece)
+        return b"".join(map(self._known, words))
+
+    def _known(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            if len(self.words) >= CACHED // 2:
+                self.words.clear()
+            ids = self.words[word] = self._word(word)
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        return array("i", self.automaton.word(word.encode())).tobytes()
+
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as bytes of 32-bit numbers."""
+        out = []
         parts = self.special.split(text) if self.special and any(s in text for s in self.automaton.special) else [text]
         for part in parts:
             if part in self.automaton.special:
-                out.append(self.automaton.special[part])
+                out.append(array("i", [self.automaton.special[part]]).tobytes())
             elif part:
-                for piece in self.pieces(part):
-                    out += self[piece]
-        return out
+                if self.uneven(part):                               # a blank that begins no piece
+                    first, *rest = self.pieces(part)
+                    rest = [p[1:] for p in rest]
+                    if first[:1] == " " and first[1:2].strip():
+                        first, rest = "", [first[1:], *rest]
+                else:
+                    first, *rest = part.split(" ")
+                if first:
+                    out.append(self._piece(first))
+                out += map(self.__getitem__, rest)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.packed(text), dtype=np.int32).tolist()
 
 
 def _vocabulary(docs: DataFrame, path: str) -> str:
@@ -218,10 +260,9 @@ def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 piece = batch.slice(k, 512)
-                ids = [np.array(encoder.encode(t), dtype=np.int32) if t else np.zeros(0, np.int32)
-                       for t in piece.column("text").to_pylist()]
-                ends = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+                ids = [encoder.packed(t) if t else b"" for t in piece.column("text").to_pylist()]
+                ends = np.cumsum([0, *map(len, ids)]) // 4
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), dtype=np.int32)))
                 yield pa.record_batch([piece.column("doc_id"), piece.column("part"), lists], names=["doc_id", "part", "ids"])
 
     return docs.select("doc_id", "part", "text").mapInArrow(run, ENCODED)
@@ -236,7 +277,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             lists = batch.column("ids")
             ends, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
-            texts = [b"".join([table[i] for i in ids[a:b].tolist()]).decode("utf-8", "replace")
+            texts = [b"".join(map(table.__getitem__, ids[a:b].tolist())).decode("utf-8", "replace")
                      for a, b in zip(ends[:-1], ends[1:])]
             yield pa.record_batch([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 

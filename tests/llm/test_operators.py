@@ -410,3 +410,25 @@ def test_family_of_edited_copies_is_not_compared_in_pairs(spark, monkeypatch):
     assert [got[d] for d in range(41)] == [0] * 41 and got[alike + 1] == alike
     assert all(got[d] == d for d in range(41, alike + 1))
     assert len(asked) == 2 and asked[1] <= 100
+
+
+def test_frequent_pieces_outlive_full_caches(monkeypatch):
+    """Tokens of a word that keeps coming are worked out once, however many rare words pass through the caches."""
+    monkeypatch.setattr(bpe, "CACHED", 16)
+    with open(plans.vocabulary(), encoding="utf-8") as f:
+        automaton = bpe.Automaton(f.read())
+    asked = []
+    monkeypatch.setattr(automaton, "word", lambda raw, word=automaton.word: asked.append(raw) or word(raw))
+    bpe.Encoder(automaton).encode("".join(f" often rare{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)))
+    assert asked.count(b" often") == 1
+
+
+def test_bpe_of_odd_blanks_as_the_library():
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(plans.vocabulary())
+    with open(plans.vocabulary(), encoding="utf-8") as f:
+        encoder = bpe.Encoder(bpe.automaton(f.read()))
+    draw = random.Random(2)
+    parts = [*" \n\t'aBc1²é日.,!-\x1c\x85", "'s", " the", "<|endoftext|>", "  "]
+    for text in [" ", "a ", " a", "  a", " \n a", "\x85 a", *["".join(draw.choices(parts, k=draw.randint(1, 25))) for _ in range(3000)]]:
+        assert encoder.encode(text) == t.encode(text, add_special_tokens=False).ids, repr(text)
