@@ -249,6 +249,20 @@ def test_recall_of_edited_lines(spark, edits, least):
     assert len(removed_lines(spark, rows)) >= least * pairs and pairs >= 90
 
 
+def test_recall_of_long_words_and_lines_without_blanks(spark):
+    """An edit in every tenth character leaves few pairs of long words whole, and lines without blanks have no words."""
+    draw = random.Random(8)
+    rows, kinds = [], [(8, 12), (20, 12), (40, 12), (1, 60), (1, 150), (1, 400), (1, 900)]
+    for n, size in kinds:
+        for _ in range(20):
+            base = " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=size)) for _ in range(n))
+            rows += [base, edited(draw, base, len(base) // 10)]
+    gone = removed_lines(spark, rows)
+    for k, kind in enumerate(kinds):
+        assert len(gone & set(range(40 * k, 40 * k + 40))) >= 16, kind
+    assert len(gone) >= 0.9 * len(rows) / 2
+
+
 def test_lines_of_several_groups_in_a_bucket(spark):
     """All lines share one run of words, so ends of its bucket leave most of the pairs to the second round."""
     draw = random.Random(7)
