@@ -274,6 +274,24 @@ def test_lines_of_several_groups_in_a_bucket(spark):
     assert removed_lines(spark, rows) == set(range(1, 60, 2))
 
 
+def test_parts_of_the_keys_of_lines(spark):
+    """Every key of a line is in one part, once, with its first and last place; no part holds most of the keys."""
+    draw = random.Random(9)
+    norms = [" ".join("".join(draw.choices("etaonirshldumcg0123456789", k=draw.randint(2, 9))) for _ in range(n)) for n in (8, 12, 20, 40, 60, 80, 200)]
+    norms += ["abcde fghij klm " * 20, "это длинная строка без латинских букв, в которой есть все ключи", "日本語の長い行" * 20]
+    want = set()
+    for i, t in enumerate(norms):
+        for size, begins, least, most in lines.GRAMS:
+            first = [c for c in range(256) if chr(c) in begins]
+            grams = {t[k:k + size] for k in range(len(t) - size + 1) if ord(t[k]) in first or ord(t[k]) >= 0x250} if least <= len(t) <= most else ()
+            want |= {(i, g, t.find(g) + 1, t.rfind(g) + 1) for g in grams}
+    texts = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(norms)], "line bigint, norm string, len int")
+    parts = [lines.keyed_lines(texts, k).where(f"len >= {lines.SHORT + lines.CHARS}").collect() for k in range(len(lines.PARTS))]
+    hashed = spark.createDataFrame(sorted(want), "line bigint, gram string, p0 int, p1 int").select(F.xxhash64("gram"), "line", "p0", "p1")
+    got = [(r.key, r.line, r.p0, r.p1) for p in parts for r in p]
+    assert sorted(got) == sorted(map(tuple, hashed.collect())) and max(map(len, parts)) < 0.5 * len(got)
+
+
 def test_languages_leave_out_rows_without_an_id(spark):
     texts = {"en": "the ring and the thing of it", "de": "der ring und das ding von ihm"}
     rows = [(None if i % 5 == 0 else i, t, k) for i, (k, t) in enumerate(list(texts.items()) * 40)]
