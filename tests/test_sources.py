@@ -247,6 +247,28 @@ def test_flows_are_cut_by_a_chain_of_timeouts(spark):
     assert got == want and len(set(want.values())) > 100
 
 
+def test_flows_go_on_across_chunks(spark, monkeypatch):
+    """Sessions and flows that begin in an earlier chunk, conversations that skip chunks; as with one chunk, and the rows come from written tables."""
+    from netstate.operators import packets as p
+    rng = np.random.default_rng(4)
+    rows, t = [], 1000.0
+    for i in range(900):
+        t += float(rng.choice([0, 1, 5, 30, 100], p=[.2, .4, .3, .07, .03]))
+        c = int(rng.choice([0, 1, 2], p=[.7, .28, .02]))
+        rows.append(("x", i, t, 6, f"10.0.0.{c}", "10.1.1.1", 1, 2))
+    packets = spark.createDataFrame(rows, "capture string, packet_no long, ts double, proto int, src string, dst string, sport int, dport int")
+
+    def flows():
+        found = p.with_flow(packets, 90.0, 60.0)
+        assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+        return sorted((r["packet_no"], r["begin"]["packet_no"], r["begin"]["src"], r["gap"]) for r in found.collect())
+
+    whole = flows()
+    assert len({r[1] for r in whole}) > 30 and len(whole) == 900
+    monkeypatch.setattr(p, "PACKET_CHUNK", 13)
+    assert flows() == whole
+
+
 def test_all_rows_elect_the_format(spark, tmp_path):
     """The first 2 500 rows could be day-first or month-first; those after them tell."""
     def lines(stamps):
