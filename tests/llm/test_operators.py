@@ -274,6 +274,21 @@ def test_lines_of_several_groups_in_a_bucket(spark):
     assert removed_lines(spark, rows) == set(range(1, 60, 2))
 
 
+def test_pairs_of_lines_are_met_between_groups(spark):
+    """Many pairs a line make more groups, so a turn has no more pairs than a quarter of the lines; every pair is met once."""
+    assert lines.line_groups(0, 0) == 2 and lines.line_groups(200, 1000) == 2
+    for pairs, number in ((1000, 1000), (5379716, 2000000), (10 ** 9, 10 ** 7)):
+        assert pairs / lines.line_groups(pairs, number) ** 2 <= number / 4
+    draw = random.Random(10)
+    norms = [edited(draw, "these words are the same in all of the lines that are met here", n) for n in (0, 1, 2, 2, 3, 4, 5, 6, 7, 8)]
+    texts = spark.createDataFrame([(37 * i - 100, t) for i, t in enumerate(norms)], "line bigint, norm string")
+    both = list(itertools.combinations(range(len(norms)), 2))
+    pairs = spark.createDataFrame([(37 * i - 100, 37 * j - 100) for i, j in both], "a bigint, b bigint")
+    got = sorted(((r.a + 100) // 37, (r.b + 100) // 37) for r in lines._linked(pairs, texts).collect())
+    assert got == [(i, j) for i, j in both if distance(norms[i], norms[j]) <= max(len(norms[i]), len(norms[j])) // 10]
+    assert 0 < len(got) < len(both)
+
+
 def test_parts_of_the_keys_of_lines(spark):
     """Every key of a line is in one part, once, with its first and last place; no part holds most of the keys."""
     draw = random.Random(9)
